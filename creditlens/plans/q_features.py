@@ -23,7 +23,10 @@ LEVELS = {
 }
 DUMMIES = [(c, v) for c in CAT for v in LEVELS[c][1:]]
 
-_ENG = LOANS.rstrip() + """,
+def eng_sql(fit_where: str = "TRUE") -> str:
+    """Oracle CTEs: engineered table ``eng`` (cap over all rows), the fit scope
+    ``engf`` and the imputed table ``imp`` over that scope."""
+    return LOANS.rstrip() + """,
 cap AS (SELECT QUANTILE_CONT(annual_inc, 0.99) AS c FROM loans),
 eng AS (SELECT CAST(id AS VARCHAR) AS id, id AS idn, dti, purpose,
        CASE WHEN annual_inc IS NULL THEN NULL WHEN annual_inc < 0 THEN 0E0 WHEN annual_inc > cap.c THEN cap.c ELSE annual_inc END AS annual_inc,
@@ -34,16 +37,20 @@ eng AS (SELECT CAST(id AS VARCHAR) AS id, id AS idn, dti, purpose,
        DATE_DIFF('day', earliest_cr_date, DATE '2018-12-31') / 365.0E0 AS credit_history_years,
        CASE WHEN pub_rec > 0 THEN 1 ELSE 0 END AS has_derogatory
 FROM loans, cap),
-med AS (SELECT """ + ", ".join(f"MEDIAN({c}) AS {c}" for c in NUM) + """ FROM eng),
+engf AS (SELECT * FROM eng WHERE """ + fit_where + """),
+med AS (SELECT """ + ", ".join(f"MEDIAN({c}) AS {c}" for c in NUM) + """ FROM engf),
 """ + ",\n".join(
-    f"mode_{c} AS (SELECT v AS {c} FROM (SELECT {c} AS v, COUNT(*) AS n FROM eng WHERE {c} IS NOT NULL GROUP BY {c}) ORDER BY n DESC, v LIMIT 1)"
-    for c in CAT) + """,
-imp AS (SELECT eng.id, eng.idn, eng.target, """ + ", ".join(f"CAST(COALESCE(eng.{c}, med.{c}) AS DOUBLE) AS {c}" for c in NUM) + ", " + \
-    ", ".join(f"COALESCE(eng.{c}, mode_{c}.{c}) AS {c}" for c in CAT) + """
-    FROM eng, med, """ + ", ".join(f"mode_{c}" for c in CAT) + """)
+        f"mode_{c} AS (SELECT v AS {c} FROM (SELECT {c} AS v, COUNT(*) AS n FROM engf WHERE {c} IS NOT NULL GROUP BY {c}) ORDER BY n DESC, v LIMIT 1)"
+        for c in CAT) + """,
+imp AS (SELECT engf.id, engf.idn, engf.target, """ + ", ".join(f"CAST(COALESCE(engf.{c}, med.{c}) AS DOUBLE) AS {c}" for c in NUM) + ", " + \
+        ", ".join(f"COALESCE(engf.{c}, mode_{c}.{c}) AS {c}" for c in CAT) + """
+    FROM engf, med, """ + ", ".join(f"mode_{c}" for c in CAT) + """)
 """
 
 
+_ENG = eng_sql()
+
+
 @query("imputed_features", oracle=_ENG + "SELECT id, target, " + ", ".join(f"ROUND({c}, 9) AS {c}" for c in NUM) + ", " + ", ".join(CAT) + " FROM imp")
 def imputed_features(spark, sf_dir):
     """engineered features, medians for numbers and modes for text (fit on all rows)."""
