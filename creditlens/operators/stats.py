@@ -16,23 +16,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import special
 from ..functions.recode import VIF_ELSE, VIF_VERDICTS, above_label
 from .prefix import running_sums
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([special.t_two_sided_p(a, b) for a, b in zip(t.astype(float), dof.astype(float))])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([special.chi2_sf(a, b) for a, b in zip(stat.astype(float), dof.astype(float))])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _norm_p(z: pd.Series) -> pd.Series:
     return pd.Series([special.norm_two_sided_from_z(a) for a in z.astype(float)])
 

@@ -13,11 +13,14 @@ from ..sources.tables import scale_factor
 REFERENCE_FLOORS = {"state": 5000, "dti": 10000, "grade_purpose": 500, "state_rejection": 9000}
 
 
-def floor(sf_dir: str, name: str) -> int:
-    sf = scale_factor(sf_dir)
+def floor_for(sf: float, name: str) -> int:
     return max(1, int(round(REFERENCE_FLOORS[name] * sf / 0.1)))
 
 
+def floor(sf_dir: str, name: str) -> int:
+    return floor_for(scale_factor(sf_dir), name)
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted loans, status-filtered and labelled (reference ``loans_filtered``)."""
     return label_target(fixtures.raw_loans(spark, sf_dir))

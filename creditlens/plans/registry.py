@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 class Entry:
     name: str
     build: Callable[[SparkSession, str], DataFrame]
-    oracle: str | None
+    oracle: str | Callable[[float], str] | None
     check: str  # "D" full oracle, "I" invariant table, "R" rows only
 
+    def oracle_text(self, sf: float = 0.01) -> str | None:
+        """DuckDB text for the data at scale factor ``sf`` (group-size floors scale with it)."""
+        return self.oracle(sf) if callable(self.oracle) else self.oracle
+
 
 REGISTRY: dict[str, Entry] = {}
 
