@@ -10,7 +10,8 @@ from .conftest import SF_SMALL
 
 
 def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The text ``df.explain("formatted")`` prints."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
 def test_q1_scan_is_pruned(spark):
