@@ -125,10 +125,25 @@ def chi_square(df: DataFrame, categorical: Sequence[str], target: str = "target"
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise Pearson correlations (i < j), one aggregate, long form.
-    ``corr`` skips rows where either value is null (pairwise-complete)."""
+    """Pairwise Pearson correlations (i < j), long form.
+
+    Without nulls: two passes of plain sums — means, then the k(k+1)/2 centred
+    cross-product sums — instead of k(k-1)/2 separate ``corr`` states.  With
+    nulls: ``corr`` per pair, which skips rows where either value is null
+    (pairwise-complete)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    x = {c: F.col(c).cast("double") for c in cols}
+    first = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(x[c].isNull()).alias(f"z__{c}") for c in cols],
+                   *[F.avg(x[c]).alias(f"mu__{c}") for c in cols]).first()
+    if all(first[f"z__{c}"] == 0 for c in cols):
+        mu = {c: F.lit(float(first[f"mu__{c}"])) for c in cols}
+        d = {c: x[c] - mu[c] for c in cols}
+        sums = df.agg(*[F.sum(d[c] * d[c]).alias(f"ss__{c}") for c in cols],
+                      *[F.sum(d[a] * d[b]).alias(f"sp__{i}") for i, (a, b) in enumerate(pairs)])
+        one = sums.select(*[(F.col(f"sp__{i}") / F.sqrt(F.col(f"ss__{a}") * F.col(f"ss__{b}"))).alias(f"{i}")
+                            for i, (a, b) in enumerate(pairs)])
+    else:
+        one = df.agg(*[F.corr(x[a], x[b]).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     structs = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"{i}").alias("correlation"))
                for i, (a, b) in enumerate(pairs)]
     return one.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*")

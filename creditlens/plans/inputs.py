@@ -21,9 +21,27 @@ def floor(sf_dir: str, name: str) -> int:
     return floor_for(scale_factor(sf_dir), name)
 
 
+_WRITTEN: dict = {}
+
+
+def materialise(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a derived table once per session to the shared checkpoint folder and
+    read it back: later queries scan plain Parquet (pruned, pushed down) instead
+    of re-deriving it, and the lineage is cut (a lost executor re-reads files)."""
+    from ..session import scratch_path
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, name)
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted loans, status-filtered and labelled (reference ``loans_filtered``)."""
-    return label_target(fixtures.raw_loans(spark, sf_dir))
+    """Accepted loans, status-filtered and labelled (reference ``loans_filtered``),
+    written once as Parquet like the reference's intermediate file."""
+    return materialise(spark, sf_dir, "loans_filtered", lambda: label_target(fixtures.raw_loans(spark, sf_dir)))
 
 
 def loans_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +52,9 @@ def loans_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str, alt: bool = False) -> DataFrame:
     """Deterministic score table (FIXTURES §B4) for the evaluation operators."""
     text = fixtures.SCORED_ALT_SQL if alt else fixtures.SCORED_SQL
-    return spark.sql(text, loans=fixtures.spark_loans_with_dates(spark, sf_dir))
+    return materialise(spark, sf_dir, "scored_alt" if alt else "scored",
+                       lambda: spark.sql(text, loans=fixtures.spark_loans_with_dates(spark, sf_dir)))
 
 
 def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.rejected_raw(spark, sf_dir)
+    return materialise(spark, sf_dir, "rejected", lambda: fixtures.rejected_raw(spark, sf_dir))

@@ -16,10 +16,14 @@ SIG = eng_sql("target IS NOT NULL")
 
 
 def significance_table(spark, sf_dir):
-    base = prof.engineer(inputs.loans(spark, sf_dir).select("id", *fe.PREP_FEATURES)).filter(F.col("target").isNotNull())
-    num = prof.numeric_columns(base, ["id", "target"])
-    cat = prof.string_columns(base, ["id", "target"])
-    return fe.apply_imputer(base, fe.fit_imputer(base, num, cat))
+    """Engineered (cap over all rows), null targets dropped, imputed on the rest; written once."""
+    def build():
+        base = prof.engineer(inputs.loans(spark, sf_dir).select("id", *fe.PREP_FEATURES)).filter(F.col("target").isNotNull())
+        num = prof.numeric_columns(base, ["id", "target"])
+        cat = prof.string_columns(base, ["id", "target"])
+        return fe.apply_imputer(base, fe.fit_imputer(base, num, cat))
+
+    return inputs.materialise(spark, sf_dir, "significance", build)
 
 
 _PB = " UNION ALL ".join(
