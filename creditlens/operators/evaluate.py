@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import running_sums
+from .prefix import previous_values, running_sums
 
 GRID_LO, GRID_HI = 10, 89  # thresholds i/100 for i in 10..89 (np.arange(0.1, 0.9, 0.01))
 
@@ -84,6 +84,24 @@ def roc_curve(scored: DataFrame, score: str = "score", label: str = "target", ke
     return pts.unionByName(start)
 
 
+def roc_curve_thinned(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (),
+                      buckets: int = 64) -> DataFrame:
+    """ROC points with collinear interior points removed (scikit-learn's
+    default ``drop_intermediate``): an interior point is dropped when the next
+    lower distinct score carries the same (positives, negatives) counts, i.e.
+    the curve does not bend there.  The highest and lowest scores are kept."""
+    base = _curve_base(scored, score, label, keys, buckets)
+    prev = previous_values(base, score, ["n_pos", "n_neg"], keys, buckets)
+    top = base.groupBy(*keys).agg(F.max(score).alias("_max"))
+    j = prev.join(F.broadcast(top), keys, "inner") if keys else prev.crossJoin(F.broadcast(top))
+    collinear = (F.col(score) < F.col("_max")) & F.col(f"prev_{score}").isNotNull() & \
+        (F.col("prev_n_pos") == F.col("n_pos")) & (F.col("prev_n_neg") == F.col("n_neg"))
+    kept = j.filter(~collinear).select(*keys, F.col(score).alias("threshold"), (F.col("fps") / F.col("N")).alias("fpr"),
+                                       (F.col("tps") / F.col("P")).alias("tpr"))
+    start = base.groupBy(*keys).agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return kept.unionByName(start)
+
+
 def pr_curve(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
     """Precision / recall at every distinct score, the final (1, 0) point with a
     null threshold, and F2 = 5pr/(4p+r) (0 when undefined)."""

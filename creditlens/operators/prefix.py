@@ -25,6 +25,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def assign_buckets(df: DataFrame, order_col: str, keys: Sequence[str] = (), buckets: int = 64,
+                   accuracy: int = 10000) -> DataFrame:
+    """Add ``_bucket``: the index of the contiguous value range (cut at
+    approximate quantiles per series) holding ``order_col``."""
+    keys = list(keys)
+    probs = [i / buckets for i in range(1, buckets)]
+    agg = F.percentile_approx(order_col, probs, accuracy).alias("_bounds")
+    bounds = df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
+    x = F.col(order_col)
+    with_b = df.join(F.broadcast(bounds), keys, "inner") if keys else df.crossJoin(F.broadcast(bounds))
+    return with_b.withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda b: b < x))).drop("_bounds")
+
+
+def previous_values(df: DataFrame, order_col: str, value_cols: Sequence[str], keys: Sequence[str] = (),
+                    buckets: int = 64, accuracy: int = 10000, prefix: str = "prev_") -> DataFrame:
+    """Add ``prev_<col>`` (and ``prev_<order_col>``): the values of the row just
+    before in ascending ``order_col`` within each series (null for the first).
+
+    ``lag`` inside each (series, bucket) window; the first row of a bucket
+    takes the last row of the nearest earlier non-empty bucket, found with a
+    window over the small (series x buckets) table of bucket tails."""
+    keys = list(keys)
+    cols = [order_col] + list(value_cols)
+    b = assign_buckets(df, order_col, keys, buckets, accuracy)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(order_col)
+    local = b.select("*", *[F.lag(c).over(w).alias(f"_l_{c}") for c in cols])
+    tails = b.groupBy(*keys, "_bucket").agg(*[F.max_by(c, order_col).alias(f"_t_{c}") for c in cols])
+    tw = Window.partitionBy(*keys).orderBy("_bucket")
+    tails = tails.select(*keys, "_bucket", *[F.lag(f"_t_{c}").over(tw).alias(f"_p_{c}") for c in cols])
+    out = local.join(F.broadcast(tails), keys + ["_bucket"], "inner")
+    first_in_bucket = F.col(f"_l_{order_col}").isNull()
+    return out.select(*df.columns, *[F.when(first_in_bucket, F.col(f"_p_{c}")).otherwise(F.col(f"_l_{c}")).alias(f"{prefix}{c}")
+                                     for c in cols])
+
+
 def running_sums(
     df: DataFrame,
     order_col: str,
@@ -37,12 +72,7 @@ def running_sums(
     """Add ``<col>_cum`` = inclusive running sum of ``col`` in ascending
     ``order_col`` within each ``keys`` series, and ``<col>_tot`` = series total."""
     keys = list(keys)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, accuracy).alias("_bounds")) if keys else \
-        df.agg(F.percentile_approx(order_col, probs, accuracy).alias("_bounds"))
-    x = F.col(order_col)
-    with_b = (df.join(F.broadcast(bounds), keys, "inner") if keys else df.crossJoin(F.broadcast(bounds)))
-    with_b = with_b.withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda b: b < x))).drop("_bounds")
+    with_b = assign_buckets(df, order_col, keys, buckets, accuracy)
 
     local_w = Window.partitionBy(*keys, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = with_b.select("*", *[F.sum(c).over(local_w).alias(f"_{c}_local") for c in sum_cols])

@@ -59,6 +59,18 @@ def roc_curve(spark, sf_dir):
     return ev.roc_curve(inputs.scored(spark, sf_dir))
 
 
+@query("roc_curve_thinned", oracle=SC.rstrip() + f""",
+{_COLLAPSED},
+nb AS (SELECT cum.*, LAG(n_pos) OVER (ORDER BY score) AS pp, LAG(n_neg) OVER (ORDER BY score) AS pn,
+              LAG(score) OVER (ORDER BY score) AS ps, MAX(score) OVER () AS mx FROM cum)
+SELECT score AS threshold, fps / N AS fpr, tps / P AS tpr FROM nb, t
+WHERE NOT (score < mx AND ps IS NOT NULL AND pp = n_pos AND pn = n_neg)
+UNION ALL SELECT 'Infinity'::DOUBLE, 0E0, 0E0""")
+def roc_curve_thinned(spark, sf_dir):
+    """E4 with collinear points dropped (bucketed neighbour lookup, no global window)."""
+    return ev.roc_curve_thinned(inputs.scored(spark, sf_dir))
+
+
 _PR = SC.rstrip() + f""",
 {_COLLAPSED},
 pr AS (SELECT score AS threshold, tps / (tps + fps) AS precision, tps / P AS recall FROM cum, t

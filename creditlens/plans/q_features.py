@@ -123,3 +123,13 @@ FROM loans WHERE target IS NOT NULL""")
 def class_weights(spark, sf_dir):
     """M3/M4: balanced class weights and the positive-class weight."""
     return fe.class_weights(inputs.loans(spark, sf_dir))
+
+
+@query("nulls_after_imputation", oracle=_ENG + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count, COUNT(*) AS row_count FROM imp" for c in NUM + CAT))
+def nulls_after_imputation(spark, sf_dir):
+    """A1 after filling: every feature column has zero missing values left."""
+    base = prof.engineer(inputs.loans(spark, sf_dir).select("id", *fe.PREP_FEATURES))
+    num = prof.numeric_columns(base, ["id", "target"])
+    cat = prof.string_columns(base, ["id", "target"])
+    return prof.null_audit(fe.apply_imputer(base, fe.fit_imputer(base, num, cat)), NUM + CAT)

@@ -164,3 +164,49 @@ def risk_score_histogram(spark, sf_dir):
     rej = inputs.rejected(spark, sf_dir)
     valid = rej.filter(F.col("risk_score").isNotNull() & (F.col("risk_score") >= 300) & (F.col("risk_score") <= 850))
     return prof.histogram(valid, "risk_score", 80, density=False)
+
+
+@query("rejected_yearly_change", oracle=REJ_CLEAN + """,
+y AS (SELECT year, COUNT(*) AS rejected FROM rej WHERE year IS NOT NULL AND year BETWEEN 2007 AND 2018 GROUP BY year)
+SELECT year, rejected, (rejected - LAG(rejected) OVER (ORDER BY year)) / LAG(rejected) OVER (ORDER BY year) * 100.0E0 AS change_pct FROM y""".replace("\n,\ny AS", ",\ny AS"))
+def rejected_yearly_change(spark, sf_dir):
+    """Year-over-year change of rejected volume (lag over the ≤12-row yearly table)."""
+    from pyspark.sql import Window
+
+    y = pop.yearly_counts(_rej(spark, sf_dir), name="rejected")
+    w = Window.orderBy("year")
+    return y.select("year", "rejected", ((F.col("rejected") - F.lag("rejected").over(w)) / F.lag("rejected").over(w) * 100.0).alias("change_pct"))
+
+
+def _hist_sql(src: str, bins: int) -> str:
+    return f""",
+d AS ({src}),
+r AS (SELECT population, MIN(x) AS lo, MAX(x) AS hi, COUNT(*) AS n, (MAX(x) - MIN(x)) / {bins}.0E0 AS w FROM d GROUP BY population),
+c AS (SELECT d.population, CASE WHEN r.hi = r.lo THEN 0 ELSE LEAST({bins - 1}, CAST(FLOOR((d.x - r.lo) / (r.hi - r.lo) * {bins}.0E0) AS INT)) END AS bin,
+             COUNT(*) AS cnt FROM d JOIN r ON d.population = r.population GROUP BY ALL),
+b AS (SELECT r.population, g.bin, r.lo, r.w, r.n FROM r, (SELECT CAST(range AS INT) AS bin FROM range({bins})) g)
+SELECT b.population, b.bin, b.lo + b.bin * b.w AS bin_lo, b.lo + (b.bin + 1) * b.w AS bin_hi,
+       COALESCE(c.cnt, 0) AS count, COALESCE(c.cnt, 0) / (b.n * b.w) AS density
+FROM b LEFT JOIN c ON b.population = c.population AND b.bin = c.bin"""
+
+
+@query("dti_population_histogram", oracle=BOTH_CLEAN.rstrip() + _hist_sql(
+    "SELECT 'accepted' AS population, dti AS x FROM loans WHERE dti IS NOT NULL AND dti >= 0 AND dti <= 100 "
+    "UNION ALL SELECT 'rejected', dti FROM rej WHERE dti IS NOT NULL AND dti >= 0 AND dti <= 100", 60))
+def dti_population_histogram(spark, sf_dir):
+    """60-bin density of DTI for both populations (each on its own range)."""
+    a = inputs.loans(spark, sf_dir).select(F.lit("accepted").alias("population"), F.col("dti").alias("x"))
+    r = _rej(spark, sf_dir).select(F.lit("rejected").alias("population"), F.col("dti").alias("x"))
+    both = a.unionByName(r).filter(F.col("x").isNotNull() & (F.col("x") >= 0) & (F.col("x") <= 100))
+    return prof.histogram(both, "x", 60, by="population", density=True)
+
+
+@query("amount_population_histogram", oracle=BOTH.rstrip() + _hist_sql(
+    "SELECT 'accepted' AS population, loan_amnt AS x FROM loans WHERE loan_amnt > 0 AND loan_amnt <= 40000 "
+    "UNION ALL SELECT 'rejected', amount_requested FROM rejected WHERE amount_requested > 0 AND amount_requested <= 40000", 50))
+def amount_population_histogram(spark, sf_dir):
+    """50-bin density of requested amounts for both populations."""
+    a = inputs.loans(spark, sf_dir).select(F.lit("accepted").alias("population"), F.col("loan_amnt").alias("x"))
+    r = inputs.rejected(spark, sf_dir).select(F.lit("rejected").alias("population"), F.col("amount_requested").alias("x"))
+    both = a.unionByName(r).filter((F.col("x") > 0) & (F.col("x") <= 40000))
+    return prof.histogram(both, "x", 50, by="population", density=True)

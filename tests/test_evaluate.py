@@ -78,3 +78,18 @@ def test_running_sums_match_cumsum_with_keys(spark):
     got = running_sums(df, "x", ["v"], keys=["k"], buckets=6).toPandas().sort_values(["k", "x"])
     exp = pdf.sort_values(["k", "x"]).groupby("k")["v"].cumsum()
     assert (got["v_cum"].to_numpy() == exp.to_numpy()).all()
+
+
+def test_roc_thinning_matches_reference_rule_across_buckets(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 600)
+    s = np.round(rng.random(600) * 0.3, 3)
+    df = _frame(spark, y, s)
+    got = ev.roc_curve_thinned(df, buckets=9).toPandas().sort_values("threshold", ascending=False)
+    # reference rule on distinct scores in decreasing order
+    ds = np.unique(s)[::-1]
+    tps = np.cumsum([int(((s == v) & (y == 1)).sum()) for v in ds])
+    fps = np.cumsum([int(((s == v) & (y == 0)).sum()) for v in ds])
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    exp = np.r_[np.inf, ds[keep]]
+    assert np.array_equal(np.sort(got["threshold"].to_numpy()), np.sort(exp))
