@@ -24,7 +24,7 @@ def _shap(spark, sf_dir):
     return _MEMO[k]
 
 
-@query("shap_additivity", oracle="SELECT 'every_row_adds_up' AS check, TRUE AS ok UNION ALL SELECT 'every_test_row_explained', TRUE")
+@query("shap_additivity", oracle="SELECT 'every_row_adds_up' AS check, TRUE AS ok UNION ALL SELECT 'every_test_row_explained', TRUE", check="I")
 def shap_additivity(spark, sf_dir):
     """X2 invariant on ALL test rows: base + Σ attributions = model log-odds (|err| < 1e-6)."""
     shap, data, feats, m, test = _shap(spark, sf_dir)
