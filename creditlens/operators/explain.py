@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .prefix import exact_quantiles
 
 
 # ---------------------------------------------------------------------------
@@ -160,15 +161,21 @@ def shap_batch(x: np.ndarray, t: dict, n_features: int, chunk: int = 256) -> np.
 
 
 def shap_values(df: DataFrame, model, features: Sequence[str], id_col: str = "id", kind: str | None = None,
-                batch_rows: int = 2048) -> DataFrame:
+                batch_rows: int = 2048, keep: Sequence[str] = ()) -> DataFrame:
     """Per-row attributions ``shap_<feature>``, ``base_value`` and the model
-    output being explained (``margin``), for every row of ``df``."""
+    output being explained (``margin``), for every row of ``df``.  The feature
+    values (and ``keep`` columns) travel with the row, so the views below need
+    no join back to the data."""
     spark = df.sparkSession
     t = leaf_tables(spark, model, kind)
     bt = spark.sparkContext.broadcast(t)
     feats = list(features)
     k = len(feats)
-    out_schema = f"`{id_col}` string, " + ", ".join(f"`shap_{f}` double" for f in feats) + ", base_value double, margin double"
+    keep = [c for c in keep if c not in feats and c != id_col]
+    kept_types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in keep}
+    out_schema = (f"`{id_col}` string, " + "".join(f"`{c}` {kept_types[c]}, " for c in keep)
+                  + "".join(f"`{f}` double, " for f in feats)
+                  + ", ".join(f"`shap_{f}` double" for f in feats) + ", base_value double, margin double")
 
     def run(batches):
         tab = bt.value
@@ -178,12 +185,17 @@ def shap_values(df: DataFrame, model, features: Sequence[str], id_col: str = "id
                 x = part[feats].to_numpy(dtype=np.float64)
                 phi = shap_batch(x, tab, k)
                 res = pd.DataFrame(phi, columns=[f"shap_{f}" for f in feats])
+                vals = pd.DataFrame(x, columns=feats)
+                res = pd.concat([vals, res], axis=1)
+                for c in reversed(keep):
+                    res.insert(0, c, part[c].to_numpy())
                 res.insert(0, id_col, part[id_col].astype(str).to_numpy())
                 res["base_value"] = tab["base"]
                 res["margin"] = tab["base"] + phi.sum(axis=1)
                 yield res
 
-    return df.select(F.col(id_col).cast("string").alias(id_col), *[F.col(f"`{f}`").cast("double").alias(f) for f in feats]).mapInPandas(run, out_schema)
+    return df.select(F.col(id_col).cast("string").alias(id_col), *[F.col(f"`{c}`") for c in keep],
+                     *[F.col(f"`{f}`").cast("double").alias(f) for f in feats]).mapInPandas(run, out_schema)
 
 
 def model_margin(model, df: DataFrame, kind: str | None = None) -> DataFrame:
@@ -200,13 +212,12 @@ def model_margin(model, df: DataFrame, kind: str | None = None) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Views over the attribution table
 # ---------------------------------------------------------------------------
-def long_form(shap: DataFrame, data: DataFrame, features: Sequence[str], id_col: str = "id") -> DataFrame:
-    """(id, feature, value, shap) — attributions joined to feature values on id."""
-    s = shap.select(id_col, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`shap_{f}`").alias("shap"))
-                                                  for f in features])).alias("_s")).select(id_col, "_s.*")
-    v = data.select(F.col(id_col).cast("string").alias(id_col), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value")) for f in features])).alias("_v")).select(id_col, "_v.*")
-    return s.join(v, [id_col, "feature"], "inner")
+def long_form(shap: DataFrame, features: Sequence[str], id_col: str = "id") -> DataFrame:
+    """(id, feature, value, shap) — unpivoted from the attribution table,
+    which already carries the feature values (no join)."""
+    return shap.select(id_col, F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("value"), F.col(f"`shap_{f}`").alias("shap"))
+        for f in features])).alias("_s")).select(id_col, "_s.*")
 
 
 def mean_abs(shap: DataFrame, features: Sequence[str], top: int | None = None) -> DataFrame:
@@ -219,11 +230,11 @@ def mean_abs(shap: DataFrame, features: Sequence[str], top: int | None = None) -
     return ranked.filter(F.col("rank") <= top) if top else ranked
 
 
-def waterfall(shap: DataFrame, data: DataFrame, features: Sequence[str], row_id: str, id_col: str = "id",
+def waterfall(shap: DataFrame, features: Sequence[str], row_id: str, id_col: str = "id",
               max_display: int = 15) -> DataFrame:
     """One row's breakdown — base, contributions ordered by |shap| (top
     ``max_display - 1`` shown, the rest folded into one line), running total."""
-    lf = long_form(shap.filter(F.col(id_col) == row_id), data.filter(F.col(id_col).cast("string") == row_id), features, id_col)
+    lf = long_form(shap.filter(F.col(id_col) == row_id), features, id_col)
     base = shap.filter(F.col(id_col) == row_id).select("base_value")
     w = Window.orderBy(F.abs("shap").desc(), F.col("feature"))  # ≤ #features rows of one id
     ranked = lf.withColumn("rank", F.row_number().over(w))
@@ -236,11 +247,10 @@ def waterfall(shap: DataFrame, data: DataFrame, features: Sequence[str], row_id:
     return steps.withColumn("cumulative", F.col("base_value") + F.sum("shap").over(run))
 
 
-def dependence(shap: DataFrame, data: DataFrame, features: Sequence[str], feature: str, id_col: str = "id") -> DataFrame:
+def dependence(shap: DataFrame, features: Sequence[str], feature: str, id_col: str = "id") -> DataFrame:
     """(value, shap) of one feature, plus the feature whose value correlates
     most (in absolute value) with that attribution — the colouring feature."""
-    j = shap.select(id_col, F.col(f"`shap_{feature}`").alias("shap")).join(
-        data.select(F.col(id_col).cast("string").alias(id_col), *[F.col(f"`{f}`").cast("double").alias(f) for f in features]), id_col)
+    j = shap.select(id_col, F.col(f"`shap_{feature}`").alias("shap"), *[F.col(f"`{f}`") for f in features])
     others = [f for f in features if f != feature]
     one = j.agg(*[F.abs(F.corr("shap", F.col(f"`{f}`"))).alias(f"c{i}") for i, f in enumerate(others)])
     best = one.select(F.explode(F.array(*[F.struct(F.coalesce(F.col(f"c{i}"), F.lit(0.0)).alias("c"), F.lit(f).alias("f"))
@@ -254,26 +264,27 @@ def pick_rows(scored: DataFrame, id_col: str = "id", label: str = "target", scor
               high: float = 0.7, low: float = 0.15) -> DataFrame:
     """First (by id) defaulted row with score >= ``high`` and first paid row
     with score <= ``low``; when none qualifies, the first row above the 95th /
-    below the 5th score percentile."""
-    q = scored.agg(F.percentile(score, F.lit(0.95)).alias("_p95"), F.percentile(score, F.lit(0.05)).alias("_p05"))
-    s = scored.crossJoin(F.broadcast(q))
-
-    def first(cond, fallback, name):
-        a = s.filter(cond).orderBy(id_col).limit(1).select(F.lit(name).alias("kind"), id_col, score, label, F.lit(0).alias("_pri"))
-        b = s.filter(fallback).orderBy(id_col).limit(1).select(F.lit(name).alias("kind"), id_col, score, label, F.lit(1).alias("_pri"))
-        return a.unionByName(b).orderBy("_pri").limit(1).drop("_pri")
-
-    hi = first((F.col(label) == 1) & (F.col(score) >= high), F.col(score) >= F.col("_p95"), "high_risk")
-    lo = first((F.col(label) == 0) & (F.col(score) <= low), F.col(score) <= F.col("_p05"), "low_risk")
+    below the 5th score percentile (computed only in that case)."""
+    def first(cond, name):
+        return scored.filter(cond).orderBy(id_col).limit(1).select(F.lit(name).alias("kind"), id_col, score, label)
+
+    hi = first((F.col(label) == 1) & (F.col(score) >= high), "high_risk")
+    lo = first((F.col(label) == 0) & (F.col(score) <= low), "low_risk")
+    if hi.isEmpty() or lo.isEmpty():
+        q = exact_quantiles(scored, score, [0.95, 0.05]).first()
+        if hi.isEmpty():
+            hi = first(F.col(score) >= F.lit(q["q_0"]), "high_risk")
+        if lo.isEmpty():
+            lo = first(F.col(score) <= F.lit(q["q_1"]), "low_risk")
     return hi.unionByName(lo)
 
 
-def compare_rows(shap: DataFrame, data: DataFrame, features: Sequence[str], picks: DataFrame, top_features: DataFrame,
+def compare_rows(shap: DataFrame, features: Sequence[str], picks: DataFrame, top_features: DataFrame,
                  id_col: str = "id") -> DataFrame:
     """Values and attributions of the picked rows on the top features, one
-    row per feature and a column pair per picked row."""
-    lf = long_form(shap.join(picks.select(F.col(id_col).cast("string").alias(id_col), "kind"), id_col), data, features, id_col)
-    lf = lf.join(F.broadcast(picks.select(F.col(id_col).cast("string").alias(id_col), "kind")), id_col)
+    row per feature and a column pair per picked row (picks: two rows, broadcast)."""
+    chosen = shap.join(F.broadcast(picks.select(F.col(id_col).cast("string").alias(id_col), "kind")), id_col)
+    lf = long_form(chosen, features, id_col).join(F.broadcast(picks.select(F.col(id_col).cast("string").alias(id_col), "kind")), id_col)
     lf = lf.join(F.broadcast(top_features.select("feature", "rank")), "feature")
     return lf.groupBy("rank", "feature").pivot("kind", ["high_risk", "low_risk"]).agg(
         F.round(F.first("value"), 3).alias("value"), F.round(F.first("shap"), 4).alias("shap"))

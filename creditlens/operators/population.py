@@ -143,3 +143,12 @@ def population_stats(accepted: DataFrame, acc_col: str, rejected: DataFrame, rej
         ).select(F.lit(name).alias("population"), "*")
 
     return one(accepted, acc_col, "accepted").unionByName(one(rejected, rej_col, "rejected"))
+
+
+def year_and_state_counts(rej: DataFrame, year_col: str = "year", state_col: str = "state") -> DataFrame:
+    """Both of the reference's chunked passes (per year, per state) in ONE scan
+    with grouping sets; ``level`` tells which grouping a row belongs to."""
+    g = rej.groupingSets([[year_col], [state_col]], year_col, state_col).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid"))
+    return g.select(F.when(F.col("_gid") == 1, F.lit("year")).otherwise(F.lit("state")).alias("level"),
+                    F.col(year_col).alias("year"), F.col(state_col).alias("state"), "n")

@@ -93,3 +93,31 @@ def running_sums(
         *[F.col(f"{c}_tot") for c in sum_cols],
     )
     return out
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[str] = (),
+                    buckets: int = 64) -> DataFrame:
+    """Exact quantiles with linear interpolation (numpy's default) for columns
+    with any number of distinct values: rows collapse to (value, count), ranks
+    come from the bucketed running sum, and the two order statistics around
+    each position p*(n-1) are picked and interpolated.  One row per series,
+    one column ``q_<i>`` per probability."""
+    keys = list(keys)
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sums(counts, col, ["_c"], keys, buckets)  # _c_cum (inclusive), _c_tot
+    # All probabilities in one pass over the ranked distinct values.
+    pe = cum.select(*keys, col, "_c", "_c_cum", "_c_tot",
+                    F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+    pos = F.col("_p") * (F.col("_c_tot") - 1)
+    first = F.col("_c_cum") - F.col("_c")  # 0-based rank of the value's first row
+    hit = pe.select(
+        *keys, "_i", F.col(col).cast("double").alias("_v"), pos.alias("_pos"),
+        ((first <= F.floor(pos)) & (F.floor(pos) < F.col("_c_cum"))).alias("_is_lo"),
+        ((first <= F.ceil(pos)) & (F.ceil(pos) < F.col("_c_cum"))).alias("_is_hi"),
+    ).filter("_is_lo OR _is_hi")
+    q = hit.groupBy(*keys, "_i").agg(
+        F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_lo"), F.max(F.when(F.col("_is_hi"), F.col("_v"))).alias("_hi"),
+        F.first("_pos").alias("_pos"))
+    q = q.select(*keys, "_i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))).alias("_q"))
+    return q.groupBy(*keys).pivot("_i", list(range(len(probs)))).agg(F.first("_q")).select(
+        *keys, *[F.col(str(i)).alias(f"q_{i}") for i in range(len(probs))])

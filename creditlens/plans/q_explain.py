@@ -20,7 +20,11 @@ def _shap(spark, sf_dir):
         _, test, feats = md.train_test(spark, sf_dir)
         m = md.model(spark, sf_dir, "boosted")
         data = test.select("id", "target", *feats)
-        _MEMO[k] = (ex.shap_values(data, m, feats), data, feats, m, test)
+        from . import inputs
+
+        # The attribution table is written once; every view below reads it.
+        shap = inputs.materialise(spark, sf_dir, "shap", lambda: ex.shap_values(data, m, feats, keep=["target"]))
+        _MEMO[k] = (shap, data, feats, m, test)
     return _MEMO[k]
 
 
@@ -48,7 +52,7 @@ def shap_beeswarm(spark, sf_dir):
     """Long (id, feature, value, shap) table for the top 20 features."""
     shap, data, feats, _, _ = _shap(spark, sf_dir)
     top = ex.mean_abs(shap, feats, top=20).select("feature")
-    return ex.long_form(shap, data, feats).join(F.broadcast(top), "feature")
+    return ex.long_form(shap, feats).join(F.broadcast(top), "feature")
 
 
 def _picks(spark, sf_dir):
@@ -62,7 +66,7 @@ def shap_waterfall(spark, sf_dir):
     """Breakdown of the first high-risk defaulted row."""
     shap, data, feats, _, _ = _shap(spark, sf_dir)
     row = _picks(spark, sf_dir).filter(F.col("kind") == "high_risk").first()
-    return ex.waterfall(shap, data, feats, str(row["id"]))
+    return ex.waterfall(shap, feats, str(row["id"]))
 
 
 @query("shap_dependence")
@@ -70,7 +74,7 @@ def shap_dependence(spark, sf_dir):
     """Dependence table of the top feature with its interaction feature."""
     shap, data, feats, _, _ = _shap(spark, sf_dir)
     top = ex.mean_abs(shap, feats, top=1).first()["feature"]
-    return ex.dependence(shap, data, feats, top)
+    return ex.dependence(shap, feats, top)
 
 
 @query("shap_compare_rows")
@@ -78,7 +82,7 @@ def shap_compare_rows(spark, sf_dir):
     """High-risk vs low-risk row on the top 15 features."""
     shap, data, feats, _, _ = _shap(spark, sf_dir)
     top = ex.mean_abs(shap, feats, top=15)
-    return ex.compare_rows(shap, data, feats, _picks(spark, sf_dir), top)
+    return ex.compare_rows(shap, feats, _picks(spark, sf_dir), top)
 
 
 @query("explain_sample", oracle=_SPLIT.rstrip() + """,

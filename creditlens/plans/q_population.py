@@ -210,3 +210,23 @@ def amount_population_histogram(spark, sf_dir):
     r = inputs.rejected(spark, sf_dir).select(F.lit("rejected").alias("population"), F.col("amount_requested").alias("x"))
     both = a.unionByName(r).filter((F.col("x") > 0) & (F.col("x") <= 40000))
     return prof.histogram(both, "x", 50, by="population", density=True)
+
+
+@query("year_state_counts_one_scan", oracle=REJ_CLEAN + """
+SELECT CASE WHEN GROUPING(year) = 0 THEN 'year' ELSE 'state' END AS level, year, state, COUNT(*) AS n
+FROM rej GROUP BY GROUPING SETS ((year), (state))""")
+def year_state_counts_one_scan(spark, sf_dir):
+    """S4 / plan C: yearly and per-state counts of all rejected rows in one scan (grouping sets)."""
+    return pop.year_and_state_counts(_rej(spark, sf_dir))
+
+
+@query("risk_score_describe", oracle=REJ + """
+SELECT 'risk_score' AS column_name, COUNT(risk_score) AS count, ROUND(AVG(risk_score), 6) AS mean, ROUND(STDDEV_SAMP(risk_score), 6) AS std,
+       MIN(risk_score) AS min, ROUND(QUANTILE_CONT(risk_score, 0.25), 9) AS p25, ROUND(QUANTILE_CONT(risk_score, 0.5), 9) AS p50,
+       ROUND(QUANTILE_CONT(risk_score, 0.75), 9) AS p75, MAX(risk_score) AS max FROM rejected""")
+def risk_score_describe(spark, sf_dir):
+    """A17 on the rejected side (``describe`` of the risk score, exact quartiles)."""
+    d = prof.describe_exact(inputs.rejected(spark, sf_dir), ["risk_score"])
+    for c, digits in (("mean", 6), ("std", 6), ("p25", 9), ("p50", 9), ("p75", 9)):
+        d = d.withColumn(c, F.round(c, digits))
+    return d

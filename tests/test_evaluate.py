@@ -93,3 +93,15 @@ def test_roc_thinning_matches_reference_rule_across_buckets(spark):
     keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
     exp = np.r_[np.inf, ds[keep]]
     assert np.array_equal(np.sort(got["threshold"].to_numpy()), np.sort(exp))
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from creditlens.operators.prefix import exact_quantiles
+
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, 401), "x": np.round(rng.random(401), 3)})
+    df = spark.createDataFrame(pdf)
+    got = {r["k"]: (r["q_0"], r["q_1"], r["q_2"]) for r in exact_quantiles(df, "x", [0.5, 0.95, 0.05], keys=["k"], buckets=5).collect()}
+    for k, g in pdf.groupby("k"):
+        for a, p in zip(got[k], (0.5, 0.95, 0.05)):
+            assert math.isclose(a, float(np.quantile(g["x"], p)), rel_tol=1e-12)
