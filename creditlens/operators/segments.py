@@ -157,9 +157,6 @@ def running_totals(loans: DataFrame) -> DataFrame:
     ).orderBy("year")
 
 
-DEFAULT_SEGMENTS: Mapping[str, Column | None] = {}
-
-
 def default_segments() -> dict[str, Column | None]:
     """Q7 segments: name -> predicate (``None`` = every row)."""
     return {

@@ -37,13 +37,13 @@ def rejected_clean(spark, sf_dir):
     return _rej(spark, sf_dir).select("app_id", "amount_requested", "risk_score", "dti", "year", "state", "emp_clean")
 
 
-@query("funnel", oracle=BOTH + """,
+@query("funnel", oracle=BOTH.rstrip() + """,
 c AS (SELECT 'accepted' AS stage, 2 AS step, COUNT(*) AS n FROM raw_loans
       UNION ALL SELECT 'rejected', 1, COUNT(*) FROM rejected
       UNION ALL SELECT 'resolved', 3, COUNT(*) FROM loans),
 t AS (SELECT SUM(n) AS a FROM c WHERE stage IN ('accepted', 'rejected')),
 u AS (SELECT * FROM c UNION ALL SELECT 'all_applications', 0, a FROM t)
-SELECT stage, step, n, n / a AS share_of_all FROM u, t""".replace("\n,\nc AS", ",\nc AS"))
+SELECT stage, step, n, n / a AS share_of_all FROM u, t""")
 def funnel(spark, sf_dir):
     return pop.funnel(spark, fixtures.raw_loans(spark, sf_dir), inputs.rejected(spark, sf_dir), inputs.loans(spark, sf_dir))
 
@@ -166,9 +166,9 @@ def risk_score_histogram(spark, sf_dir):
     return prof.histogram(valid, "risk_score", 80, density=False)
 
 
-@query("rejected_yearly_change", oracle=REJ_CLEAN + """,
+@query("rejected_yearly_change", oracle=REJ_CLEAN.rstrip() + """,
 y AS (SELECT year, COUNT(*) AS rejected FROM rej WHERE year IS NOT NULL AND year BETWEEN 2007 AND 2018 GROUP BY year)
-SELECT year, rejected, (rejected - LAG(rejected) OVER (ORDER BY year)) / LAG(rejected) OVER (ORDER BY year) * 100.0E0 AS change_pct FROM y""".replace("\n,\ny AS", ",\ny AS"))
+SELECT year, rejected, (rejected - LAG(rejected) OVER (ORDER BY year)) / LAG(rejected) OVER (ORDER BY year) * 100.0E0 AS change_pct FROM y""")
 def rejected_yearly_change(spark, sf_dir):
     """Year-over-year change of rejected volume (lag over the ≤12-row yearly table)."""
     from pyspark.sql import Window

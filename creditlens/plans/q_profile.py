@@ -186,11 +186,11 @@ SELECT CAST(id AS VARCHAR) AS id,
        CASE WHEN annual_inc IS NULL THEN NULL WHEN annual_inc < 0 THEN 0E0 WHEN annual_inc > cap.c THEN cap.c ELSE annual_inc END AS annual_inc,
        CAST(CASE emp_length WHEN '< 1 year' THEN 0 WHEN '1 year' THEN 1 WHEN '10+ years' THEN 10
             ELSE TRY_CAST(SUBSTR(emp_length, 1, 1) AS INT) END AS DOUBLE) AS emp_length,
-       CAST(STRPOS('ABCDEFG', grade) AS DOUBLE) AS grade, target
+       CAST(NULLIF(STRPOS('ABCDEFG', grade), 0) AS DOUBLE) AS grade, target
 FROM loans, cap"""
 
 
-@query("engineered_features", oracle=_ENG.replace("CAST(STRPOS('ABCDEFG', grade) AS DOUBLE)", "CAST(NULLIF(STRPOS('ABCDEFG', grade), 0) AS DOUBLE)"))
+@query("engineered_features", oracle=_ENG)
 def engineered_features(spark, sf_dir):
     """P8-P12 + ordinal recodes + income cap (clip keeps null)."""
     e = prof.engineer(inputs.loans(spark, sf_dir))

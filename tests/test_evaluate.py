@@ -105,3 +105,28 @@ def test_exact_quantiles_match_numpy(spark):
     for k, g in pdf.groupby("k"):
         for a, p in zip(got[k], (0.5, 0.95, 0.05)):
             assert math.isclose(a, float(np.quantile(g["x"], p)), rel_tol=1e-12)
+
+
+def test_auc_equals_spark_ml_exact_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    rng = np.random.default_rng(10)
+    y = rng.integers(0, 2, 500)
+    s = np.round(rng.random(500) * 0.6 + y * 0.2, 3)
+    df = _frame(spark, y, s)
+    ours = ev.auc(df, buckets=6).first()["auc"]
+    ml = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="target", numBins=0).evaluate(df)
+    assert math.isclose(ours, ml, rel_tol=1e-12)
+
+
+def test_split_keeps_class_shares(spark):
+    from creditlens.operators import features as fe
+
+    rng = np.random.default_rng(11)
+    y = (rng.random(997) < 0.23).astype(float)
+    df = spark.createDataFrame([(str(i + 1), float(v)) for i, v in enumerate(y)], "id string, target double")
+    out = fe.stratified_split(df, "target", 0.2, "id", rows_per_bucket=50).groupBy("target", "is_test").count().collect()
+    n = {(r["target"], r["is_test"]): r["count"] for r in out}
+    for c in (0.0, 1.0):
+        tot = n[(c, True)] + n[(c, False)]
+        assert abs(n[(c, True)] - 0.2 * tot) <= 0.5 + 1e-9

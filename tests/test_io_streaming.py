@@ -47,3 +47,24 @@ def test_parquet_sink_and_head_vs_sample(spark):
     assert files.head_rows(loans, 10).count() == 10
     s = files.sample_rows(loans, 0.5, seed=1).count()
     assert 0 < s < loans.count()
+
+
+def test_streaming_scores_equal_batch_scores(spark):
+    import uuid
+
+    from pyspark.ml.classification import LogisticRegression
+
+    from creditlens.operators import models as mo
+
+    loans = inputs.loans(spark, SF_SMALL).filter(F.col("target").isNotNull())
+    cols = ["loan_amnt", "int_rate", "open_acc"]
+    data = loans.select("id", "target", *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    model = LogisticRegression(featuresCol="features", labelCol="target", maxIter=20).fit(mo.assemble(data, cols))
+    folder = tempfile.mkdtemp(prefix="cl-score-")
+    data.repartition(2).write.mode("overwrite").parquet(folder)
+    stream = counts.score_stream(spark, model, folder, data.schema, cols).select("id", "score")
+    name = f"scores_{uuid.uuid4().hex[:8]}"
+    got = {r["id"]: r["score"] for r in counts.run_to_table(stream, name, mode="append").collect()}
+    exp = {r["id"]: r["score"] for r in mo.score(model, mo.assemble(data, cols)).select("id", "score").collect()}
+    assert got.keys() == exp.keys()
+    assert all(abs(got[k] - exp[k]) < 1e-12 for k in exp)

@@ -67,3 +67,19 @@ def test_correlation_pairs_pairwise_complete(spark):
     p = {(r["feature_1"], r["feature_2"]): r["correlation"] for r in stats.correlation_pairs(df, ["a", "b", "c"]).collect()}
     assert len(p) == 3
     assert math.isclose(p[("a", "c")], np.corrcoef([2, 3, 4], [1, 0, 2])[0, 1], rel_tol=1e-9)
+
+
+def test_chi_square_matches_spark_ml_without_correction(spark):
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.stat import ChiSquareTest
+
+    rng = np.random.default_rng(12)
+    rows = [(str(rng.choice(["a", "b", "c", "d"])), float(rng.integers(0, 2))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "c string, target double")
+    ours = stats.chi_square(df, ["c"]).first()
+    idx = StringIndexer(inputCol="c", outputCol="ci").fit(df).transform(df)
+    vec = VectorAssembler(inputCols=["ci"], outputCol="f").transform(idx)
+    ml = ChiSquareTest.test(vec, "f", "target").first()
+    assert ours["dof"] == ml["degreesOfFreedom"][0]
+    assert math.isclose(ours["chi2_stat"], float(ml["statistics"][0]), rel_tol=1e-9)
+    assert math.isclose(ours["p_value"], float(ml["pValues"][0]), rel_tol=1e-6, abs_tol=1e-12)
