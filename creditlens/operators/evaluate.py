@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import scalar_values, with_series_stats
 from .prefix import exact_quantiles, previous_values, running_sums
 
 GRID_LO, GRID_HI = 10, 89  # thresholds i/100 for i in 10..89 (np.arange(0.1, 0.9, 0.01))
@@ -64,7 +65,7 @@ def _curve_base(scored: DataFrame, score: str, label: str, keys: Sequence[str],
     )
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def auc(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC with ties: Σ pos·(neg_below + neg/2) / (P·N)."""
     base = _curve_base(scored, score, label, keys, buckets)
     return base.groupBy(*keys).agg(
@@ -74,7 +75,7 @@ def auc(scored: DataFrame, score: str = "score", label: str = "target", keys: Se
     )
 
 
-def roc_curve(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def roc_curve(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """ROC points (fpr, tpr, threshold) at every distinct score, plus the (0, 0)
     start with an infinite threshold (unthinned: no collinear-point removal)."""
     base = _curve_base(scored, score, label, keys, buckets)
@@ -85,7 +86,7 @@ def roc_curve(scored: DataFrame, score: str = "score", label: str = "target", ke
 
 
 def roc_curve_thinned(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (),
-                      buckets: int = 64) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """ROC points with collinear interior points removed (scikit-learn's
     default ``drop_intermediate``): an interior point is dropped when the next
     lower distinct score carries the same (positives, negatives) counts, i.e.
@@ -93,7 +94,7 @@ def roc_curve_thinned(scored: DataFrame, score: str = "score", label: str = "tar
     base = _curve_base(scored, score, label, keys, buckets)
     prev = previous_values(base, score, ["n_pos", "n_neg"], keys, buckets)
     top = base.groupBy(*keys).agg(F.max(score).alias("_max"))
-    j = prev.join(F.broadcast(top), keys, "inner") if keys else prev.crossJoin(F.broadcast(top))
+    j = with_series_stats(prev, top, keys)
     collinear = (F.col(score) < F.col("_max")) & F.col(f"prev_{score}").isNotNull() & \
         (F.col("prev_n_pos") == F.col("n_pos")) & (F.col("prev_n_neg") == F.col("n_neg"))
     kept = j.filter(~collinear).select(*keys, F.col(score).alias("threshold"), (F.col("fps") / F.col("N")).alias("fpr"),
@@ -102,7 +103,7 @@ def roc_curve_thinned(scored: DataFrame, score: str = "score", label: str = "tar
     return kept.unionByName(start)
 
 
-def pr_curve(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def pr_curve(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Precision / recall at every distinct score, the final (1, 0) point with a
     null threshold, and F2 = 5pr/(4p+r) (0 when undefined)."""
     base = _curve_base(scored, score, label, keys, buckets)
@@ -116,13 +117,14 @@ def pr_curve(scored: DataFrame, score: str = "score", label: str = "target", key
 
 
 def f2_threshold(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (),
-                 digits: int = 2, buckets: int = 64) -> DataFrame:
+                 digits: int = 2, buckets: int | None = None) -> DataFrame:
     """F2-optimal cut-off: arg-max of F2 over the PR points (lowest threshold on
     ties), rounded to ``digits``; one row per series."""
     pr = pr_curve(scored, score, label, keys, buckets).filter(F.col("threshold").isNotNull())
-    w = Window.partitionBy(*keys).orderBy(F.col("f2").desc(), F.col("threshold").asc()) if keys else None
     if keys:
-        best = pr.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+        # Arg-max as an aggregate (partial per task, then one row per series), not a window over a whole series.
+        pick = F.max_by(F.struct("threshold", "f2", "precision", "recall"), F.struct("f2", (-F.col("threshold")).alias("_t")))
+        best = pr.groupBy(*keys).agg(pick.alias("_b")).select(*keys, "_b.*")
     else:
         best = pr.orderBy(F.col("f2").desc(), F.col("threshold").asc()).limit(1)
     # Half-up rounding written out (floor(x*10^d + 0.5)/10^d) so every engine agrees on the cut-off.
@@ -143,23 +145,27 @@ def sweep(scored: DataFrame, score: str = "score", label: str = "target", keys:
           lo: int = GRID_LO, hi: int = GRID_HI) -> DataFrame:
     """Confusion counts and rates at every cut-off i/100, i = lo..hi, in one pass:
     rows are counted per grid cell (≤ 81 cells), then suffix sums over cells."""
+    keys = list(keys)
     y = F.col(label)
-    cells = scored.filter(y.isNotNull()).groupBy(*keys, grid_cell(F.col(score), lo, hi).alias("cell")).agg(
+    cells = scored.filter(y.isNotNull()).groupBy(*keys, grid_cell(F.col(score), lo, hi).alias("i")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    spark = scored.sparkSession
-    grid = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("i"))
-    series = cells.select(*keys).distinct() if keys else None
-    full = grid.crossJoin(F.broadcast(series)) if keys else grid
-    # Predicted positive at cut-off i  <=>  cell >= i.  Cells are ≤ 81 per series.
-    tot = cells.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    joined = full.join(cells, keys, "inner") if keys else full.crossJoin(cells)
-    above = joined.filter(F.col("cell") >= F.col("i")).groupBy(*keys, "i").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    res = full.join(above, keys + ["i"], "left").join(F.broadcast(tot), keys, "inner") if keys else \
-        full.join(above, ["i"], "left").crossJoin(F.broadcast(tot))
+    # Every series gets the full grid lo..hi (plus the below-grid cell lo-1, which
+    # only counts towards the totals); cells are <= 82 rows per series.
+    grid = cells.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(lo - 1), F.lit(hi))).alias("i")) if keys else \
+        scored.sparkSession.range(lo - 1, hi + 1).select(F.col("id").cast("int").alias("i"))
+    full = grid.join(cells, keys + ["i"], "left").select(
+        *keys, "i", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg"))
+    # Predicted positive at cut-off i  <=>  cell >= i: suffix sums over the cells of a series.
+    suffix = Window.partitionBy(*keys).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    res = full.select(
+        *keys, "i",
+        F.sum("pos").over(suffix).alias("tp"), F.sum("neg").over(suffix).alias("fp"),
+        F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"),
+    ).filter(F.col("i") >= F.lit(lo))
     res = res.select(
-        *keys, (F.col("i").cast("double") / F.lit(100.0)).alias("threshold"),
-        F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"),
-        (F.col("N") - F.coalesce("fp", F.lit(0))).alias("tn"), (F.col("P") - F.coalesce("tp", F.lit(0))).alias("fn"),
+        *keys, (F.col("i").cast("double") / F.lit(100.0)).alias("threshold"), "tp", "fp",
+        (F.col("N") - F.col("fp")).alias("tn"), (F.col("P") - F.col("tp")).alias("fn"),
     )
     return with_rates(res)
 
@@ -171,13 +177,14 @@ def constrained_threshold(sw: DataFrame, base: float = 0.5, catch_mult: float =
     b = sw.filter(F.col("threshold") == F.lit(base)).select(
         (F.col("catch_rate") * F.lit(catch_mult)).alias("target_catch"),
         (F.col("good_rejection") + F.lit(max_extra)).alias("max_good_rejection"))
-    cand = sw.crossJoin(F.broadcast(b)).filter(
-        (F.col("catch_rate") >= F.col("target_catch")) & (F.col("good_rejection") <= F.col("max_good_rejection")))
+    bv = scalar_values(b)
+    cand = sw.filter((F.col("catch_rate") >= bv["target_catch"]) & (F.col("good_rejection") <= bv["max_good_rejection"]))
     best = cand.orderBy(F.col("good_rejection").asc(), F.col("threshold").asc()).limit(1).select(
         "threshold", F.lit("constraint").alias("chosen_by"))
     fb = sw.sparkSession.range(1).select(F.lit(float(fallback)).alias("threshold"), F.lit("fallback").alias("chosen_by"))
     pick = best.unionByName(fb).orderBy(F.when(F.col("chosen_by") == "constraint", 0).otherwise(1)).limit(1)
-    return pick.join(sw.select("threshold", "catch_rate", "good_rejection", "f2"), "threshold", "left").crossJoin(F.broadcast(b))
+    return pick.join(sw.select("threshold", "catch_rate", "good_rejection", "f2"), "threshold", "left").select(
+        "*", bv["target_catch"].alias("target_catch"), bv["max_good_rejection"].alias("max_good_rejection"))
 
 
 def closest_options(sw: DataFrame, top: int = 5) -> DataFrame:
@@ -249,7 +256,7 @@ def evaluate(scored: DataFrame, threshold: float, name: str = "model", score: st
     """One-call evaluation: AUC, confusion counts, rates and F2 at a cut-off."""
     cm = confusion(scored, threshold, score, label, keys)
     a = auc(scored, score, label, keys)
-    out = cm.join(a.select(*keys, "auc"), keys, "inner") if keys else cm.crossJoin(a.select("auc"))
+    out = with_series_stats(cm, a.select(*keys, "auc"), keys)
     return out.select(F.lit(name).alias("model") if not keys else F.col(keys[0]).alias("model"),
                       F.lit(float(threshold)).alias("threshold"), "auc", "tn", "fp", "fn", "tp",
                       "catch_rate", "good_rejection", "precision", "f2")

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import scalar_values
 from ..session import scratch_path
 from .prefix import exact_quantiles
 
@@ -242,7 +243,7 @@ def waterfall(shap: DataFrame, features: Sequence[str], row_id: str, id_col: str
     rest = ranked.filter(F.col("rank") >= max_display).agg(F.sum("shap").alias("shap"), F.count(F.lit(1)).alias("n")).filter("n > 0")
     rest = rest.select(F.lit(max_display).alias("rank"), F.concat(F.col("n").cast("string"), F.lit(" other features")).alias("feature"),
                        F.lit(None).cast("double").alias("value"), "shap")
-    steps = shown.unionByName(rest).crossJoin(F.broadcast(base))
+    steps = shown.unionByName(rest).withColumn("base_value", scalar_values(base)["base_value"])
     run = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return steps.withColumn("cumulative", F.col("base_value") + F.sum("shap").over(run))
 
@@ -255,9 +256,8 @@ def dependence(shap: DataFrame, features: Sequence[str], feature: str, id_col: s
     one = j.agg(*[F.abs(F.corr("shap", F.col(f"`{f}`"))).alias(f"c{i}") for i, f in enumerate(others)])
     best = one.select(F.explode(F.array(*[F.struct(F.coalesce(F.col(f"c{i}"), F.lit(0.0)).alias("c"), F.lit(f).alias("f"))
                                           for i, f in enumerate(others)])).alias("_s")).orderBy(F.col("_s.c").desc(), F.col("_s.f")).limit(1)
-    best = best.select(F.col("_s.f").alias("interaction_feature"))
-    return j.select(id_col, F.col(f"`{feature}`").alias("value"), "shap", *[F.col(f"`{f}`") for f in others]).crossJoin(
-        F.broadcast(best)).select(id_col, "value", "shap", "interaction_feature")
+    best = scalar_values(best.select(F.col("_s.f").alias("interaction_feature")))["interaction_feature"]
+    return j.select(id_col, F.col(f"`{feature}`").alias("value"), "shap", best.alias("interaction_feature"))
 
 
 def pick_rows(scored: DataFrame, id_col: str = "id", label: str = "target", score: str = "score",

@@ -25,6 +25,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import scalar_values
 from .profile import numeric_columns, string_columns
 
 # Multiplicative hash on the numeric id (integer arithmetic so any SQL engine
@@ -272,11 +273,11 @@ def class_weights(df: DataFrame, target: str = "target") -> DataFrame:
 
 
 def with_weight(df: DataFrame, weights: DataFrame, mode: str = "balanced", target: str = "target", out: str = "weight") -> DataFrame:
-    """Attach a per-row weight column from the one-row weights table (broadcast)."""
-    w = F.broadcast(weights)
-    j = df.crossJoin(w)
+    """Attach a per-row weight column from the one-row weights table (its
+    values enter as one scalar subquery)."""
+    w = scalar_values(weights)
     if mode == "balanced":
-        col = F.when(F.col(target) == 1, F.col("weight_pos_balanced")).otherwise(F.col("weight_neg_balanced"))
+        col = F.when(F.col(target) == 1, w["weight_pos_balanced"]).otherwise(w["weight_neg_balanced"])
     else:
-        col = F.when(F.col(target) == 1, F.col("scale_pos_weight")).otherwise(F.lit(1.0))
-    return j.withColumn(out, col).drop(*weights.columns)
+        col = F.when(F.col(target) == 1, w["scale_pos_weight"]).otherwise(F.lit(1.0))
+    return df.withColumn(out, col)

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import scalar_values
 from ..functions.recode import EMP_ORDER, SCORE_BANDS, half_open_band, iso_date, percent_text
 
 
@@ -36,8 +37,8 @@ def funnel(spark: SparkSession, accepted_raw: DataFrame, rejected: DataFrame, re
     )
     total = counts.filter(F.col("stage").isin("accepted", "rejected")).agg(F.sum("n").alias("_all"))
     allrow = total.select(F.lit("all_applications").alias("stage"), F.lit(0).alias("step"), F.col("_all").alias("n"))
-    return counts.unionByName(allrow).crossJoin(F.broadcast(total)).select(
-        "stage", "step", "n", (F.col("n") / F.col("_all")).alias("share_of_all"))
+    every = scalar_values(total)["_all"]
+    return counts.unionByName(allrow).select("stage", "step", "n", (F.col("n") / every).alias("share_of_all"))
 
 
 def score_bands(rej: DataFrame, score_col: str = "risk_score", lo: float = 300, hi: float = 850,
@@ -48,12 +49,11 @@ def score_bands(rej: DataFrame, score_col: str = "risk_score", lo: float = 300,
     band_table = spark.createDataFrame([(i, n, float(a), float(b)) for i, (a, b, n) in enumerate(bands)],
                                        "band_order int, band string, band_lo double, band_hi double")
     counts = valid.groupBy(half_open_band(score_col, bands).alias("band")).agg(F.count(F.lit(1)).alias("n"))
-    total = valid.agg(F.count(F.lit(1)).alias("_total"))
+    total = scalar_values(valid.agg(F.count(F.lit(1)).alias("_total")))["_total"]
     return (
         F.broadcast(band_table).join(counts, "band", "left")
-        .crossJoin(F.broadcast(total))
         .select("band_order", "band", "band_lo", "band_hi", F.coalesce("n", F.lit(0)).alias("n"),
-                (F.coalesce("n", F.lit(0)) / F.col("_total")).alias("share"))
+                (F.coalesce("n", F.lit(0)) / total).alias("share"))
     )
 
 
@@ -68,8 +68,8 @@ def compare_shares(accepted: DataFrame, acc_col: str, rejected: DataFrame, rej_c
     def shares(df, col, name):
         nn = df.filter(F.col(col).isNotNull())
         cnt = nn.groupBy(F.col(col).alias("category")).agg(F.count(F.lit(1)).alias("_n"))
-        tot = nn.agg(F.count(F.lit(1)).alias("_t"))
-        return cnt.crossJoin(F.broadcast(tot)).select("category", (F.col("_n") / F.col("_t") * 100.0).alias(name))
+        tot = scalar_values(nn.agg(F.count(F.lit(1)).alias("_t")))["_t"]
+        return cnt.select("category", (F.col("_n") / tot * 100.0).alias(name))
 
     a = shares(accepted, acc_col, "accepted_pct")
     r = shares(rejected, rej_col, "rejected_pct")

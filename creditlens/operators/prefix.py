@@ -24,22 +24,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def assign_buckets(df: DataFrame, order_col: str, keys: Sequence[str] = (), buckets: int = 64,
-                   accuracy: int = 10000) -> DataFrame:
+from ..functions.scalars import with_series_stats
+
+
+def resolve_buckets(spark, buckets: int | None = None, accuracy: int | None = None) -> tuple[int, int]:
+    """Bucket count and quantile accuracy for a series.  By default the count
+    follows the session's shuffle width (at least 64), so one series spreads
+    over as many window tasks as the cluster has shuffle partitions; the
+    accuracy keeps the cut error well below one bucket (relative error 1/accuracy)."""
+    if buckets is None:
+        try:
+            width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        except (TypeError, ValueError):
+            width = 200
+        buckets = max(64, width)
+    if accuracy is None:
+        accuracy = max(10000, 64 * buckets)
+    return buckets, accuracy
+
+
+def assign_buckets(df: DataFrame, order_col: str, keys: Sequence[str] = (), buckets: int | None = None,
+                   accuracy: int | None = None) -> DataFrame:
     """Add ``_bucket``: the index of the contiguous value range (cut at
     approximate quantiles per series) holding ``order_col``."""
     keys = list(keys)
+    buckets, accuracy = resolve_buckets(df.sparkSession, buckets, accuracy)
     probs = [i / buckets for i in range(1, buckets)]
     agg = F.percentile_approx(order_col, probs, accuracy).alias("_bounds")
     bounds = df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
     x = F.col(order_col)
-    with_b = df.join(F.broadcast(bounds), keys, "inner") if keys else df.crossJoin(F.broadcast(bounds))
+    with_b = with_series_stats(df, bounds, keys)
     return with_b.withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda b: b < x))).drop("_bounds")
 
 
 def previous_values(df: DataFrame, order_col: str, value_cols: Sequence[str], keys: Sequence[str] = (),
-                    buckets: int = 64, accuracy: int = 10000, prefix: str = "prev_") -> DataFrame:
+                    buckets: int | None = None, accuracy: int | None = None, prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<col>`` (and ``prev_<order_col>``): the values of the row just
     before in ascending ``order_col`` within each series (null for the first).
 
@@ -65,8 +84,8 @@ def running_sums(
     order_col: str,
     sum_cols: Sequence[str],
     keys: Sequence[str] = (),
-    buckets: int = 64,
-    accuracy: int = 10000,
+    buckets: int | None = None,
+    accuracy: int | None = None,
     suffix: str = "_cum",
 ) -> DataFrame:
     """Add ``<col>_cum`` = inclusive running sum of ``col`` in ascending
@@ -96,7 +115,7 @@ def running_sums(
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    buckets: int = 64) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy's default) for columns
     with any number of distinct values: rows collapse to (value, count), ranks
     come from the bucketed running sum, and the two order statistics around

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions.scalars import scalar_values, with_series_stats
 from ..functions.recode import EMP_LENGTH_YEARS, GRADE_ORDINAL, HISTORY_END_DATE, clip_keep_null, month_text_to_date, positive_flag, recode, years_until
 
 
@@ -54,8 +55,8 @@ def frequency(df: DataFrame, col: str, value_name: str | None = None) -> DataFra
     value_name = value_name or col
     nonnull = df.filter(F.col(col).isNotNull())
     counts = nonnull.groupBy(F.col(col).alias(value_name)).agg(F.count(F.lit(1)).alias("n"))
-    total = nonnull.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(value_name, "n", (F.col("n") / F.col("_total")).alias("share"))
+    total = scalar_values(nonnull.agg(F.count(F.lit(1)).alias("_total")))["_total"]
+    return counts.select(value_name, "n", (F.col("n") / total).alias("share"))
 
 
 def group_stats(df: DataFrame, by: str, col: str, stats: Sequence[str] = ("count", "mean", "median")) -> DataFrame:
@@ -133,7 +134,7 @@ def histogram(
     rng = rng.withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins)))
     if lo is not None or hi is not None:
         data = data.filter((F.col("_x") >= F.lit(lo if lo is not None else -math.inf)) & (F.col("_x") <= F.lit(hi if hi is not None else math.inf)))
-    joined = data.join(F.broadcast(rng), keys, "inner") if keys else data.crossJoin(F.broadcast(rng))
+    joined = with_series_stats(data, rng, keys)
     idx = F.least(
         F.lit(bins - 1),
         F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))).cast("int"),
@@ -177,7 +178,7 @@ def kde(df: DataFrame, col: str, by: str | None = None, points: int = 1000, digi
         ((F.lit(2.0) * (F.col("_mx") - F.col("_mn"))) / F.lit(float(points - 1))).alias("_step"),
     )
     distinct = data.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_w"))
-    joined = distinct.join(F.broadcast(stats), keys, "inner") if keys else distinct.crossJoin(F.broadcast(stats))
+    joined = with_series_stats(distinct, stats, keys)
     grid_x = lambda i: F.col("_g0") + i.cast("double") * F.col("_step")
     contrib = joined.select(
         *keys, "_n", "_h",
@@ -189,7 +190,7 @@ def kde(df: DataFrame, col: str, by: str | None = None, points: int = 1000, digi
         ).alias("point", "_k"),
     )
     summed = contrib.groupBy(*keys, "point").agg(F.sum("_k").alias("_s"))
-    return summed.join(F.broadcast(stats), keys, "inner" if keys else "cross").select(
+    return with_series_stats(summed, stats, keys).select(
         *keys,
         "point",
         (F.col("_g0") + F.col("point").cast("double") * F.col("_step")).alias("x"),
@@ -208,7 +209,7 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, whisker: float = 1
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_fence = F.col("q1") - F.lit(whisker) * F.col("iqr")
     hi_fence = F.col("q3") + F.lit(whisker) * F.col("iqr")
-    joined = data.join(F.broadcast(q), keys, "inner") if keys else data.crossJoin(F.broadcast(q))
+    joined = with_series_stats(data, q, keys)
     agg = joined.groupBy(*keys, "q1", "median", "q3", "iqr").agg(
         F.min(F.when(F.col("_x") >= lo_fence, F.col("_x"))).alias("whisker_lo"),
         F.max(F.when(F.col("_x") <= hi_fence, F.col("_x"))).alias("whisker_hi"),
@@ -246,9 +247,9 @@ def engineer(df: DataFrame, end_date: str = HISTORY_END_DATE, income_q: float =
     reference does before its split) in a one-row aggregate, broadcast back.
     """
     scope = cap_scope if cap_scope is not None else df
-    cap = scope.agg(F.percentile("annual_inc", F.lit(income_q)).alias("_income_cap"))
+    cap = scalar_values(scope.agg(F.percentile("annual_inc", F.lit(income_q)).alias("_income_cap")))["_income_cap"]
     out = (
-        df.crossJoin(F.broadcast(cap))
+        df.withColumn("_income_cap", cap)
         .withColumn("credit_history_years", years_until(month_text_to_date("earliest_cr_line"), end_date))
         .withColumn("has_derogatory", positive_flag("pub_rec"))
         .withColumn("annual_inc", clip_keep_null("annual_inc", 0.0, F.col("_income_cap")))

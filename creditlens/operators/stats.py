@@ -60,7 +60,7 @@ def point_biserial(df: DataFrame, features: Sequence[str], target: str = "target
 
 
 def mann_whitney(df: DataFrame, features: Sequence[str], target: str = "target", alpha: float = 0.05,
-                 with_p: bool = True, buckets: int = 64) -> DataFrame:
+                 with_p: bool = True, buckets: int | None = None) -> DataFrame:
     """Two-sided Mann-Whitney U of class 0 vs class 1 per feature, tie-corrected
     normal approximation with continuity correction, plus class medians.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from ..operators import evaluate as ev
 from ..operators import profile as prof
 from ..sources.fixtures import oracle_views
@@ -134,7 +135,7 @@ def closest_options(spark, sf_dir):
 def _at_f2(spark, sf_dir):
     sc = inputs.scored(spark, sf_dir)
     t = ev.f2_threshold(sc).select(F.col("threshold").alias("_t"))
-    return ev.confusion(sc.crossJoin(F.broadcast(t)), F.col("_t"))
+    return ev.confusion(with_scalars(sc, t), F.col("_t"))
 
 
 _AT_F2 = _F2.rstrip() + """,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import scalar_values
 from ..functions.recode import DROP_STATUSES, STATUS_TARGET, clip_keep_null, exclude_keep_null, month_text_to_date, recode, years_until
 from ..operators import profile as prof
 from ..sources import fixtures
@@ -215,8 +216,8 @@ SELECT feature, statistic, ROUND(dv, 6) AS default_value, ROUND(pv, 6) AS paid_v
 def hypothesis_summary(spark, sf_dir):
     """The five hypotheses' class statistics in one grouped pass."""
     loans = inputs.loans(spark, sf_dir)
-    cap = loans.agg(F.percentile("annual_inc", F.lit(0.99)).alias("_cap"))
-    e = loans.crossJoin(F.broadcast(cap)).select(
+    cap = scalar_values(loans.agg(F.percentile("annual_inc", F.lit(0.99)).alias("_cap")))["_cap"]
+    e = loans.withColumn("_cap", cap).select(
         "target", "dti", "pub_rec",
         years_until(month_text_to_date("earliest_cr_line")).alias("credit_history_years"),
         clip_keep_null("annual_inc", 0.0, F.col("_cap")).alias("annual_inc_capped"),

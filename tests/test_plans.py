@@ -67,3 +67,32 @@ def test_bounded_sides_are_broadcast(spark):
     df.collect()
     plan = _plan(df)
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_statistics_enter_as_scalars_not_cross_joins(spark):
+    """One-row statistics (totals, caps, ranges, cut-offs) are scalar subqueries;
+    per-series statistics join on the series keys.  No registered query of the
+    data-level kind plans a nested-loop or Cartesian join."""
+    from creditlens.plans.registry import load_all
+
+    reg = load_all()
+    names = ["funnel", "score_bands", "employment_compare", "frequency_purpose", "histogram_dti", "kde_dti", "box_dti",
+             "hypothesis_summary", "engineered_features", "threshold_sweep", "constrained_threshold", "roc_curve_thinned",
+             "auc_exact", "f2_threshold", "business_impact", "classification_report", "model_comparison", "class_weights", "mann_whitney_u"]
+    for name in [n for n in names if n in reg]:
+        plan = _plan(reg[name].build(spark, SF_SMALL))
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_f2_threshold_per_series_is_an_aggregate(spark):
+    """With series keys the arg-max is a partial aggregate, not a window over a series."""
+    from pyspark.sql import functions as F
+
+    sc = inputs.scored(spark, SF_SMALL)
+    two = sc.select("score", "target", F.lit("a").alias("model")).unionByName(
+        sc.select((F.col("score") * 0.5).alias("score"), "target", F.lit("b").alias("model")))
+    plan = _plan(ev.f2_threshold(two, keys=["model"]))
+    assert "partial_max_by" in plan
+    got = {r["model"]: r["raw_threshold"] for r in ev.f2_threshold(two, keys=["model"]).collect()}
+    alone = ev.f2_threshold(sc).first()["raw_threshold"]
+    assert abs(got["a"] - alone) < 1e-12 and abs(got["b"] - alone * 0.5) < 1e-12
