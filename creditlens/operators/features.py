@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import scalar_values
+from .prefix import medians
 from .profile import numeric_columns, string_columns
 
 # Multiplicative hash on the numeric id (integer arithmetic so any SQL engine
@@ -38,13 +39,22 @@ HASH_A = 48271
 # Imputation
 # ---------------------------------------------------------------------------
 def fit_imputer(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], accuracy: int | None = None) -> dict:
-    """Medians of numeric columns and modes of categoricals in one aggregate."""
-    med = (lambda c: F.percentile_approx(c, 0.5, accuracy)) if accuracy else (lambda c: F.median(c))
-    aggs = [med(c).alias(f"m__{c}") for c in numeric] + [F.mode(c, True).alias(f"o__{c}") for c in categorical]
-    if not aggs:
-        return {"median": {}, "mode": {}}
-    row = df.agg(*aggs).first()
-    return {"median": {c: row[f"m__{c}"] for c in numeric}, "mode": {c: row[f"o__{c}"] for c in categorical}}
+    """Medians of numeric columns and modes of categoricals.
+
+    Exact medians run as one bucketed rank job over all numeric columns
+    (``accuracy=`` switches to ``percentile_approx``); modes are one aggregate
+    (their state is bounded by the categories' cardinality)."""
+    out = {"median": {}, "mode": {}}
+    if numeric and accuracy:
+        row = df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in numeric]).first()
+        out["median"] = {c: row[c] for c in numeric}
+    elif numeric:
+        row = medians(df, numeric).first()
+        out["median"] = {c: row[c] for c in numeric}
+    if categorical:
+        row = df.agg(*[F.mode(c, True).alias(c) for c in categorical]).first()
+        out["mode"] = {c: row[c] for c in categorical}
+    return out
 
 
 def apply_imputer(df: DataFrame, stats: dict) -> DataFrame:

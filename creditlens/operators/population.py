@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import scalar_values
+from .prefix import exact_quantiles
 from ..functions.recode import EMP_ORDER, SCORE_BANDS, half_open_band, iso_date, percent_text
 
 
@@ -137,9 +138,11 @@ def population_stats(accepted: DataFrame, acc_col: str, rejected: DataFrame, rej
     def one(df, col, name):
         x = F.col(col)
         cond = x.isNotNull() & ((x >= lo) if lo_inclusive else (x > lo)) & (x <= hi)
-        return df.filter(cond).agg(
+        kept = df.filter(cond)
+        med = scalar_values(exact_quantiles(kept, col, [0.5]).select(F.col("q_0").alias("median")))["median"]
+        return kept.agg(
             F.count(F.lit(1)).alias("n"), F.round(F.avg(col), digits).alias("mean"),
-            F.round(F.median(col), 9).alias("median"), F.round(F.stddev_samp(col), digits).alias("std"),
+            F.round(med, 9).alias("median"), F.round(F.stddev_samp(col), digits).alias("std"),
         ).select(F.lit(name).alias("population"), "*")
 
     return one(accepted, acc_col, "accepted").unionByName(one(rejected, rej_col, "rejected"))

@@ -140,3 +140,26 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Seque
     q = q.select(*keys, "_i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))).alias("_q"))
     return q.groupBy(*keys).pivot("_i", list(range(len(probs)))).agg(F.first("_q")).select(
         *keys, *[F.col(str(i)).alias(f"q_{i}") for i in range(len(probs))])
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
+                     buckets: int | None = None, feature: str = "feature") -> DataFrame:
+    """Exact quantiles of several columns at once: the columns are unpivoted to
+    (keys, feature, value), and every (keys, feature) pair is one series of
+    ``exact_quantiles``.  One row per (keys, feature) with ``q_<i>``; a column
+    with no non-null value has no row.  Nothing is merged in one task: values
+    collapse to counts per task, ranks come from the bucketed running sums."""
+    keys = list(keys)
+    pairs = F.array(*[F.struct(F.lit(c).alias("_f"), F.col(f"`{c}`").cast("double").alias("_v")) for c in cols])
+    long = df.select(*keys, F.explode(pairs).alias("_s")).select(*keys, F.col("_s._f").alias(feature), F.col("_s._v").alias("_v"))
+    return exact_quantiles(long, "_v", probs, keys=keys + [feature], buckets=buckets)
+
+
+def medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact medians (linear interpolation) of ``cols`` per ``keys``, wide: one
+    row per key combination, one column per input column (null when a column
+    has no value in that group)."""
+    keys = list(keys)
+    long = column_quantiles(df, cols, [0.5], keys)
+    g = long.groupBy(*keys) if keys else long.groupBy()
+    return g.pivot("feature", list(cols)).agg(F.first("q_0"))

@@ -3,10 +3,10 @@ histograms, kernel density curves, box summaries.
 
 Many-column statistics are computed in ONE aggregate and then unpivoted, so
 the table is scanned once.  Quantiles are exact (linear interpolation, as
-pandas/numpy) through Spark's ``percentile`` aggregate, whose partial state
-is a value->count map: its size grows with the number of DISTINCT values,
-not rows.  Pass ``accuracy=`` to switch to ``percentile_approx`` for
-continuous columns with billions of distinct values.
+pandas/numpy) and computed by the bucketed rank job of ``prefix`` (values
+collapse to counts per task; ranks from range-partitioned running sums), so
+no group's value->count map is ever merged in one task.  Pass ``accuracy=``
+to switch to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.scalars import scalar_values, with_series_stats
 from ..functions.recode import EMP_LENGTH_YEARS, GRADE_ORDINAL, HISTORY_END_DATE, clip_keep_null, month_text_to_date, positive_flag, recode, years_until
+from ..functions.scalars import scalar_values, with_series_stats
+from .prefix import column_quantiles, exact_quantiles, medians
 
 
 def quantile_expr(col: str | Column, p: float | Sequence[float], accuracy: int | None = None) -> Column:
+    """Quantile aggregate expression: ``percentile_approx`` with ``accuracy``, else
+    Spark's exact ``percentile`` (for columns with few distinct values)."""
     c = F.col(col) if isinstance(col, str) else col
     if accuracy is not None:
         return F.percentile_approx(c, p if isinstance(p, float) else list(p), accuracy)
@@ -64,9 +67,13 @@ def group_stats(df: DataFrame, by: str, col: str, stats: Sequence[str] = ("count
     exprs = {
         "count": F.count(col).alias(f"{col}_count"),
         "mean": F.avg(col).alias(f"{col}_mean"),
-        "median": F.median(col).alias(f"{col}_median"),
     }
-    return df.filter(F.col(by).isNotNull()).groupBy(by).agg(*[exprs[s] for s in stats])
+    d = df.filter(F.col(by).isNotNull())
+    out = d.groupBy(by).agg(*[exprs[s] for s in stats if s != "median"], F.count(F.lit(1)).alias("_rows"))
+    if "median" in stats:
+        med = medians(d, [col], [by]).withColumnRenamed(col, f"{col}_median")
+        out = out.join(med, by, "left")
+    return out.select(by, *[f"{col}_{s}" for s in stats])
 
 
 def first_groups(df: DataFrame, key: str, value: str, n: int = 8) -> DataFrame:
@@ -91,21 +98,25 @@ def describe_exact(df: DataFrame, cols: Sequence[str], accuracy: int | None = No
     """count, mean, sample std, min, exact quartiles, max per column — one scan, one row per column."""
     aggs = []
     for c in cols:
-        q = quantile_expr(c, [0.25, 0.5, 0.75], accuracy)
         aggs += [
             F.count(c).alias(f"{c}__count"),
             F.avg(c).alias(f"{c}__mean"),
             F.stddev_samp(c).alias(f"{c}__std"),
             F.min(F.col(c).cast("double")).alias(f"{c}__min"),
-            q.alias(f"{c}__q"),
             F.max(F.col(c).cast("double")).alias(f"{c}__max"),
         ]
+        if accuracy:
+            aggs.append(quantile_expr(c, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"))
     one = df.agg(*aggs)
-    one = one.select(
-        "*",
-        *[F.col(f"{c}__q")[i].alias(f"{c}__{n}") for c in cols for i, n in enumerate(("p25", "p50", "p75"))],
-    )
-    return _stack(one, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    if accuracy:
+        one = one.select("*", *[F.col(f"{c}__q")[i].alias(f"{c}__{n}") for c in cols for i, n in enumerate(("p25", "p50", "p75"))])
+        return _stack(one, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    # Exact quartiles of every column in one bucketed job, joined on the column name (<= #columns rows).
+    base = _stack(one, cols, ["count", "mean", "std", "min", "max"])
+    q = column_quantiles(df, cols, [0.25, 0.5, 0.75], feature="column_name").select(
+        "column_name", F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"))
+    return base.join(F.broadcast(q), "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def histogram(
@@ -204,8 +215,8 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, whisker: float = 1
     per series is broadcast back."""
     keys = [by] if by else []
     data = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_x"))
-    q = data.groupBy(*keys).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(data, "_x", [0.25, 0.5, 0.75], keys)
+    q = q.select(*keys, F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_fence = F.col("q1") - F.lit(whisker) * F.col("iqr")
     hi_fence = F.col("q3") + F.lit(whisker) * F.col("iqr")
@@ -247,7 +258,7 @@ def engineer(df: DataFrame, end_date: str = HISTORY_END_DATE, income_q: float =
     reference does before its split) in a one-row aggregate, broadcast back.
     """
     scope = cap_scope if cap_scope is not None else df
-    cap = scalar_values(scope.agg(F.percentile("annual_inc", F.lit(income_q)).alias("_income_cap")))["_income_cap"]
+    cap = scalar_values(exact_quantiles(scope, "annual_inc", [income_q]).select(F.col("q_0").alias("_income_cap")))["_income_cap"]
     out = (
         df.withColumn("_income_cap", cap)
         .withColumn("credit_history_years", years_until(month_text_to_date("earliest_cr_line"), end_date))
@@ -267,12 +278,15 @@ def hypothesis_summary(df: DataFrame, target: str = "target", digits: int = 6) -
     ``df`` is the labelled table with the engineered ``credit_history_years``,
     raw ``pub_rec`` and income capped as ``annual_inc_capped``."""
     specs = [
-        ("dti", "median", F.median("dti")),
-        ("credit_history_years", "median", F.median("credit_history_years")),
-        ("annual_inc_capped", "median", F.median("annual_inc_capped")),
+        ("dti", "median", None),
+        ("credit_history_years", "median", None),
+        ("annual_inc_capped", "median", None),
         ("pub_rec", "mean", F.avg("pub_rec")),
     ]
-    per_class = df.filter(F.col(target).isNotNull()).groupBy(target).agg(*[e.alias(n) for n, _, e in specs])
+    d = df.filter(F.col(target).isNotNull())
+    means = d.groupBy(target).agg(*[e.alias(n) for n, _, e in specs if e is not None])
+    # Exact class medians in one bucketed job (no value->count map merged in one task).
+    per_class = means.join(medians(d, [n for n, _, e in specs if e is None], [target]), target, "left")
     pivoted = per_class.agg(
         *[F.max(F.when(F.col(target) == 1, F.col(n))).alias(f"{n}__default_value") for n, _, _ in specs],
         *[F.max(F.when(F.col(target) == 0, F.col(n))).alias(f"{n}__paid_value") for n, _, _ in specs],

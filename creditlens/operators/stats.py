@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import special
 from ..functions.recode import VIF_ELSE, VIF_VERDICTS, above_label
-from .prefix import running_sums
+from .prefix import medians, running_sums
 
 
 @F.pandas_udf(DoubleType())
@@ -86,7 +86,7 @@ def mann_whitney(df: DataFrame, features: Sequence[str], target: str = "target",
     sigma = F.sqrt(n0 * n1 / F.lit(12.0) * ((n + F.lit(1.0)) - F.col("tie_term") / (n * (n - F.lit(1.0)))))
     big_u = F.greatest(F.col("u_statistic"), n0 * n1 - F.col("u_statistic"))
     per = per.withColumn("z", (big_u - mu - F.lit(0.5)) / sigma)
-    med = d.groupBy(target).agg(*[F.median(c).alias(c) for c in features])
+    med = medians(d, features, [target])
     med_long = med.select(target, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("m")) for c in features])).alias("_s"))
     med_w = med_long.groupBy("_s.feature").agg(
         F.max(F.when(F.col(target) == 0, F.col("_s.m"))).alias("median_paid"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import scalar_values
+from ..operators.prefix import exact_quantiles
 from ..functions.recode import DROP_STATUSES, STATUS_TARGET, clip_keep_null, exclude_keep_null, month_text_to_date, recode, years_until
 from ..operators import profile as prof
 from ..sources import fixtures
@@ -99,10 +100,10 @@ FROM loans WHERE target IS NOT NULL GROUP BY target""")
 def income_quantiles(spark, sf_dir):
     """Global and per-class exact quantiles."""
     loans = inputs.loans(spark, sf_dir)
-    q = lambda: [F.round(prof.quantile_expr("annual_inc", 0.99), 9).alias("p99"), F.round(F.median("annual_inc"), 9).alias("p50")]
-    overall = loans.agg(*q()).select(F.lit("all").alias("scope"), "p99", "p50")
-    per = loans.filter(F.col("target").isNotNull()).groupBy("target").agg(*q()).select(
-        F.col("target").cast("string").alias("scope"), "p99", "p50")
+    both = lambda q: q.select(F.round("q_0", 9).alias("p99"), F.round("q_1", 9).alias("p50"))
+    overall = both(exact_quantiles(loans, "annual_inc", [0.99, 0.5])).select(F.lit("all").alias("scope"), "p99", "p50")
+    per = exact_quantiles(loans.filter(F.col("target").isNotNull()), "annual_inc", [0.99, 0.5], keys=["target"])
+    per = per.select(F.col("target").cast("string").alias("scope"), F.round("q_0", 9).alias("p99"), F.round("q_1", 9).alias("p50"))
     return overall.unionByName(per)
 
 
@@ -216,7 +217,7 @@ SELECT feature, statistic, ROUND(dv, 6) AS default_value, ROUND(pv, 6) AS paid_v
 def hypothesis_summary(spark, sf_dir):
     """The five hypotheses' class statistics in one grouped pass."""
     loans = inputs.loans(spark, sf_dir)
-    cap = scalar_values(loans.agg(F.percentile("annual_inc", F.lit(0.99)).alias("_cap")))["_cap"]
+    cap = scalar_values(exact_quantiles(loans, "annual_inc", [0.99]).select(F.col("q_0").alias("_cap")))["_cap"]
     e = loans.withColumn("_cap", cap).select(
         "target", "dti", "pub_rec",
         years_until(month_text_to_date("earliest_cr_line")).alias("credit_history_years"),

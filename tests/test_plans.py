@@ -96,3 +96,15 @@ def test_f2_threshold_per_series_is_an_aggregate(spark):
     got = {r["model"]: r["raw_threshold"] for r in ev.f2_threshold(two, keys=["model"]).collect()}
     alone = ev.f2_threshold(sc).first()["raw_threshold"]
     assert abs(got["a"] - alone) < 1e-12 and abs(got["b"] - alone * 0.5) < 1e-12
+
+
+def test_exact_quantiles_merge_no_value_map_in_one_task(spark):
+    """describe / class medians / caps use the bucketed rank job, not Spark's
+    value->count ``percentile`` state merged per group."""
+    from creditlens.plans.registry import load_all
+
+    reg = load_all()
+    for name in ("describe_exact", "hypothesis_summary", "income_quantiles", "box_dti", "dti_populations"):
+        if name in reg:
+            plan = _plan(reg[name].build(spark, SF_SMALL))
+            assert "percentile(" not in plan, name
