@@ -143,13 +143,12 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], min_distinct: int = 3) -> dic
     count-distinct: a column has >2 values iff some value lies strictly
     between its min and max (two cheap aggregates)."""
     assert min_distinct == 3
-    mm = df.agg(*[F.min(c).alias(f"lo__{c}") for c in cols], *[F.max(c).alias(f"hi__{c}") for c in cols]).first()
-    mid = df.agg(*[F.count_if((F.col(c) > F.lit(mm[f"lo__{c}"])) & (F.col(c) < F.lit(mm[f"hi__{c}"]))).alias(c)
-                   for c in cols if mm[f"lo__{c}"] is not None]).first()
-    scale_cols = [c for c in cols if mm[f"lo__{c}"] is not None and mid[c] > 0]
-    if not scale_cols:
-        return {"mean": {}, "std": {}}
-    row = df.agg(*[F.avg(c).alias(f"mu__{c}") for c in scale_cols], *[F.stddev_pop(c).alias(f"sd__{c}") for c in scale_cols]).first()
+    row = df.agg(*[F.min(c).alias(f"lo__{c}") for c in cols], *[F.max(c).alias(f"hi__{c}") for c in cols],
+                 *[F.avg(c).alias(f"mu__{c}") for c in cols], *[F.stddev_pop(c).alias(f"sd__{c}") for c in cols]).first()
+    present = [c for c in cols if row[f"lo__{c}"] is not None]
+    mid = df.agg(*[F.count_if((F.col(c) > F.lit(row[f"lo__{c}"])) & (F.col(c) < F.lit(row[f"hi__{c}"]))).alias(c)
+                   for c in present]).first() if present else {}
+    scale_cols = [c for c in present if mid[c] > 0]
     return {"mean": {c: row[f"mu__{c}"] for c in scale_cols},
             "std": {c: (row[f"sd__{c}"] if row[f"sd__{c}"] else 1.0) for c in scale_cols}}
 
@@ -243,12 +242,15 @@ PREP_FEATURES = ["dti", "earliest_cr_line", "purpose", "annual_inc", "pub_rec",
                  "total_acc", "mort_acc", "delinq_2yrs", "inq_last_6mths", "target"]
 
 
-def prepare(labelled: DataFrame, id_col: str = "id", test_fraction: float = 0.2, cache: bool = False) -> tuple[DataFrame, dict]:
+def prepare(labelled: DataFrame, id_col: str = "id", test_fraction: float = 0.2, checkpoint: bool = True) -> tuple[DataFrame, dict]:
     """Returns (prepared table with ``is_test``, fitted statistics).
 
     Imputation and encoding are fitted on all labelled rows (null targets
     included) as the reference does; null-target rows are then dropped, the
-    split taken, and the scaler fitted on the training side only."""
+    split taken, and the scaler fitted on the training side only.  The split
+    table is checkpointed once into the shared checkpoint folder, so the scaler
+    passes and the final output read it instead of re-running the split."""
+    from ..session import checkpoint_dir
     from .profile import engineer
 
     feats = [c for c in PREP_FEATURES if c in labelled.columns]
@@ -260,8 +262,9 @@ def prepare(labelled: DataFrame, id_col: str = "id", test_fraction: float = 0.2,
     levels = fit_levels(imputed, cat)
     encoded = apply_one_hot(imputed, levels)
     split = stratified_split(encoded, "target", test_fraction, id_col)
-    if cache:
-        split = split.cache()
+    if checkpoint:
+        checkpoint_dir(split.sparkSession)
+        split = split.checkpoint(eager=True)
     train = split.filter(~F.col("is_test"))
     feature_cols = [c for c in encoded.columns if c not in (id_col, "target")]
     scaler = fit_scaler(train, feature_cols)

@@ -191,17 +191,30 @@ def kde(df: DataFrame, col: str, by: str | None = None, points: int = 1000, digi
     distinct = data.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_w"))
     joined = with_series_stats(distinct, stats, keys)
     grid_x = lambda i: F.col("_g0") + i.cast("double") * F.col("_step")
+    # A value only reaches grid points within 40 bandwidths: beyond that exp(-z^2/2)
+    # underflows to exactly 0.0, so skipping those points leaves every sum unchanged.
+    span = F.lit(40.0) * F.col("_h")
+    narrow = (F.col("_h") > 0) & (F.col("_step") > 0)
+    lo_i = F.greatest(F.lit(0.0), F.floor((F.col("_x") - span - F.col("_g0")) / F.col("_step")) - 1)
+    hi_i = F.least(F.lit(float(points - 1)), F.ceil((F.col("_x") + span - F.col("_g0")) / F.col("_step")) + 1)
+    first = F.when(narrow, lo_i).otherwise(F.lit(0.0)).cast("int")
+    last = F.when(narrow, hi_i).otherwise(F.lit(float(points - 1))).cast("int")
+    idx = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     contrib = joined.select(
-        *keys, "_n", "_h",
-        F.posexplode(
+        *keys,
+        F.explode(
             F.transform(
-                F.sequence(F.lit(0), F.lit(points - 1)),
-                lambda i: F.col("_w") * F.exp(F.lit(-0.5) * F.pow((grid_x(i) - F.col("_x")) / F.col("_h"), F.lit(2.0))),
+                idx,
+                lambda i: F.struct(i.alias("point"), (F.col("_w") * F.exp(
+                    F.lit(-0.5) * F.pow((grid_x(i) - F.col("_x")) / F.col("_h"), F.lit(2.0)))).alias("_k")),
             )
-        ).alias("point", "_k"),
-    )
+        ).alias("_c"),
+    ).select(*keys, "_c.point", "_c._k")
     summed = contrib.groupBy(*keys, "point").agg(F.sum("_k").alias("_s"))
-    return with_series_stats(summed, stats, keys).select(
+    # Every grid point of a series is reported (0 where no value reaches it).
+    grid = stats.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    full = grid.join(summed, keys + ["point"], "left").select(*keys, "point", F.coalesce("_s", F.lit(0.0)).alias("_s"))
+    return with_series_stats(full, stats, keys).select(
         *keys,
         "point",
         (F.col("_g0") + F.col("point").cast("double") * F.col("_step")).alias("x"),
