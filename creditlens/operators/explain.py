@@ -161,42 +161,66 @@ def shap_batch(x: np.ndarray, t: dict, n_features: int, chunk: int = 256) -> np.
     return phi
 
 
+LEAF_ARRAYS = ("feat", "lo", "hi", "r", "w", "val", "dlen")
+
+
+def split_tables(t: dict, max_bytes: int) -> list[dict]:
+    """Cut leaf tables into consecutive leaf ranges of at most ``max_bytes``
+    each (attributions are additive over leaves, so the ranges can be
+    explained one after another and summed)."""
+    n = len(t["val"])
+    per_leaf = max(1, sum(t[k][:1].nbytes for k in LEAF_ARRAYS))
+    step = max(1, int(max_bytes) // per_leaf)
+    return [{**t, **{k: t[k][s:s + step] for k in LEAF_ARRAYS}} for s in range(0, max(n, 1), step)]
+
+
 def shap_values(df: DataFrame, model, features: Sequence[str], id_col: str = "id", kind: str | None = None,
-                batch_rows: int = 2048, keep: Sequence[str] = ()) -> DataFrame:
+                batch_rows: int = 2048, keep: Sequence[str] = (), max_broadcast_bytes: int = 128 << 20) -> DataFrame:
     """Per-row attributions ``shap_<feature>``, ``base_value`` and the model
     output being explained (``margin``), for every row of ``df``.  The feature
     values (and ``keep`` columns) travel with the row, so the views below need
-    no join back to the data."""
+    no join back to the data.
+
+    The leaf tables are broadcast only up to ``max_broadcast_bytes``; a larger
+    model is cut into leaf ranges under that size, each broadcast to its own
+    chained ``mapInPandas`` stage that adds its share to running attribution
+    columns (no join, no shuffle; the sum is exact)."""
     spark = df.sparkSession
     t = leaf_tables(spark, model, kind)
-    bt = spark.sparkContext.broadcast(t)
+    parts = split_tables(t, max_broadcast_bytes)
     feats = list(features)
     k = len(feats)
+    shap_cols = [f"shap_{f}" for f in feats]
     keep = [c for c in keep if c not in feats and c != id_col]
     kept_types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in keep}
-    out_schema = (f"`{id_col}` string, " + "".join(f"`{c}` {kept_types[c]}, " for c in keep)
-                  + "".join(f"`{f}` double, " for f in feats)
-                  + ", ".join(f"`shap_{f}` double" for f in feats) + ", base_value double, margin double")
-
-    def run(batches):
-        tab = bt.value
-        for pdf in batches:
-            for s in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[s:s + batch_rows]
-                x = part[feats].to_numpy(dtype=np.float64)
-                phi = shap_batch(x, tab, k)
-                res = pd.DataFrame(phi, columns=[f"shap_{f}" for f in feats])
-                vals = pd.DataFrame(x, columns=feats)
-                res = pd.concat([vals, res], axis=1)
-                for c in reversed(keep):
-                    res.insert(0, c, part[c].to_numpy())
-                res.insert(0, id_col, part[id_col].astype(str).to_numpy())
-                res["base_value"] = tab["base"]
-                res["margin"] = tab["base"] + phi.sum(axis=1)
-                yield res
-
-    return df.select(F.col(id_col).cast("string").alias(id_col), *[F.col(f"`{c}`") for c in keep],
-                     *[F.col(f"`{f}`").cast("double").alias(f) for f in feats]).mapInPandas(run, out_schema)
+    carried = (f"`{id_col}` string, " + "".join(f"`{c}` {kept_types[c]}, " for c in keep)
+               + ", ".join(f"`{f}` double" for f in feats))
+    running = ", ".join(f"`{c}` double" for c in shap_cols)
+
+    def stage(bt, first: bool, last: bool):
+        def run(batches):
+            tab = bt.value
+            for pdf in batches:
+                for s in range(0, len(pdf), batch_rows):
+                    part = pdf.iloc[s:s + batch_rows].reset_index(drop=True)
+                    x = part[feats].to_numpy(dtype=np.float64)
+                    phi = shap_batch(x, tab, k)
+                    if not first:
+                        phi += part[shap_cols].to_numpy(dtype=np.float64)
+                    res = pd.concat([part[[id_col, *keep, *feats]], pd.DataFrame(phi, columns=shap_cols)], axis=1)
+                    if last:
+                        res["base_value"] = tab["base"]
+                        res["margin"] = tab["base"] + phi.sum(axis=1)
+                    yield res
+        return run
+
+    cur = df.select(F.col(id_col).cast("string").alias(id_col), *[F.col(f"`{c}`") for c in keep],
+                    *[F.col(f"`{f}`").cast("double").alias(f) for f in feats])
+    for n, tab in enumerate(parts):
+        first, last = n == 0, n == len(parts) - 1
+        schema = f"{carried}, {running}" + (", base_value double, margin double" if last else "")
+        cur = cur.mapInPandas(stage(spark.sparkContext.broadcast(tab), first, last), schema)
+    return cur
 
 
 def model_margin(model, df: DataFrame, kind: str | None = None) -> DataFrame:
