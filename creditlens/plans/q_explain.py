@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import scalar_values
 from ..operators import explain as ex
 from ..operators import features as fe
 from ..sources.fixtures import oracle_views
 from . import modelling as md
 from .q_features import _SPLIT
+from .q_models import checks_table
 from .registry import query
 
 _MEMO: dict = {}
@@ -34,10 +36,10 @@ def shap_additivity(spark, sf_dir):
     shap, data, feats, m, test = _shap(spark, sf_dir)
     out = ex.model_margin(m, test).select(F.col("id").cast("string").alias("id"), "model_output")
     j = shap.join(out, "id")
-    r = j.agg(F.max(F.abs(F.col("margin") - F.col("model_output"))).alias("err"), F.count(F.lit(1)).alias("n")).first()
-    n_test = test.count()
-    return spark.createDataFrame([("every_row_adds_up", bool(r["err"] is not None and r["err"] < 1e-6)),
-                                  ("every_test_row_explained", r["n"] == n_test)], "check string, ok boolean")
+    n_test = scalar_values(test.agg(F.count(F.lit(1)).alias("n")))["n"]
+    one = j.agg(F.max(F.abs(F.col("margin") - F.col("model_output"))).alias("_err"), F.count(F.lit(1)).alias("_n")).select(
+        (F.col("_err") < 1e-6).alias("every_row_adds_up"), (F.col("_n") == n_test).alias("every_test_row_explained"))
+    return checks_table(one, ["every_row_adds_up", "every_test_row_explained"])
 
 
 @query("shap_mean_abs")
