@@ -156,3 +156,19 @@ def test_column_quantiles_and_medians_match_numpy(spark):
     med = medians(df, ["a", "b"]).first()
     assert math.isclose(med["a"], float(np.median(pdf.a)), rel_tol=1e-12)
     assert math.isclose(med["b"], float(np.median(pdf.b.dropna())), rel_tol=1e-12)
+
+
+def test_two_level_bucket_lookup_equals_linear_count(spark):
+    """_bucket = number of cut points below the value, for bucket counts that are and are not squares."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from creditlens.operators.prefix import assign_buckets
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(v),) for v in rng.integers(0, 200, 3000)], "x double")
+    for b in (3, 16, 50, 130):
+        got = assign_buckets(df, "x", buckets=b).toPandas()
+        cuts = df.agg(F.percentile_approx("x", [i / b for i in range(1, b)], max(10000, 64 * b))).first()[0]
+        exp = np.searchsorted(np.array(cuts), got.x.to_numpy(), side="left")
+        assert (exp == got._bucket.to_numpy()).all(), b
