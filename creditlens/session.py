@@ -32,19 +32,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared file system);
-    only for a local master do we create a private folder when it is unset.
-    The directory is also registered with the SparkContext so ``checkpoint()``
-    and the ML estimators' ``checkpointInterval`` use it.
+    The deployment names a folder that the driver and all executors share. Only
+    where the key is unset and the master is local (tests) does the session get
+    a folder of its own; it is registered with the SparkContext either way, so
+    ``checkpoint()`` and the ML estimators' ``checkpointInterval`` use it.
     """
+    own = spark.sparkContext.getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and own:
+        path = own.rsplit("/", 1)[0]
     if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="creditlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="creditlens-")
+    if own is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
