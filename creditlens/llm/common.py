@@ -41,7 +41,7 @@ def write_shared(path: str, write) -> str:
     fs, place = open_shared(path)
     fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
     draft = f"{place}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(draft) as out:
+    with fs.open_output_stream(draft, compression=None) as out:
         write(out)
     fs.move(draft, place)
     return path
