@@ -15,6 +15,7 @@ from ..session import scratch_path
 
 #: Bytes of text that one vectorised step takes at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 19
+BLOCK_ROWS = 4096
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -69,10 +70,10 @@ def string_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_blocks(array: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) for runs of rows of about ``most`` bytes."""
+    """(first row, end row, bytes, offsets from 0) for runs of rows of about ``most`` bytes, ``BLOCK_ROWS`` rows at most."""
     data, offsets = string_buffers(array)
     lo = 0
     while lo < len(offsets) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1), lo + BLOCK_ROWS)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi

@@ -146,16 +146,8 @@ def _buckets(classes: DataFrame, halves: int) -> DataFrame:
     return staged(keys, "keys")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
-                    width: int = 5, halves: int = 12, rows: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, a row per input row.
-
-    A null or empty text, or one without words, has no set, is linked with nothing and
-    is its own component. Rows with equal sets are one class whatever their ids; a null
-    doc_id belongs to its class's component but never names it, and where a component
-    has null ids only, component_id is null and those rows are kept. Repeated rows each
-    get a result. Other columns of the input are not read.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, halves: int, rows: int) -> DataFrame:
+    """doc_id, crc, n_shingles, component (null without a set) and component_id of every row."""
     docs = docs.select(named(id_col, "doc_id").cast("long").alias("doc_id"), named(text_col, "text"))
     docs = docs.select("doc_id", F.crc32("text").alias("crc"), "text")
     sig = staged(signatures(docs, width, halves, rows), "signatures")
@@ -205,7 +197,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named_ = ids.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named_.groupBy("component").agg(F.min("of_id").alias("component_id"))
-    of = named_.join(least, "component").select("cls", "component_id")
-    out = sig.select("doc_id", "n_shingles", "cls").join(of, "cls", "left")
-    cid = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
+    of = named_.join(least, "component").select("cls", "component", "component_id")
+    out = sig.select("doc_id", "crc", "n_shingles", "cls").join(of, "cls", "left")
+    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "crc", "n_shingles", "component", own.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
+                    width: int = 5, halves: int = 12, rows: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, a row per input row.
+
+    A null or empty text, or one without words, has no set, is linked with nothing and
+    is its own component. Rows with equal sets are one class whatever their ids; a null
+    doc_id belongs to its class's component but never names it, and where a component
+    has null ids only, component_id is null and those rows are kept. Repeated rows each
+    get a result. Other columns of the input are not read.
+    """
+    out = _linked(docs, id_col, text_col, percent, width, halves, rows)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
+                     width: int = 5, halves: int = 12, rows: int = 2) -> DataFrame:
+    """One row of ``docs`` for each component, that of its component_id, with the columns of ``docs``.
+
+    Rows without a set all stay. Where several rows of a component have its id, the one
+    with the smallest text checksum stays, and of repeated rows one.
+    """
+    out = staged(_linked(docs, id_col, text_col, percent, width, halves, rows), "linked")
+    best = out.where("component is not null and doc_id <=> component_id").groupBy("component", "doc_id").agg(F.min("crc").alias("crc"), F.count("*").alias("n"))
+    stay = best.select("doc_id", "crc", (F.col("n") > 1).alias("again")).union(out.where("component is null").select("doc_id", "crc", F.lit(False)).distinct())
+    stay = staged(stay.select(F.col("doc_id").alias("stay_id"), F.col("crc").alias("stay_crc"), "again"), "stay")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("own_id"), F.crc32(F.col(f"`{text_col}`")).alias("own_crc"))
+    found = row.join(stay, row.own_id.eqNullSafe(stay.stay_id) & row.own_crc.eqNullSafe(stay.stay_crc))
+    once = found.where("not again").select("row")
+    return once.union(found.where("again").dropDuplicates(["own_id", "own_crc"]).select("row")).select("row.*")
+
+
+def oracle(table: str, percent: int = 75, width: int = 5) -> str:
+    """The same result in DuckDB's SQL by a join of full sets on their shingles."""
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{up}', '{low}'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+ s AS (SELECT doc_id, CASE WHEN len(w) >= {width} THEN list_distinct(list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width - 1}], ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+ c AS (SELECT s, MIN(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY list_sort(s), s),
+ u AS (SELECT list_sort(s) AS k, MIN(id) AS id, ANY_VALUE(len(s)) AS n FROM c GROUP BY 1),
+ x AS (SELECT id, n, UNNEST(k) AS sh FROM u),
+ l AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.sh = b.sh AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * COUNT(*) >= {percent} * (a.n + b.n - COUNT(*))),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT id AS node, id AS top FROM u UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.node),
+ t AS (SELECT node, MIN(top) AS top FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, COALESCE(t.top, s.doc_id) AS component_id, s.doc_id = COALESCE(t.top, s.doc_id) AS kept
+FROM s LEFT JOIN u ON u.k = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN t ON t.node = u.id"""

@@ -296,3 +296,19 @@ def without_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("bad_id")) & F.crc32(F.col(f"row.`{text_col}`")).eqNullSafe(F.col("bad_crc"))
     return own.join(bad, same, "left_anti").select("row.*")
+
+
+def oracle(docs: str, items: str, width: int = 10) -> str:
+    """The result of ``contamination`` in DuckDB's SQL by a join on whole windows."""
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words_of = f"COALESCE(regexp_extract_all(translate(text, '{up}', '{low}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+    return f"""WITH d AS (SELECT doc_id, {words_of} AS w FROM {docs}),
+ i AS (SELECT item_id, {words_of} AS w FROM {items}),
+ q AS (SELECT DISTINCT item_id, LEAST({width}, len(w)) AS k, array_to_string(w[p:p + LEAST({width}, len(w)) - 1], ' ') AS win FROM (SELECT item_id, w, UNNEST(range(1, GREATEST(1, len(w) - {width} + 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+ n AS (SELECT DISTINCT k FROM q),
+ v AS (SELECT doc_id, k, UNNEST(range(1, len(w) - k + 2)) AS p, w FROM d, n WHERE len(w) >= k),
+ o AS (SELECT doc_id, p, k, item_id FROM (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS win FROM v) JOIN q USING (k, win)),
+ h AS (SELECT doc_id, COUNT(DISTINCT pos) AS n_hit FROM (SELECT doc_id, UNNEST(range(p, p + k)) AS pos FROM o) GROUP BY 1),
+ m AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(x, ',' ORDER BY x) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM o) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items, sha256(COALESCE(list, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)"""

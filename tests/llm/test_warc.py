@@ -64,7 +64,7 @@ def test_normalised_members(spark):
         with fs.open_input_stream(place, compression=None) as f:
             return f.read()
 
-    raw, index = data(members[0].path), data(members[0].index).decode().splitlines()
+    raw, index = data(members[0].path), data(members[0]["index"]).decode().splitlines()
     z = zlib.decompressobj(31)
     z.decompress(data(next(iter(before))))
     assert z.eof and not z.unused_data  # one member holds everything
