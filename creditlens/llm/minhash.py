@@ -10,9 +10,12 @@ Jaccard similarity s shares a key with probability (1 - (1 - s**rows)**halves)**
 Work runs on classes of equal sets, so thousands of exact copies are one class.
 Half keys that no other class has are dropped before keys are combined. Pairs of
 classes that share a key are confirmed on their full sets, in rounds: first each
-class against one centre, then, only in buckets that still hold several
-components, every member against centres whose number grows eightfold a round
-until each pair of a bucket that lies in different components has been compared.
+class against one centre of its buckets. Then only buckets that hold several components
+stay open, and in them only classes that hold enough shingles in common with other
+components to be linked at all (an exact bound). These meet further centres one by one,
+and at last every member of a bucket, against centres whose number grows eightfold a
+round, until each pair of a bucket in different components is compared or ruled out
+by its sizes or by parity bits of the sets (exact bounds, too).
 No bucket is capped, and a bucket that is one component costs no more pairs.
 """
 
@@ -28,6 +31,11 @@ from pyspark.sql import functions as F
 from . import words
 from .common import named, staged, text_blocks
 
+#: Most rounds in which each open class meets one centre, before all pairs are taken up.
+STARS = 4
+#: Parity bits of a set; a multiple of 64.
+BITS = 1024
+
 _SIG = "doc_id long, crc long, n_shingles long, cls binary, half_a array<long>, half_b array<long>"
 
 
@@ -81,8 +89,14 @@ def signatures(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame
     return docs.mapInArrow(run, _SIG)
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """``BITS`` parities of how many shingles fall on each: two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cls and shingles of the classes in ``wanted`` (cls, of_id, of_crc), made from one document of each."""
+    """cls, shingles and parity bits of the classes in ``wanted`` (cls, of_id, of_crc), made from one document of each."""
 
     def run(batches):
         for batch in batches:
@@ -90,10 +104,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 for key, s in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), shingle_sets(data, offsets, width)):
                     if len(s) and _class_key(s) == key:
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([key], pa.binary()), pa.ListArray.from_arrays(np.array([0, len(s)], np.int32), s.view(np.int64))],
-                            ["cls", "shingles"])
+                            [pa.array([key], pa.binary()), pa.ListArray.from_arrays(np.array([0, len(s)], np.int32), s.view(np.int64)),
+                             pa.array([parity_bits(s)], pa.list_(pa.int64()))],
+                            ["cls", "shingles", "bits"])
 
-    return docs.join(wanted, docs.doc_id.eqNullSafe(wanted.of_id) & (docs.crc == wanted.of_crc)).select("cls", "text").mapInArrow(run, "cls binary, shingles array<long>")
+    return docs.join(wanted, docs.doc_id.eqNullSafe(wanted.of_id) & (docs.crc == wanted.of_crc)).select("cls", "text").mapInArrow(run, "cls binary, shingles array<long>, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -132,7 +147,7 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, halves: int) -> DataFrame:
-    """key and cls: the tables' buckets with at least two classes."""
+    """key, its table (i, j), and cls of the classes whose half keys others have too."""
     half = classes.select("cls", F.posexplode(F.concat("half_a", "half_b")).alias("k", "h"))
     half = staged(half, "halves")
     shared = half.groupBy("k", "h").agg(F.count("*").alias("n")).where("n > 1").select("k", "h")
@@ -141,11 +156,47 @@ def _buckets(classes: DataFrame, halves: int) -> DataFrame:
     keys = (
         mine.select("cls", side(lambda e: e.k < halves).alias("a"), side(lambda e: e.k >= halves).alias("b"))
         .select("cls", "b", F.explode("a").alias("a")).select("cls", "a", F.explode("b").alias("b"))
-        .select(F.xxhash64("a.k", "a.h", "b.k", "b.h").alias("key"), "cls")
+        .select(F.xxhash64("a.k", "a.h", "b.k", "b.h").alias("key"), (F.col("a.k") + 1).alias("i"), (F.col("b.k") - halves + 1).alias("j"), "cls")
     )
     return staged(keys, "keys")
 
 
+def _top_voted(met: DataFrame) -> DataFrame:
+    """x and y: for each class the centre that it meets in most buckets."""
+    votes = met.groupBy("cls", "centre").count()
+    return votes.groupBy("cls").agg(F.max_by("centre", F.struct("count", "centre")).alias("y")).select(F.col("cls").alias("x"), "y")
+
+
+def _overlap(shared, size, other, percent: int):
+    """Whether an overlap of ``shared`` shingles is enough for sets of these sizes to be linked."""
+    return (100 + percent) * shared >= percent * (size + other)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _open(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, i, j, cls, size, component, shared and n: members of buckets that can still join components.
+
+    A class overlaps any class of another component in no more than its ``shared`` shingles,
+    those that other components' open classes hold as well. Where these are too few for a
+    link even with the smallest set of its buckets that is not too small, the class is left
+    out. No link can break this bound; it takes out texts that share just a passage.
+    """
+    all_ = members.join(comp, "cls")
+    mixed = lambda rows: rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.min("size").alias("least")).where("a != b").select("key", "n", "least")
+    rows = staged(all_.join(mixed(all_).drop("n"), "key"), "mixed")
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
+    mine = rows.groupBy("cls").agg(F.first("component").alias("component"), F.first("size").alias("size"), F.min(smallest).alias("other"))
+    mine = mine.join(sets, "cls").select("cls", F.xxhash64("component").alias("c"), "size", "other", F.explode("shingles").alias("s"))
+    wide = mine.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("s")
+    shared = mine.join(wide, "s", "left_semi").groupBy("cls").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("other").alias("other"))
+    shared = shared.where(_overlap(F.col("shared"), F.col("size"), F.col("other"), percent)).select("cls", "shared")
+    left = staged(rows.drop("least").join(shared, "cls"), "linkable")
+    return left.join(mixed(left).drop("least"), "key")
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, halves: int, rows: int) -> DataFrame:
     """doc_id, crc, n_shingles, component (null without a set) and component_id of every row."""
     docs = docs.select(named(id_col, "doc_id").cast("long").alias("doc_id"), named(text_col, "text"))
@@ -164,36 +215,51 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     sets = staged(_full_sets(docs, wanted, width), "sets")
     comp = staged(members.select("cls").distinct().withColumn("component", F.col("cls")), "components")
 
-    # First round: each class against the centre that it meets most often.
-    votes = members.where("cls != centre").groupBy("cls", "centre").count()
-    pairs = votes.groupBy("cls").agg(F.max_by("centre", F.struct("count", "centre")).alias("y")).select(F.col("cls").alias("x"), "y")
-    done = staged(_confirmed(pairs, sets, percent), "compared")
+    # Each class against the centre that it meets most often.
+    done = staged(_confirmed(_top_voted(members.where("cls != centre")), sets, percent), "compared")
     comp = _merged(comp, done.where("linked"))
-    place = F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) / float(1 << 30)
-    sizes = sets.select("cls", F.size("shingles").alias("size"))
-    members = members.select("key", "cls")
-    low, many, n_round = 0.0, 4.0, 0
+    members = staged(members.select("key", "i", "j", "cls").join(sets.select("cls", F.size("shingles").cast("long").alias("size")), "cls"), "members")
+    similar = (100 * F.col("nx") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("nx"))
+    similar = similar & _overlap(F.least("sx", "shared"), F.col("size"), F.col("nx"), percent) & (F.col("cx") != F.col("component"))
+    linked = True
+    for _ in range(STARS):
+        rest = staged(_open(members, comp, sets, percent), "open")
+        if not linked or rest.isEmpty():
+            break
+        # Centres are now the members with the largest part of their set in other components.
+        c = rest.groupBy("key").agg(F.max_by(F.struct("cls", "component", "size", "shared"), F.struct(F.col("shared") / F.col("size"), "cls")).alias("c"))
+        c = c.select("key", F.col("c.cls").alias("centre"), F.col("c.component").alias("cx"), F.col("c.size").alias("nx"), F.col("c.shared").alias("sx"))
+        near = rest.join(c, "key").where(similar).select(F.least("cls", "centre").alias("x"), F.greatest("cls", "centre").alias("y"), "cls", "centre")
+        pairs = _top_voted(near.join(_ordered(done), ["x", "y"], "left_anti"))
+        now = staged(_confirmed(_ordered(pairs).distinct(), sets, percent), "compared")
+        linked = not now.where("linked").isEmpty()
+        comp = _merged(comp, now.where("linked")) if linked else comp
+        done, members = staged(done.union(now), "done"), rest.drop("component", "shared", "n")
+
+    # Centres have their place in [low / n, many / n); a pair is taken where its first member
+    # is a centre, and in the first table only in which the two meet.
+    low, many, linked = 0.0, 8.0, True
+    first_of = classes.join(members.select("cls").distinct(), "cls", "left_semi")
+    first_of = staged(first_of.join(sets.select("cls", "bits"), "cls"), "half_keys")
+    apart = sum((F.bit_count(F.col("qx")[k].bitwiseXOR(F.col("bits")[k])) for k in range(BITS // 64)), F.lit(0))
+    similar = similar & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("nx")))
     while True:
-        open_ = members.join(comp, "cls")
-        mixed = open_.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a != b")
-        rest = staged(open_.join(mixed.select("key", "n"), "key").join(sizes, "cls").withColumn("place", place), "open")
-        most = rest.agg(F.max("n")).first()[0]
+        if linked:
+            rest = staged(_open(members, comp, sets, percent).join(first_of, "cls"), "open")
+            rest = rest.withColumn("place", F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) / float(1 << 30))
+            most = rest.agg(F.max("n")).first()[0]
         if most is None or low >= most:
             break
-        # Centres of this round have their place in [low / n, many / n); a pair is taken where its first member is a centre.
         c = rest.where((F.col("place") * F.col("n") >= low) & (F.col("place") * F.col("n") < many))
-        c = c.select("key", F.col("cls").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"), F.col("place").alias("px"))
-        found = c.join(rest, "key").where(
-            (F.col("cx") != F.col("component")) & ((F.col("px") < F.col("place")) | ((F.col("px") == F.col("place")) & (F.col("x") < F.col("cls"))))
-            & (100 * F.col("nx") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("nx")))
-        pairs = found.select(F.least("x", "cls").alias("x"), F.greatest("x", "cls").alias("y")).distinct()
-        old = done.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        now = staged(_confirmed(pairs.join(old, ["x", "y"], "left_anti"), sets, percent), "compared")
-        if not now.where("linked").isEmpty():
-            comp = _merged(comp, now.where("linked"))
-        done = done.union(now)
-        members = rest.select("key", "cls")
-        low, many, n_round = many, many * 8, n_round + 1
+        c = c.select("key", F.col("cls").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"), F.col("place").alias("px"), F.col("half_a").alias("ax"), F.col("half_b").alias("bx"), F.col("bits").alias("qx"))
+        later = (F.col("px") < F.col("place")) | ((F.col("px") == F.col("place")) & (F.col("x") < F.col("cls")))
+        met = F.arrays_overlap(F.slice("ax", F.lit(1), F.col("i") - 1), F.slice("half_a", F.lit(1), F.col("i") - 1)) | F.arrays_overlap(F.slice("bx", F.lit(1), F.col("j") - 1), F.slice("half_b", F.lit(1), F.col("j") - 1))
+        pairs = c.join(rest, "key").where(later & similar & ~met).select("x", F.col("cls").alias("y"))
+        now = staged(_confirmed(_ordered(pairs).join(_ordered(done), ["x", "y"], "left_anti"), sets, percent), "compared")
+        linked = not now.where("linked").isEmpty()
+        if linked:
+            comp, members = _merged(comp, now.where("linked")), rest.select("key", "i", "j", "cls", "size")
+        low, many = many, many * 8
 
     named_ = ids.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named_.groupBy("component").agg(F.min("of_id").alias("component_id"))
