@@ -28,7 +28,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again."""
+    fs, place = open_shared(df.staged_at)
+    fs.delete_dir(place)
 
 
 def open_shared(path: str) -> tuple[pafs.FileSystem, str]:

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import named, staged, text_blocks
+from .common import discard, named, staged, text_blocks
 
 #: Most rounds in which each open class meets one centre, before all pairs are taken up.
 STARS = 4
 #: Parity bits of a set; a multiple of 64.
 BITS = 1024
 
-_SIG = "doc_id long, crc long, n_shingles long, cls binary, half_a array<long>, half_b array<long>"
+_SIG = "doc_id long, crc long, n_shingles long, digest binary, half_a array<long>, half_b array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -58,7 +58,7 @@ def _class_key(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, class key and both collections of half keys, for every row."""
+    """doc_id, n_shingles, the set's digest and both collections of half keys, for every row."""
 
     def run(batches):
         odd = words.stream(21, 2 * halves * rows) | np.uint64(1)
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame
                     [ids.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                      pa.ListArray.from_arrays(at, np.ascontiguousarray(half[:, :halves]).ravel()),
                      pa.ListArray.from_arrays(at, np.ascontiguousarray(half[:, halves:]).ravel())],
-                    ["doc_id", "crc", "n_shingles", "cls", "half_a", "half_b"])
+                    ["doc_id", "crc", "n_shingles", "digest", "half_a", "half_b"])
 
     return docs.mapInArrow(run, _SIG)
 
@@ -96,19 +96,20 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cls, shingles and parity bits of the classes in ``wanted`` (cls, of_id, of_crc), made from one document of each."""
+    """cls, shingles and parity bits of the classes in ``wanted`` (a row of ids each), made from one document of each."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                for key, s in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), shingle_sets(data, offsets, width)):
-                    if len(s) and _class_key(s) == key:
+            for lo, hi, data, offsets in text_blocks(batch.column(2)):
+                own = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 1))
+                for key, digest, s in zip(*own, shingle_sets(data, offsets, width)):
+                    if len(s) and _class_key(s) == digest:
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([key], pa.binary()), pa.ListArray.from_arrays(np.array([0, len(s)], np.int32), s.view(np.int64)),
+                            [pa.array([key], pa.int64()), pa.ListArray.from_arrays(np.array([0, len(s)], np.int32), s.view(np.int64)),
                              pa.array([parity_bits(s)], pa.list_(pa.int64()))],
                             ["cls", "shingles", "bits"])
 
-    return docs.join(wanted, docs.doc_id.eqNullSafe(wanted.of_id) & (docs.crc == wanted.of_crc)).select("cls", "text").mapInArrow(run, "cls binary, shingles array<long>, bits array<long>")
+    return docs.join(wanted, docs.doc_id.eqNullSafe(wanted.of_id) & (docs.crc == wanted.of_crc)).select("cls", "digest", "text").mapInArrow(run, "cls long, shingles array<long>, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,16 +127,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each step takes the smallest label among the neighbours, then the label's own
     label; the labels are written to the shared folder after each step.
     """
+    # Only the last labels outlive the call.
     both = staged(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = staged(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("other"))
-        least = labels.join(near, "node").select("node", F.least("label", "other").alias("label"), F.col("label").alias("was"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels_now = labels.select("node", "label")
+        near = both.join(labels_now, both.y == labels_now.node).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("other"))
+        least = labels_now.join(near, "node").select("node", F.least("label", "other").alias("label"), F.col("label").alias("was"))
+        up = labels_now.select(F.col("node").alias("label"), F.col("label").alias("top"))
         new = staged(least.join(up, "label").select("node", F.least("label", "top").alias("label"), "was"), "labels")
+        discard(labels)
         if new.where(new.label != new.was).isEmpty():
+            discard(both)
             return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+        labels = new
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -158,7 +163,9 @@ def _buckets(classes: DataFrame, halves: int) -> DataFrame:
         .select("cls", "b", F.explode("a").alias("a")).select("cls", "a", F.explode("b").alias("b"))
         .select(F.xxhash64("a.k", "a.h", "b.k", "b.h").alias("key"), (F.col("a.k") + 1).alias("i"), (F.col("b.k") - halves + 1).alias("j"), "cls")
     )
-    return staged(keys, "keys")
+    out = staged(keys, "keys")
+    discard(half)
+    return out
 
 
 def _top_voted(met: DataFrame) -> DataFrame:
@@ -189,12 +196,15 @@ def _open(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) ->
     rows = staged(all_.join(mixed(all_).drop("n"), "key"), "mixed")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
     mine = rows.groupBy("cls").agg(F.first("component").alias("component"), F.first("size").alias("size"), F.min(smallest).alias("other"))
-    mine = mine.join(sets, "cls").select("cls", F.xxhash64("component").alias("c"), "size", "other", F.explode("shingles").alias("s"))
+    mine = mine.join(sets, "cls").select("cls", F.col("component").alias("c"), "size", "other", F.explode("shingles").alias("s"))
     wide = mine.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("s")
     shared = mine.join(wide, "s", "left_semi").groupBy("cls").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("other").alias("other"))
     shared = shared.where(_overlap(F.col("shared"), F.col("size"), F.col("other"), percent)).select("cls", "shared")
     left = staged(rows.drop("least").join(shared, "cls"), "linkable")
-    return left.join(mixed(left).drop("least"), "key")
+    out = staged(left.join(mixed(left).drop("least"), "key"), "open")
+    discard(rows)
+    discard(left)
+    return out
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, halves: int, rows: int) -> DataFrame:
@@ -203,14 +213,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     docs = docs.select("doc_id", F.crc32("text").alias("crc"), "text")
     sig = staged(signatures(docs, width, halves, rows), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "crc")).alias("first")
-    ids = sig.where("cls is not null").groupBy("cls").agg(first)
-    ids = staged(ids.select("cls", F.col("first.doc_id").alias("of_id"), F.col("first.crc").alias("of_crc")), "classes")
+    ids = sig.where("digest is not null").groupBy("digest").agg(first)
+    ids = staged(ids.select("digest", F.monotonically_increasing_id().alias("cls"), F.col("first.doc_id").alias("of_id"), F.col("first.crc").alias("of_crc")), "classes")
     # One row stands for each class: equal sets have equal half keys.
-    one = sig.join(ids, (sig.cls == ids.cls) & sig.doc_id.eqNullSafe(ids.of_id) & (sig.crc == ids.of_crc), "left_semi")
+    one = sig.join(ids, (sig.digest == ids.digest) & sig.doc_id.eqNullSafe(ids.of_id) & (sig.crc == ids.of_crc)).select("cls", "half_a", "half_b")
     classes = one.select("cls", "half_a", "half_b").dropDuplicates(["cls"])
     keys = _buckets(classes, halves)
     centres = keys.groupBy("key").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = staged(keys.join(centres, "key"), "members")
+    members = centred = staged(keys.join(centres, "key"), "members")
     wanted = members.select("cls").distinct().join(ids, "cls")
     sets = staged(_full_sets(docs, wanted, width), "sets")
     comp = staged(members.select("cls").distinct().withColumn("component", F.col("cls")), "components")
@@ -219,12 +229,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     done = staged(_confirmed(_top_voted(members.where("cls != centre")), sets, percent), "compared")
     comp = _merged(comp, done.where("linked"))
     members = staged(members.select("key", "i", "j", "cls").join(sets.select("cls", F.size("shingles").cast("long").alias("size")), "cls"), "members")
+    discard(centred)
     similar = (100 * F.col("nx") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("nx"))
     similar = similar & _overlap(F.least("sx", "shared"), F.col("size"), F.col("nx"), percent) & (F.col("cx") != F.col("component"))
-    linked = True
+    rest = _open(members, comp, sets, percent)
     for _ in range(STARS):
-        rest = staged(_open(members, comp, sets, percent), "open")
-        if not linked or rest.isEmpty():
+        if rest.isEmpty():
             break
         # Centres are now the members with the largest part of their set in other components.
         c = rest.groupBy("key").agg(F.max_by(F.struct("cls", "component", "size", "shared"), F.struct(F.col("shared") / F.col("size"), "cls")).alias("c"))
@@ -232,40 +242,39 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
         near = rest.join(c, "key").where(similar).select(F.least("cls", "centre").alias("x"), F.greatest("cls", "centre").alias("y"), "cls", "centre")
         pairs = _top_voted(near.join(_ordered(done), ["x", "y"], "left_anti"))
         now = staged(_confirmed(_ordered(pairs).distinct(), sets, percent), "compared")
-        linked = not now.where("linked").isEmpty()
-        comp = _merged(comp, now.where("linked")) if linked else comp
-        done, members = staged(done.union(now), "done"), rest.drop("component", "shared", "n")
+        done = done.union(now)
+        if now.where("linked").isEmpty():
+            break
+        comp = _merged(comp, now.where("linked"))
+        old, rest = rest, _open(rest.drop("component", "shared", "n"), comp, sets, percent)
+        discard(old)
 
     # Centres have their place in [low / n, many / n); a pair is taken where its first member
     # is a centre, and in the first table only in which the two meet.
-    low, many, linked = 0.0, 8.0, True
-    first_of = classes.join(members.select("cls").distinct(), "cls", "left_semi")
-    first_of = staged(first_of.join(sets.select("cls", "bits"), "cls"), "half_keys")
+    done = staged(done, "done")
+    half_keys = classes.join(rest.select("cls").distinct(), "cls", "left_semi").join(sets.select("cls", "bits"), "cls")
+    whole = staged(rest.join(half_keys, "cls").withColumn("place", F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) / float(1 << 30)), "whole")
     apart = sum((F.bit_count(F.col("qx")[k].bitwiseXOR(F.col("bits")[k])) for k in range(BITS // 64)), F.lit(0))
     similar = similar & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("nx")))
-    while True:
-        if linked:
-            rest = staged(_open(members, comp, sets, percent).join(first_of, "cls"), "open")
-            rest = rest.withColumn("place", F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) / float(1 << 30))
-            most = rest.agg(F.max("n")).first()[0]
-        if most is None or low >= most:
-            break
-        c = rest.where((F.col("place") * F.col("n") >= low) & (F.col("place") * F.col("n") < many))
+    low, many, most = 0.0, 8.0, whole.agg(F.max("n")).first()[0] or 0
+    while low < most:
+        c = whole.where((F.col("place") * F.col("n") >= low) & (F.col("place") * F.col("n") < many))
         c = c.select("key", F.col("cls").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"), F.col("place").alias("px"), F.col("half_a").alias("ax"), F.col("half_b").alias("bx"), F.col("bits").alias("qx"))
         later = (F.col("px") < F.col("place")) | ((F.col("px") == F.col("place")) & (F.col("x") < F.col("cls")))
         met = F.arrays_overlap(F.slice("ax", F.lit(1), F.col("i") - 1), F.slice("half_a", F.lit(1), F.col("i") - 1)) | F.arrays_overlap(F.slice("bx", F.lit(1), F.col("j") - 1), F.slice("half_b", F.lit(1), F.col("j") - 1))
-        pairs = c.join(rest, "key").where(later & similar & ~met).select("x", F.col("cls").alias("y"))
+        pairs = c.join(whole, "key").where(later & similar & ~met).select("x", F.col("cls").alias("y"))
         now = staged(_confirmed(_ordered(pairs).join(_ordered(done), ["x", "y"], "left_anti"), sets, percent), "compared")
-        linked = not now.where("linked").isEmpty()
-        if linked:
-            comp, members = _merged(comp, now.where("linked")), rest.select("key", "i", "j", "cls", "size")
+        if not now.where("linked").isEmpty():
+            comp = _merged(comp, now.where("linked"))
         low, many = many, many * 8
+    for table in (members, rest, whole, sets, keys):
+        discard(table)
 
     named_ = ids.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named_.groupBy("component").agg(F.min("of_id").alias("component_id"))
-    of = named_.join(least, "component").select("cls", "component", "component_id")
-    out = sig.select("doc_id", "crc", "n_shingles", "cls").join(of, "cls", "left")
-    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    of = named_.join(least, "component").select("digest", "component", "component_id")
+    out = sig.select("doc_id", "crc", "n_shingles", "digest").join(of, "digest", "left")
+    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "crc", "n_shingles", "component", own.alias("component_id"))
 
 
