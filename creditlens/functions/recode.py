@@ -53,6 +53,7 @@ SCORE_BANDS = [
 # Purpose risk labels by default rate.
 RISK_LABELS = [(0.25, "HIGH RISK"), (0.18, "MEDIUM RISK")]
 RISK_ELSE = "LOW RISK"
+SEGMENT_NAMES = ["High Risk (Grade D-G, DTI>25)", "Low Risk (Grade A-B, DTI<=20)", "Overall Portfolio"]
 # VIF verdicts.
 VIF_VERDICTS = [(10, "DROP (severe)"), (5, "WATCH (moderate)")]
 VIF_ELSE = "OK"

@@ -44,8 +44,8 @@ def with_rates(cm: DataFrame) -> DataFrame:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     return cm.select(
         "*",
-        (tp / (tp + fn)).alias("catch_rate"),
-        (fp / (tn + fp)).alias("good_rejection"),
+        F.try_divide(tp, tp + fn).alias("catch_rate"),
+        F.try_divide(fp, tn + fp).alias("good_rejection"),
         F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
         F.when(tp > 0, (5 * tp) / (5 * tp + 4 * fn + fp)).otherwise(F.lit(0.0)).alias("f2"),
     )
@@ -66,11 +66,11 @@ def _curve_base(scored: DataFrame, score: str, label: str, keys: Sequence[str],
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Exact ROC-AUC with ties: Σ pos·(neg_below + neg/2) / (P·N)."""
+    """Exact ROC-AUC with ties: Σ pos·(neg_below + neg/2) / (P·N); null where a class is empty."""
     base = _curve_base(scored, score, label, keys, buckets)
     return base.groupBy(*keys).agg(
-        (F.sum(F.col("n_pos") * F.col("neg_below") + F.col("n_pos") * F.col("n_neg") / F.lit(2.0))
-         / (F.first("P").cast("double") * F.first("N").cast("double"))).alias("auc"),
+        F.try_divide(F.sum(F.col("n_pos").cast("double") * (F.col("neg_below") + F.col("n_neg") / F.lit(2.0))),
+                     F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"),
         F.first("P").alias("n_pos"), F.first("N").alias("n_neg"),
     )
 
@@ -79,8 +79,8 @@ def roc_curve(scored: DataFrame, score: str = "score", label: str = "target", ke
     """ROC points (fpr, tpr, threshold) at every distinct score, plus the (0, 0)
     start with an infinite threshold (unthinned: no collinear-point removal)."""
     base = _curve_base(scored, score, label, keys, buckets)
-    pts = base.select(*keys, F.col(score).alias("threshold"), (F.col("fps") / F.col("N")).alias("fpr"),
-                      (F.col("tps") / F.col("P")).alias("tpr"))
+    pts = base.select(*keys, F.col(score).alias("threshold"), F.try_divide("fps", "N").alias("fpr"),
+                      F.try_divide("tps", "P").alias("tpr"))
     start = base.groupBy(*keys).agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(start)
 
@@ -97,8 +97,8 @@ def roc_curve_thinned(scored: DataFrame, score: str = "score", label: str = "tar
     j = with_series_stats(prev, top, keys)
     collinear = (F.col(score) < F.col("_max")) & F.col(f"prev_{score}").isNotNull() & \
         (F.col("prev_n_pos") == F.col("n_pos")) & (F.col("prev_n_neg") == F.col("n_neg"))
-    kept = j.filter(~collinear).select(*keys, F.col(score).alias("threshold"), (F.col("fps") / F.col("N")).alias("fpr"),
-                                       (F.col("tps") / F.col("P")).alias("tpr"))
+    kept = j.filter(~collinear).select(*keys, F.col(score).alias("threshold"), F.try_divide("fps", "N").alias("fpr"),
+                                       F.try_divide("tps", "P").alias("tpr"))
     start = base.groupBy(*keys).agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return kept.unionByName(start)
 
@@ -108,7 +108,7 @@ def pr_curve(scored: DataFrame, score: str = "score", label: str = "target", key
     null threshold, and F2 = 5pr/(4p+r) (0 when undefined)."""
     base = _curve_base(scored, score, label, keys, buckets)
     p = F.col("tps") / (F.col("tps") + F.col("fps"))
-    r = F.col("tps") / F.col("P")
+    r = F.try_divide("tps", "P")
     pts = base.select(*keys, F.col(score).alias("threshold"), p.alias("precision"), r.alias("recall"))
     end = base.groupBy(*keys).agg(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     out = pts.unionByName(end)
@@ -207,7 +207,7 @@ def business_impact(cm: DataFrame) -> DataFrame:
         (tn + fp).alias("good_borrowers"),
         no_model.alias("default_rate_no_model"), with_model.alias("default_rate_approved"),
         ((no_model - with_model) / no_model).alias("default_rate_reduction"),
-        (tp / (tp + fn)).alias("catch_rate"), (fp / (tn + fp)).alias("good_rejection"),
+        F.try_divide(tp, tp + fn).alias("catch_rate"), F.try_divide(fp, tn + fp).alias("good_rejection"),
         (tn / (tn + fp)).alias("good_approved_rate"),
     )
 

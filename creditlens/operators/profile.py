@@ -130,27 +130,30 @@ def histogram(
 ) -> DataFrame:
     """Equal-width histogram per series (numpy semantics: last bin closed, all bins listed).
 
-    Range per series is its own min/max unless ``lo``/``hi`` are given.  One
+    Range per series is its own min/max unless ``lo``/``hi`` are given; values outside a
+    given range count neither in the bins nor in the density.  One
     aggregate for the ranges (one row per series, broadcast), one for counts.
     """
     keys = [by] if by else []
     data = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_x"))
     if by:
         data = data.filter(F.col(by).isNotNull())
+    if lo is not None or hi is not None:
+        data = data.filter((F.col("_x") >= F.lit(lo if lo is not None else -math.inf)) & (F.col("_x") <= F.lit(hi if hi is not None else math.inf)))
     rng = data.groupBy(*keys).agg(
         (F.lit(lo) if lo is not None else F.min("_x")).alias("_lo"),
         (F.lit(hi) if hi is not None else F.max("_x")).alias("_hi"),
         F.count(F.lit(1)).alias("_n"),
     )
+    # A constant column gets a range of 0.5 to either side.
+    same = F.col("_lo") == F.col("_hi")
+    rng = rng.withColumn("_wide", F.when(same, 0.5).otherwise(0.0)).withColumn("_lo", F.col("_lo") - F.col("_wide")).withColumn("_hi", F.col("_hi") + F.col("_wide")).drop("_wide")
     rng = rng.withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins)))
-    if lo is not None or hi is not None:
-        data = data.filter((F.col("_x") >= F.lit(lo if lo is not None else -math.inf)) & (F.col("_x") <= F.lit(hi if hi is not None else math.inf)))
     joined = with_series_stats(data, rng, keys)
     idx = F.least(
         F.lit(bins - 1),
         F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))).cast("int"),
     )
-    idx = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(idx)
     counts = joined.groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     all_bins = rng.select(*keys, "_lo", "_width", "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = all_bins.join(counts, keys + ["bin"], "left").select(

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.recode import DTI_BOUNDS, DTI_LABELS, INCOME_BOUNDS, INCOME_LABELS, RISK_ELSE, RISK_LABELS, at_least_label, bucket
+from ..functions.recode import DTI_BOUNDS, DTI_LABELS, INCOME_BOUNDS, INCOME_LABELS, RISK_ELSE, RISK_LABELS, SEGMENT_NAMES, at_least_label, bucket
 
 GRADES = ["A", "B", "C", "D", "E", "F", "G"]
 
@@ -160,12 +160,16 @@ def running_totals(loans: DataFrame) -> DataFrame:
 def default_segments() -> dict[str, Column | None]:
     """Q7 segments: name -> predicate (``None`` = every row)."""
     return {
-        "High Risk (Grade D-G, DTI>25)": F.col("grade").isin("D", "E", "F", "G") & (F.col("dti") > 25),
-        "Low Risk (Grade A-B, DTI<=20)": F.col("grade").isin("A", "B") & (F.col("dti") <= 20),
-        "Overall Portfolio": None,
+        SEGMENT_NAMES[0]: F.col("grade").isin("D", "E", "F", "G") & (F.col("dti") > 25),
+        SEGMENT_NAMES[1]: F.col("grade").isin("A", "B") & (F.col("dti") <= 20),
+        SEGMENT_NAMES[2]: None,
     }
 
 
+def default_segments_names() -> list[str]:
+    return list(SEGMENT_NAMES)
+
+
 def segment_profile(loans: DataFrame, segments: Mapping[str, Column | None] | None = None) -> DataFrame:
     """Q7 in one scan: each row is exploded into the segments it matches, then one groupBy.
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -43,16 +43,23 @@ def _long(df: DataFrame, features: Sequence[str], target: str, cast: str | None
     return df.select(target, F.explode(F.array(*vals)).alias("_s")).select("_s.feature", "_s.value", target)
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over rows that have both values; null where either is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def point_biserial(df: DataFrame, features: Sequence[str], target: str = "target", alpha: float = 0.05,
                    with_p: bool = True) -> DataFrame:
     """Pearson r of each feature with the 0/1 target (one aggregate), t statistic
     and two-sided p; rows with a null target are skipped."""
     d = df.filter(F.col(target).isNotNull())
-    one = d.agg(F.count(F.lit(1)).alias("_n"), *[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in features])
+    one = d.agg(F.count(F.lit(1)).alias("_n"), *[pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in features])
     long = one.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in features])).alias("_s"))
     long = long.select("_s.feature", F.col("_n").alias("n"), "_s.correlation")
     r = F.col("correlation")
-    long = long.withColumn("t_stat", r * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - r * r)))
+    long = long.withColumn("t_stat", r * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), F.lit(1.0) - r * r)))
     if with_p:
         long = long.withColumn("p_value", _t_p(F.col("t_stat"), (F.col("n") - 2).cast("double")))
         long = long.withColumn("significant", F.when(F.col("p_value") < alpha, "YES").otherwise("NO"))
@@ -83,9 +90,9 @@ def mann_whitney(df: DataFrame, features: Sequence[str], target: str = "target",
     u0 = F.col("r0") - n0 * (n0 + F.lit(1.0)) / F.lit(2.0)
     per = per.withColumn("u_statistic", u0)
     mu = n0 * n1 / F.lit(2.0)
-    sigma = F.sqrt(n0 * n1 / F.lit(12.0) * ((n + F.lit(1.0)) - F.col("tie_term") / (n * (n - F.lit(1.0)))))
+    sigma = F.sqrt(n0 * n1 / F.lit(12.0) * ((n + F.lit(1.0)) - F.try_divide(F.col("tie_term"), n * (n - F.lit(1.0)))))
     big_u = F.greatest(F.col("u_statistic"), n0 * n1 - F.col("u_statistic"))
-    per = per.withColumn("z", (big_u - mu - F.lit(0.5)) / sigma)
+    per = per.withColumn("z", F.try_divide(big_u - mu - F.lit(0.5), sigma))
     med = medians(d, features, [target])
     med_long = med.select(target, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("m")) for c in features])).alias("_s"))
     med_w = med_long.groupBy("_s.feature").agg(

@@ -111,12 +111,12 @@ def yearly_counts_both(spark, sf_dir):
                            _acc_years(spark, sf_dir, 0, 9999))
 
 
-@query("state_rejection", oracle=lambda sf: BOTH.rstrip() + f""",
+@query("state_rejection", oracle=BOTH.rstrip() + f""",
 a AS (SELECT addr_state AS state, COUNT(*) AS accepted FROM loans WHERE addr_state IS NOT NULL GROUP BY 1),
 r AS (SELECT state, COUNT(*) AS rejected FROM rejected WHERE state IS NOT NULL GROUP BY 1),
 t AS (SELECT COALESCE(a.state, r.state) AS state, COALESCE(rejected, 0) AS rejected, COALESCE(accepted, 0) AS accepted,
              COALESCE(rejected, 0) + COALESCE(accepted, 0) AS total FROM a FULL OUTER JOIN r ON a.state = r.state),
-f AS (SELECT *, rejected / total AS rej_rate FROM t WHERE total > {inputs.floor_for(sf, "state_rejection")})
+f AS (SELECT *, rejected / total AS rej_rate FROM t WHERE total > {inputs.FLOORS["state_rejection"]})
 SELECT state, rejected, accepted, total, rej_rate,
        ROW_NUMBER() OVER (ORDER BY rej_rate DESC, state) AS rank_desc,
        ROW_NUMBER() OVER (ORDER BY rej_rate DESC, state) <= 20 AS in_top,
@@ -127,7 +127,7 @@ FROM f""")
 def state_rejection(spark, sf_dir):
     """State table with floor, top/bottom flags and the unweighted mean line."""
     return pop.state_rejection(inputs.loans(spark, sf_dir), "addr_state", inputs.rejected(spark, sf_dir), "state",
-                               min_total=inputs.floor(sf_dir, "state_rejection"))
+                               min_total=inputs.FLOORS["state_rejection"])
 
 
 @query("dti_populations", oracle=BOTH_CLEAN.rstrip() + """,

@@ -12,13 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 class Entry:
     name: str
     build: Callable[[SparkSession, str], DataFrame]
-    oracle: str | Callable[[float], str] | None
+    oracle: str | None
     check: str  # "D" full oracle, "I" invariant table, "R" rows only
 
-    def oracle_text(self, sf: float = 0.01) -> str | None:
-        """DuckDB text for the data at scale factor ``sf`` (group-size floors scale with it)."""
-        return self.oracle(sf) if callable(self.oracle) else self.oracle
-
 
 REGISTRY: dict[str, Entry] = {}
 
@@ -35,11 +31,6 @@ def query(name: str, oracle: str | None = None, check: str | None = None):
 
 def load_all() -> dict[str, Entry]:
     """Import every module that registers queries."""
-    from . import q_population, q_profile, q_segments  # noqa: F401
-    for mod in ("q_evaluate", "q_features", "q_stats", "q_models", "q_explain", "q_streaming"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # modules land one at a time
-            if mod not in str(e):
-                raise
+    from . import (  # noqa: F401
+        q_evaluate, q_explain, q_features, q_models, q_population, q_profile, q_segments, q_stats, q_streaming)
     return REGISTRY

@@ -14,7 +14,7 @@ from .conftest import SF_SMALL
 
 from creditlens.plans.registry import load_all
 
-ORACLE = {n: e.oracle_text(0.001) for n, e in load_all().items() if e.oracle}
+ORACLE = {n: e.oracle for n, e in load_all().items() if e.oracle}
 SKIP_HEAVY = {"logistic_invariants", "forest_invariants", "boosted_invariants", "persistence_roundtrip", "shap_additivity"}
 
 
