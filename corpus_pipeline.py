@@ -44,8 +44,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and slot, with its other columns."""
-    out = sharding.shards(docs, N_SHARDS, carried=[c for c in docs.columns if c != "doc_id"])
+    """Each document's shard and slot, with its other columns but those of the result's names."""
+    own = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "row"}
+    out = sharding.shards(docs, N_SHARDS, carried=[c for c in docs.columns if c.lower() not in own])
     return out.select(*[c for c in out.columns if c != "row"], "row.*")
 
 
