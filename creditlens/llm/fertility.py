@@ -12,6 +12,8 @@ before any ranking, so a language with most of the rows costs no more than other
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,17 +57,25 @@ class Vocabulary:
         unique, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        new = [(int(u), i) for u, i in zip(unique, first) if int(u) not in self.known]
-        texts = [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for _, i in new]
+        keys = unique.tolist()
+        new = [(u, i) for u, i in zip(keys, first.tolist()) if u not in self.known]
+        raw = data.tobytes() if new else b""
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in ((int(starts[i]), int(ends[i])) for _, i in new)]
         for (u, _), ids in zip(new, self.model.encode(texts, num_threads=1) if texts else []):
             self.known[u] = np.array(ids, np.int32)
-        lists = [self.known[int(u)] for u in unique]
+        lists = [self.known[u] for u in keys]
         size = np.array([len(x) for x in lists], np.int64)
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         at, n = np.cumsum(size) - size, size[which]
         return flat[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
+@lru_cache(maxsize=2)
+def vocabulary_of(model: str) -> Vocabulary:
+    """The worker's vocabulary; what it remembers serves all tasks that the worker runs."""
+    return Vocabulary(model)
+
+
 def _per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
@@ -115,7 +125,7 @@ def measured(docs: DataFrame, model: str, text_col: str = "text", lang_col: str
     out = StructType([*taken.select("row", "lang").schema.fields, *StructType.fromDDL(_STATS).fields])
 
     def run(batches):
-        vocabulary = Vocabulary(model)
+        vocabulary = vocabulary_of(model)
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column(2)):
                 m = measure_block(data, offsets, vocabulary)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ MAGIC = b"TOKEF001"
 SAMPLE = 256
 #: Values packed at once; a multiple of 8, so that each piece starts on a whole byte.
 _STEP = 1 << 16
-_REMEMBERED = 300_000
+#: Runs that a worker remembers (about 150 bytes each); beyond it, it starts afresh.
+_REMEMBERED = 1_000_000
 
 
 class EliasFano:
@@ -104,7 +106,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}  # a run's hash to its number
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where each text's ids start (and the end)."""
@@ -112,17 +118,28 @@ class WordEncoder:
         h = words.hashes(data, starts, ends, folded=False)
         unique, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        new = [(int(u), i) for u, i in zip(unique, first) if int(u) not in self.known]
-        if new:
-            texts = [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for _, i in new]
-            for (u, _), e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.known[u] = np.array(e.ids, np.uint32)
-        lists = [self.known[int(u)] for u in unique]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
-        at, n = np.cumsum(size) - size, size[which]
-        return flat[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.concatenate([[0], np.cumsum(n)])[rows]
+            self.forget()
+        keys = unique.tolist()
+        number = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        if len(new := np.flatnonzero(number < 0)):
+            raw = data.tobytes()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            encoded = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+            size = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(texts))
+            number[new] = np.arange(len(self.size), len(self.size) + len(new))
+            self.known.update(zip(unique[new].tolist(), number[new].tolist()))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, np.array(encoded.ids, np.uint32)])
+        number = number[which]
+        n = self.size[number]
+        return self.flat[np.repeat(self.start[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.concatenate([[0], np.cumsum(n)])[rows]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder; what it remembers serves all tasks that the worker runs."""
+    return WordEncoder(path)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -143,10 +160,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
 
         def write(out):
             nonlocal total
-            encoder = WordEncoder(tokenizer)
+            words_of = encoder(tokenizer)
             for batch in batches:
                 for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                    flat, at = encoder.ids(data, offsets)
+                    flat, at = words_of.ids(data, offsets)
                     own = np.insert(flat, at[1:], end_id).astype("<u4")
                     out.write(own.tobytes())
                     ends.append(total + at[1:] + np.arange(1, hi - lo + 1))

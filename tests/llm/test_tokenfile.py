@@ -36,7 +36,7 @@ def test_elias_fano_space():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=40), st.text(" \t\n\r\x0b\x0c\xa0 a'sÉΣς́<|endoftext|>0漢", max_size=40)), min_size=1, max_size=5))
+@given(st.lists(st.one_of(st.text(max_size=40), st.text(" \t\n\r\x0b\x0c\xa0 a'sÉΣς́<|endoftext|>0漢", max_size=40), st.sampled_from(["<|endoftext|>", "a<|startoftext|>b c", "x <|endoftext|>'s"])), min_size=1, max_size=5))
 def test_words_encode_as_whole_texts(texts):
     raw = [t.encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
