@@ -113,7 +113,12 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (x, y) with ``linked``: 100 * intersection >= percent * union of the full sets."""
+    """``pairs`` (x, y; staged) with ``linked``: 100 * intersection >= percent * union of the full sets.
+
+    Only the sets of classes in ``pairs`` are shuffled: the pairs are a written table, so
+    Spark knows their size and sends their ids to the sets where these are few.
+    """
+    sets = sets.join(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")), "cls", "left_semi")
     x = sets.select(F.col("cls").alias("x"), F.col("shingles").alias("sx"))
     y = sets.select(F.col("cls").alias("y"), F.col("shingles").alias("sy"))
     both = pairs.join(x, "x").join(y, "y").withColumn("common", F.size(F.array_intersect("sx", "sy")).cast("long"))
@@ -143,6 +148,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``_confirmed``, with the pairs written before and its rows written after."""
+    pairs = staged(pairs, "pairs")
+    out = staged(_confirmed(pairs, sets, percent), "compared")
+    discard(pairs)
+    return out
+
+
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """``comp`` (cls, component) after the components that a link joins have become one."""
     x, y = comp.select(F.col("cls").alias("x"), F.col("component").alias("cx")), comp.select(F.col("cls").alias("y"), F.col("component").alias("cy"))
@@ -196,7 +209,8 @@ def _open(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) ->
     rows = staged(all_.join(mixed(all_).drop("n"), "key"), "mixed")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
     mine = rows.groupBy("cls").agg(F.first("component").alias("component"), F.first("size").alias("size"), F.min(smallest).alias("other"))
-    mine = mine.join(sets, "cls").select("cls", F.col("component").alias("c"), "size", "other", F.explode("shingles").alias("s"))
+    near = sets.join(rows.select("cls").distinct(), "cls", "left_semi")
+    mine = mine.join(near, "cls").select("cls", F.col("component").alias("c"), "size", "other", F.explode("shingles").alias("s"))
     wide = mine.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("s")
     shared = mine.join(wide, "s", "left_semi").groupBy("cls").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("other").alias("other"))
     shared = shared.where(_overlap(F.col("shared"), F.col("size"), F.col("other"), percent)).select("cls", "shared")
@@ -226,7 +240,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     comp = staged(members.select("cls").distinct().withColumn("component", F.col("cls")), "components")
 
     # Each class against the centre that it meets most often.
-    done = staged(_confirmed(_top_voted(members.where("cls != centre")), sets, percent), "compared")
+    done = _compared(_top_voted(members.where("cls != centre")), sets, percent)
     comp = _merged(comp, done.where("linked"))
     members = staged(members.select("key", "i", "j", "cls").join(sets.select("cls", F.size("shingles").cast("long").alias("size")), "cls"), "members")
     discard(centred)
@@ -241,7 +255,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
         c = c.select("key", F.col("c.cls").alias("centre"), F.col("c.component").alias("cx"), F.col("c.size").alias("nx"), F.col("c.shared").alias("sx"))
         near = rest.join(c, "key").where(similar).select(F.least("cls", "centre").alias("x"), F.greatest("cls", "centre").alias("y"), "cls", "centre")
         pairs = _top_voted(near.join(_ordered(done), ["x", "y"], "left_anti"))
-        now = staged(_confirmed(_ordered(pairs).distinct(), sets, percent), "compared")
+        now = _compared(_ordered(pairs).distinct(), sets, percent)
         done = done.union(now)
         if now.where("linked").isEmpty():
             break
@@ -263,7 +277,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
         later = (F.col("px") < F.col("place")) | ((F.col("px") == F.col("place")) & (F.col("x") < F.col("cls")))
         met = F.arrays_overlap(F.slice("ax", F.lit(1), F.col("i") - 1), F.slice("half_a", F.lit(1), F.col("i") - 1)) | F.arrays_overlap(F.slice("bx", F.lit(1), F.col("j") - 1), F.slice("half_b", F.lit(1), F.col("j") - 1))
         pairs = c.join(whole, "key").where(later & similar & ~met).select("x", F.col("cls").alias("y"))
-        now = staged(_confirmed(_ordered(pairs).join(_ordered(done), ["x", "y"], "left_anti"), sets, percent), "compared")
+        now = _compared(_ordered(pairs).join(_ordered(done), ["x", "y"], "left_anti"), sets, percent)
         if not now.where("linked").isEmpty():
             comp = _merged(comp, now.where("linked"))
         low, many = many, many * 8
