@@ -194,11 +194,12 @@ def closest_options(sw: DataFrame, top: int = 5) -> DataFrame:
 
 
 def business_impact(cm: DataFrame) -> DataFrame:
-    """Approved / rejected / caught / missed and default rates with and without the model."""
+    """Approved / rejected / caught / missed and default rates with and without the model;
+    a rate whose denominator is zero (no rows, no defaults, no good loans) is null."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     total = tp + fp + tn + fn
     approved = tn + fn
-    no_model = (tp + fn) / total
+    no_model = F.try_divide(tp + fn, total)
     with_model = F.when(approved > 0, fn / approved).otherwise(F.lit(0.0))
     return cm.select(
         *[c for c in cm.columns if c not in ("catch_rate", "good_rejection", "precision", "f2")],
@@ -206,9 +207,9 @@ def business_impact(cm: DataFrame) -> DataFrame:
         (tp + fn).alias("defaults"), tp.alias("defaults_caught"), fn.alias("defaults_missed"),
         (tn + fp).alias("good_borrowers"),
         no_model.alias("default_rate_no_model"), with_model.alias("default_rate_approved"),
-        ((no_model - with_model) / no_model).alias("default_rate_reduction"),
+        F.try_divide(no_model - with_model, no_model).alias("default_rate_reduction"),
         F.try_divide(tp, tp + fn).alias("catch_rate"), F.try_divide(fp, tn + fp).alias("good_rejection"),
-        (tn / (tn + fp)).alias("good_approved_rate"),
+        F.try_divide(tn, tn + fp).alias("good_approved_rate"),
     )
 
 
@@ -226,7 +227,7 @@ def classification_report(cm: DataFrame, names: tuple[str, str] = ("Fully Paid",
         return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
     n = s0 + s1
-    acc = (tp + tn) / n
+    acc = ratio(tp + tn, n)
     rows = [
         F.struct(F.lit(names[0]).alias("label"), p0.alias("precision"), r0.alias("recall"), f1(p0, r0).alias("f1"), s0.alias("support")),
         F.struct(F.lit(names[1]).alias("label"), p1.alias("precision"), r1.alias("recall"), f1(p1, r1).alias("f1"), s1.alias("support")),
@@ -234,8 +235,8 @@ def classification_report(cm: DataFrame, names: tuple[str, str] = ("Fully Paid",
                  acc.alias("f1"), n.alias("support")),
         F.struct(F.lit("macro avg").alias("label"), ((p0 + p1) / 2).alias("precision"), ((r0 + r1) / 2).alias("recall"),
                  ((f1(p0, r0) + f1(p1, r1)) / 2).alias("f1"), n.alias("support")),
-        F.struct(F.lit("weighted avg").alias("label"), ((p0 * s0 + p1 * s1) / n).alias("precision"), ((r0 * s0 + r1 * s1) / n).alias("recall"),
-                 ((f1(p0, r0) * s0 + f1(p1, r1) * s1) / n).alias("f1"), n.alias("support")),
+        F.struct(F.lit("weighted avg").alias("label"), ratio(p0 * s0 + p1 * s1, n).alias("precision"), ratio(r0 * s0 + r1 * s1, n).alias("recall"),
+                 ratio(f1(p0, r0) * s0 + f1(p1, r1) * s1, n).alias("f1"), n.alias("support")),
     ]
     return cm.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 

@@ -29,10 +29,11 @@ REJECTED_COLUMNS = {
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             columns: Sequence[str] | None = None, null_words: bool = True) -> DataFrame:
-    """Header CSV with quoted multi-line fields; typed by ``schema`` when given
-    (text otherwise), pruned to ``columns``, pandas' missing words -> null."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+             columns: Sequence[str] | None = None, null_words: bool = True, multi_line: bool = False) -> DataFrame:
+    """Header CSV; typed by ``schema`` when given (text otherwise), pruned to
+    ``columns``, pandas' missing words -> null.  ``multi_line`` reads quoted fields
+    that hold line breaks, at the cost of one task per file: such a file cannot be split."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
     if schema is not None:
         # Read text first so that words like 'n/a' in numeric columns become null, not parse errors.
         st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)

@@ -17,6 +17,14 @@ def test_one_class_only(spark):
     ev.f2_threshold(df).collect()
 
 
+def test_reports_without_defaults_or_rows(spark):
+    df = spark.createDataFrame([(0.1, 0.0), (0.4, 0.0)], "score double, target double")
+    r = ev.business_impact(ev.confusion(df, 0.3)).first()
+    assert (r.total, r.default_rate_no_model, r.default_rate_reduction, r.good_approved_rate) == (2, 0.0, None, 0.5)
+    assert ev.business_impact(ev.confusion(df.limit(0), 0.3)).first().default_rate_no_model is None
+    assert ev.classification_report(ev.confusion(df.limit(0), 0.3)).where("f1 != 0").isEmpty()
+
+
 def test_auc_of_large_counts(spark):
     rows = [(0.1, 0.0), (0.2, 1.0), (0.2, 0.0), (0.3, 1.0)]
     df = spark.createDataFrame(rows, "score double, target double")

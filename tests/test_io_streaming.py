@@ -29,6 +29,20 @@ def test_rejected_csv_roundtrip(spark):
     assert a == b
 
 
+def test_csv_is_split_unless_fields_hold_line_breaks(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("id,note\n" + "".join(f"{i},x\n" for i in range(5000)) + '5000,"a\nb"\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert files.read_csv(spark, str(path)).rdd.getNumPartitions() > 1
+        whole = files.read_csv(spark, str(path), multi_line=True)
+        assert whole.rdd.getNumPartitions() == 1
+        assert whole.count() == 5001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_streaming_yearly_counts_match_batch(spark):
     rej = inputs.rejected(spark, SF_SMALL)
     folder = tempfile.mkdtemp(prefix="cl-stream-")
