@@ -3,11 +3,13 @@
 Each word (a run between ASCII white space) is encoded on its own with a public
 SentencePiece vocabulary with byte fallback. Three figures of a text follow:
 characters per token, the share of byte-fallback tokens and the entropy of its
-token distribution in bits. A text is rejected where a figure leaves the band of
-its language and length (the octave of its word count). Bands are medians and
-median absolute deviations over all texts of the table that pass the base rules,
-exact on figures rounded to a thousandth: counts per rounded value are summed
-before any ranking, so a language with most of the rows costs no more than others.
+token distribution in bits. Figures first lose their language's trend with the text's
+length. A text is rejected where a figure then leaves the band of its language and
+length (the octave of its word count), blended with the bands above it by the number of
+texts, without a least count. Bands are medians and median absolute deviations over all
+texts of the table that pass the base rules, exact on figures rounded to a thousandth:
+counts per rounded value are summed before any ranking, so a language with most of the
+rows costs no more than others.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ from .common import named, staged, text_blocks
 BANDS = {"chars_per_token": (6.0, 8.0), "token_entropy": (4.0, 8.0), "byte_share": (None, 10.0)}
 #: Least scaled MAD, so that a uniform group does not reject harmless differences.
 LEAST_DEVIATION = {"chars_per_token": 0.02, "token_entropy": 0.05, "byte_share": 0.004}
+#: Texts that the band above counts in the blend with a group's own band.
+PRIOR = 50
+#: Doublings of one word at which adjusted figures stand: 256 words.
+AT = 8
 #: Rejected too: figures that are low together, by the sum of their deviations.
 JOINT = -6.0
 
@@ -137,6 +143,22 @@ def measured(docs: DataFrame, model: str, text_col: str = "text", lang_col: str
     return taken.mapInArrow(run, out)
 
 
+def _length():
+    """Doublings of one word that a text is long."""
+    return F.log2(F.greatest(F.col("n_words"), F.lit(1)))
+
+
+def _long(stats: DataFrame, figures: dict) -> DataFrame:
+    """lang, octave, n_words, figure and v, its value in thousandths."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("figure"), F.round(c * 1000).cast("long").alias("v")) for f, c in figures.items()])
+    return stats.select("lang", "octave", "n_words", F.explode(pairs).alias("x")).select("lang", "octave", "n_words", "x.figure", "x.v")
+
+
+def _adjusted(figure: str):
+    """The figure without its language's trend, as it would be at the length ``AT``."""
+    return F.col(figure) - F.col(f"{figure}_slope") * (_length() - AT)
+
+
 def _median(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Lower median of ``value`` with multiplicity ``n``, per key: a window over distinct rounded values."""
     w = Window.partitionBy(*keys)
@@ -144,29 +166,51 @@ def _median(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFr
     return ranked.where(2 * F.col("below") >= F.col("all")).groupBy(*keys).agg(F.min(value).alias(name))
 
 
-def bands(stats: DataFrame, least_rows: int = 50) -> DataFrame:
-    """lang, octave, figure: median and scaled MAD of the group, of its language where the
-    group has under ``least_rows`` texts, of the whole table where the language has."""
-    good = stats.where(~F.col("base_failed"))
-    long = good.select("lang", "octave", F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), F.round(F.col(f) * 1000).cast("long").alias("v")) for f in _FIGURES])).alias("x"))
-    counts = staged(long.groupBy("lang", "octave", "x.figure", "x.v").agg(F.count("*").alias("n")), "figures")
-    levels = []
-    for level, (lang, octave) in enumerate(((True, True), (True, False), (False, False))):
-        c = counts.select(F.col("lang") if lang else F.lit("*").alias("lang"), F.col("octave") if octave else F.lit(-1).alias("octave"), "figure", "v", "n")
-        c = c.groupBy("lang", "octave", "figure", "v").agg(F.sum("n").alias("n"))
-        keys = ["lang", "octave", "figure"]
+def trends(stats: DataFrame) -> DataFrame:
+    """lang and, per figure, how much it grows when the number of words doubles.
+
+    The slope through the octaves' medians, weighted by their texts; that of all languages
+    together counts in each as ``PRIOR`` texts an octave off."""
+    long = _long(stats.where(~F.col("base_failed")), {f: F.col(f) for f in _FIGURES})
+    counts = staged(long.groupBy("lang", "octave", "figure", "v").agg(F.count("*").alias("n"), F.sum(F.round(_length() * 1000).cast("long")).alias("x")), "figures")
+    keys = ["lang", "octave", "figure"]
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum("x") / F.sum("n") / 1000).alias("x"))
+    points = _median(counts, keys, "v", "median").join(sizes, keys).withColumn("y", F.col("median") / 1000)
+    sums = points.groupBy("lang", "figure").agg(F.sum("n").alias("w"), *[F.sum(F.col("n") * F.expr(e)).alias(c) for c, e in (("sx", "x"), ("sy", "y"), ("sxx", "x * x"), ("sxy", "x * y"))])
+    own = sums.select("lang", "figure", (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("w")).alias("xx"), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("w")).alias("xy"))
+    shared = own.groupBy("figure").agg((F.sum("xy") / (F.sum("xx") + PRIOR)).alias("shared"))
+    slope = F.round((F.col("xy") + PRIOR * F.col("shared")) / (F.col("xx") + PRIOR), 6)
+    return own.join(shared, "figure").groupBy("lang").pivot("figure", _FIGURES).agg(F.first(slope))
+
+
+def bands(stats: DataFrame) -> DataFrame:
+    """lang, octave and, per figure: median and scaled MAD of the figures at the length ``AT``.
+
+    A group's band is its own blended with that of the level above, octave with language and
+    language with table, by its number of texts: smoothly, and alike at every size. The level
+    of a language gives way to the table's only as far as languages differ little from each
+    other; its MAD, and an octave's band, count the level above as ``PRIOR`` texts."""
+    long = _long(stats.where(~F.col("base_failed")), {f: _adjusted(f) for f in _FIGURES})
+    counts = staged(long.groupBy("lang", "octave", "figure", "v").agg(F.count("*").alias("n")), "adjusted")
+
+    def level(keys: list[str], k: int) -> DataFrame:
+        c = counts.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
         mid = _median(c, keys, "v", "median")
         off = c.join(mid, keys).groupBy(*keys, F.abs(F.col("v") - F.col("median")).alias("d")).agg(F.sum("n").alias("n"))
-        sizes = c.groupBy(*keys).agg(F.sum("n").alias("size"))
-        levels.append(mid.join(_median(off, keys, "d", "mad"), keys).join(sizes, keys).withColumn("level", F.lit(level)))
-    found = levels[0].union(levels[1]).union(levels[2])
-    groups = counts.select("lang", "octave", "figure").distinct()
-    at = lambda k: found.where(f"level = {k}")
-    narrow, lang, whole = (at(k).select(*cols, "figure", F.struct("median", "mad").alias(f"b{k}"), F.col("size").alias(f"s{k}")) for k, cols in enumerate((["lang", "octave"], ["lang"], [])))
-    best = groups.join(narrow, ["lang", "octave", "figure"]).join(lang, ["lang", "figure"]).join(whole, "figure")
-    best = best.withColumn("b", F.when(F.col("s0") >= least_rows, F.col("b0")).when(F.col("s1") >= least_rows, F.col("b1")).otherwise(F.col("b2")))
+        found = mid.join(_median(off, keys, "d", "mad"), keys).join(c.groupBy(*keys).agg(F.sum("n").alias("n")), keys)
+        return found.select(*keys, (F.col("median") / 1000).alias(f"m{k}"), (F.col("mad") * 1.4826 / 1000).alias(f"d{k}"), F.col("n").alias(f"n{k}"))
+
+    octave, lang, table = staged(level(["lang", "octave", "figure"], 0), "octaves"), staged(level(["lang", "figure"], 1), "languages"), level(["figure"], 2)
     floor = F.create_map(*[F.lit(x) for f in _FIGURES for x in (f, LEAST_DEVIATION[f])])[F.col("figure")]
-    wide = best.select("lang", "octave", "figure", (F.col("b.median") / 1000).alias("median"), F.greatest(F.col("b.mad") * 1.4826 / 1000, floor).alias("mad"))
+    # What a text's figure differs from its language's, and languages from the table.
+    off = counts.join(lang.select("lang", "figure", "m1"), ["lang", "figure"]).groupBy("figure", F.abs(F.col("v") - F.round(F.col("m1") * 1000).cast("long")).alias("d")).agg(F.sum("n").alias("n"))
+    within = _median(off, ["figure"], "d", "within").select("figure", F.greatest(F.col("within") * 1.4826 / 1000, floor).alias("within"))
+    between = lang.join(table, "figure").groupBy("figure").agg(F.avg((F.col("m1") - F.col("m2")) * (F.col("m1") - F.col("m2"))).alias("between"))
+    best = octave.join(lang.join(table.select("figure", "m2"), "figure").join(within, "figure").join(between, "figure"), ["lang", "figure"])
+    blend = lambda n, own, above: (F.col(n) * own + PRIOR * above) / (F.col(n) + PRIOR)
+    weight, noise = F.col("n1") * F.col("between"), F.col("within") * F.col("within")
+    best = best.withColumn("ml", (weight * F.col("m1") + noise * F.col("m2")) / (weight + noise)).withColumn("dl", blend("n1", F.col("d1"), F.col("within")))
+    wide = best.select("lang", "octave", "figure", blend("n0", F.col("m0"), F.col("ml")).alias("median"), F.greatest(blend("n0", F.col("d0"), F.col("dl")), floor).alias("mad"))
     return wide.groupBy("lang", "octave").pivot("figure", _FIGURES).agg(F.first("median").alias("median"), F.first("mad").alias("mad"))
 
 
@@ -174,9 +218,11 @@ def with_verdict(stats: DataFrame) -> DataFrame:
     """Adds base_failed, the figures' deviations and kept to measured rows."""
     n = F.col("n_words")
     stats = stats.withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
-    stats = stats.withColumn("octave", F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
-    joined = stats.join(bands(stats), ["lang", "octave"], "left")
-    away = {f: (F.col(f) - F.col(f"{f}_median")) / F.col(f"{f}_mad") for f in _FIGURES}
+    stats = stats.withColumn("octave", F.floor(_length()).cast("int"))
+    slopes = staged(trends(stats), "trends")
+    stats = stats.join(slopes.select("lang", *[F.col(f).alias(f"{f}_slope") for f in _FIGURES]), "lang", "left")
+    joined = stats.join(staged(bands(stats), "bands"), ["lang", "octave"], "left")
+    away = {f: (_adjusted(f) - F.col(f"{f}_median")) / F.col(f"{f}_mad") for f in _FIGURES}
     bad = [away["chars_per_token"] + away["token_entropy"] < JOINT]
     for f, (below, above) in BANDS.items():
         bad += [away[f] < -below] if below is not None else []

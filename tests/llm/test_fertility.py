@@ -78,5 +78,18 @@ def test_planted_junk(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 312))
 
 
+def test_few_short_texts_among_long_ones(spark):
+    """The trend with length is removed, so that short texts are held against short ones however few they are."""
+    rng = random.Random(6)
+    vocab = sorted({a + b + c for a in ("play", "work", "read", "walk", "talk", "look", "call", "help") for b in ("", "er", "ing", "ed", "s") for c in ("", "able", "ness", "ly", "ment")})
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    long = [text(rng.randrange(600, 1000)) for _ in range(200)]
+    for n_short in (10, 45, 55):
+        texts = long + [text(60) for _ in range(n_short)] + [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz0189#%") for _ in range(9)) for _ in range(60))]
+        rows = [(i, t, "en") for i, t in enumerate(texts)]
+        kept = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), MODEL).collect()}
+        assert all(kept[i] for i in range(len(texts) - 1)) and not kept[len(texts) - 1]
+
+
 def test_empty_table(empty_docs):
     assert quality_rules(empty_docs, MODEL).count() == 0 and keep_good(empty_docs, MODEL).columns == empty_docs.columns
