@@ -17,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import staged
 
-#: Levels of the tree; what is left of a longer path is one last segment.
-DEPTH = 6
+#: Levels that the brute-force test walks; the operator takes as many as the paths have.
+DEPTH = 32
 #: A node with fewer kinds of children keeps them all.
 LEAST_KINDS = 12
 #: A child stays itself where it has at least so many times the average of its siblings.
@@ -63,9 +64,27 @@ def typed(segment: Column) -> Column:
     return F.when(form.isNotNull(), F.concat(form, extension)).otherwise(segment)
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """At most ``depth`` typed segments of a path."""
-    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", depth), typed)
+def segments(path: Column) -> Column:
+    """All segments of a path, typed."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), typed)
+
+
+def by_level(rows: DataFrame, along: str, grown: str, step, name: str) -> DataFrame:
+    """``rows`` with ``grown``, an array that ``step`` makes longer by one level of ``along`` at a time.
+
+    ``step`` gets the rows that still have a level, as ``child``. Rows whose levels are all done
+    are set aside in one table, so that each level costs what is still that deep; the last
+    level is that of the longest path.
+    """
+    done = scratch_path(rows.sparkSession, name)
+    rows, k = rows.withColumn(grown, F.array().cast("array<string>")), 0
+    schema = rows.schema
+    while True:
+        rows.where(F.size(along) <= k).write.mode("append").parquet(done)
+        rows = rows.where(F.size(along) > k)
+        if rows.isEmpty():
+            return rows.sparkSession.read.schema(schema).parquet(done)
+        rows, k = staged(step(rows.withColumn("child", F.element_at(along, k + 1))).select(*schema.names), name), k + 1
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -75,29 +94,26 @@ def templates(pages: DataFrame) -> DataFrame:
     paths = staged(ones.groupBy("host", "segs").agg(*sums), "paths")
 
     # Variable segments, from the root downward.
-    shaped = paths.withColumn("shape", F.array().cast("array<string>"))
-    for k in range(DEPTH):
-        child = F.try_element_at("segs", F.lit(k + 1))
-        shaped = shaped.withColumn("child", child)
-        kinds = shaped.where("child is not null").groupBy("host", "shape", "child").agg(F.sum("n").alias("c"))
+    def widened(rows: DataFrame) -> DataFrame:
+        kinds = rows.groupBy("host", "shape", "child").agg(F.sum("n").alias("c"))
         nodes = kinds.groupBy("host", "shape").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"))
         rare = kinds.join(nodes.where(f"kinds >= {LEAST_KINDS}"), ["host", "shape"]).where(F.col("c") * F.col("kinds") < FREQUENT * F.col("all"))
-        shaped = shaped.join(rare.select("host", "shape", "child", F.lit("*").alias("wild")), ["host", "shape", "child"], "left")
-        grown = F.concat("shape", F.array(F.coalesce("wild", "child")))
-        shaped = staged(shaped.withColumn("shape", F.when(F.col("child").isNotNull(), grown).otherwise(F.col("shape"))).drop("child", "wild"), "shapes")
+        rows = rows.join(rare.select("host", "shape", "child", F.lit("*").alias("wild")), ["host", "shape", "child"], "left")
+        return rows.withColumn("shape", F.concat("shape", F.array(F.coalesce("wild", "child"))))
+
+    shaped = by_level(paths, "segs", "shape", widened, "shapes")
 
     # Similar siblings, from the root downward.
-    tree = staged(shaped.groupBy("host", "shape").agg(*sums).withColumn("merged", F.array().cast("array<string>")), "tree")
-    for k in range(DEPTH):
-        tree = tree.withColumn("child", F.try_element_at("shape", F.lit(k + 1)))
-        branch = tree.where("child is not null").groupBy("host", "merged", "child").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
+    def joined(rows: DataFrame) -> DataFrame:
+        branch = rows.groupBy("host", "merged", "child").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
         parent = branch.groupBy("host", "merged").agg(F.sum("g").alias("pg"), F.sum("l").alias("pl"), F.count("*").alias("children"))
         rate = F.try_divide("pg", "pl")
         far = F.abs(F.col("g") - F.col("l") * rate) > SIMILAR * F.sqrt(F.col("l") * rate * (1 - rate))
         alike = branch.join(parent.where("children > 1"), ["host", "merged"]).where(~F.coalesce(far, F.lit(False)))
-        tree = tree.join(alike.select("host", "merged", "child", F.lit("~").alias("one")), ["host", "merged", "child"], "left")
-        grown = F.concat("merged", F.array(F.coalesce("one", "child")))
-        tree = staged(tree.withColumn("merged", F.when(F.col("child").isNotNull(), grown).otherwise(F.col("merged"))).drop("child", "one"), "tree")
+        rows = rows.join(alike.select("host", "merged", "child", F.lit("~").alias("one")), ["host", "merged", "child"], "left")
+        return rows.withColumn("merged", F.concat("merged", F.array(F.coalesce("one", "child"))))
+
+    tree = by_level(staged(shaped.groupBy("host", "shape").agg(*sums), "tree"), "shape", "merged", joined, "merged")
 
     # Purity, smoothed from all pages to the host to the template.
     hosts = tree.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("labelled").alias("hl"))

@@ -125,3 +125,17 @@ def test_learnt_templates(spark):
     got = check(spark, rows, labels)
     assert all((r[4] == "block") == (r[2].startswith("/spam/")) for r in got.values())
     assert {r[5] for r in got.values()} == {"/spam/*/{number}.html", "/news/*/{number}.html", "/blog/*/{number}.html"} or len({r[5] for r in got.values()}) == 2
+
+
+def test_deep_paths(spark):
+    """Branches below the sixth segment, and below the twentieth, have templates and verdicts of their own."""
+    for above in ("a/b/c/d/e", "/".join("abcdefghijklmnopqrst")):
+        rows, labels = [], []
+        for k in range(60):
+            for name, good in (("spam", 0), ("news", 1), ("blog", 1)):
+                rows.append((len(rows), f"http://site.test/{above}/{name}/{k}"))
+                labels.append((rows[-1][0], good))
+        rows.append((len(rows), "http://site.test/" + "x/" * 22))
+        got = check(spark, rows, labels)
+        assert all((r[4] == "block") == ("/spam/" in r[2]) for r in got.values())
+        assert got[0][5].endswith("/spam/{number}") and got[0][5].count("/") == above.count("/") + 3
