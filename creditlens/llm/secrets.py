@@ -4,7 +4,10 @@ A vocabulary of byte pairs learnt from text packs words into few tokens; random
 need about one token for each two characters. A run of token characters is taken for a
 secret where its characters per token under a public vocabulary are at most
 ``MOST_CHARS_PER_TOKEN``, after known digests (runs of hexadecimal digits of a digest's
-length), UUIDs, plain numbers, words and identifiers made of words are set aside.
+length), UUIDs, plain numbers, and identifiers made of words that the vocabulary packs
+well are set aside. Where the run as a whole is packed too well, its parts between
+separators and the stretches of tokens in it are held against the same limit, so that
+words joined to a key do not hide it.
 """
 
 from __future__ import annotations
@@ -26,12 +29,22 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 #: What the method looks at, and what it sets aside.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_RANDOM = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RANDOM)
+PART = re.compile(r"[A-Za-z0-9+]{%d,}" % LEAST_RANDOM)
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Parts that are words in one case, capitalised, or numbers: ``max_retry_count_2``, ``/usr/lib``, ``HttpServerError``.
-IDENTIFIER = re.compile(r"(?:(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)(?:[+/_=-]+|$))+|[a-z]+(?:[A-Z][a-z]+)*|(?:[A-Z][a-z]+)+|[+/_=-]+.?")
+#: A piece between separators that is a word in one case, words in camel case, or a number.
+PIECE = re.compile(r"[A-Za-z0-9]+")
+FORM = re.compile(r"[0-9]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A digest or UUID beside separators only.
+SET_ASIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])")
 MOST_CHARS_PER_TOKEN = 2.2
+#: The same for a word of an identifier; long words of other languages lie between the two.
+MOST_CHARS_PER_TOKEN_WORD = 2.0
+#: Characters above the limit after which a stretch of tokens is over.
+MOST_DROP = 6.0
 
 
 def load_vocabulary(path: str):
@@ -51,15 +64,79 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def badly_packed(string: str, vocabulary) -> bool:
+    return len(string) <= MOST_CHARS_PER_TOKEN * len(vocabulary.encode_ordinary(string))
+
+
+def made_of_words(string: str, vocabulary) -> bool:
+    """Half of the letters and digits or more are numbers and words, in any case, that are packed well."""
+    bad = total = 0
+    for piece in PIECE.findall(string):
+        total += len(piece)
+        if not FORM.fullmatch(piece):
+            bad += len(piece)
+            continue
+        words = WORD.findall(piece)
+        for word in words:
+            n = len(vocabulary.encode_ordinary(word.lower()))
+            if (n > 1 and len(word) <= MOST_CHARS_PER_TOKEN_WORD * n) or (len(words) > 1 and len(word) < 3):
+                bad += len(word)
+    return 2 * bad <= total
+
+
+def is_random(string: str, vocabulary) -> bool:
+    if len(string) < LEAST_RANDOM or DIGEST.fullmatch(string) or UUID.fullmatch(string):
+        return False
+    return badly_packed(string, vocabulary) and not made_of_words(string, vocabulary)
+
+
+def stretches(run: str, vocabulary) -> list[tuple[int, int]]:
+    """Stretches of the run's tokens that are short on the whole, without digests and UUIDs."""
+    sizes = [len(vocabulary.decode_single_token_bytes(t)) for t in vocabulary.encode_ordinary(run)]
+    aside = [m.span() for m in SET_ASIDE.finditer(run)]
+    out, k, at, next_aside = [], 0, 0, 0
+    while k < len(sizes):
+        # From the token k at the character ``at``: up to where the sum is greatest.
+        total = best = 0.0
+        end, after, i, place = at, k, k, at
+        while i < len(sizes) and total > best - MOST_DROP and total >= 0:
+            while next_aside < len(aside) and aside[next_aside][1] <= at:
+                next_aside += 1
+            if next_aside < len(aside) and place + sizes[i] > aside[next_aside][0]:
+                break
+            total, place, i = total + MOST_CHARS_PER_TOKEN - sizes[i], place + sizes[i], i + 1
+            if total >= best:
+                best, end, after = total, place, i
+        if after == k:
+            at, k = at + sizes[k], k + 1
+            continue
+        lo = at + len(run[at:end]) - len(run[at:end].lstrip("/_=-"))
+        hi = lo + len(run[lo:end].rstrip("/_-"))
+        if hi - lo >= LEAST_RANDOM and not made_of_words(run[lo:hi], vocabulary):
+            out.append((lo, hi))
+        at, k = end, after
+    return out
+
+
 def random_spans(text: str, vocabulary) -> list[tuple[int, int, int]]:
-    """Spans of strings that the vocabulary packs badly."""
+    """Spans of strings that the vocabulary packs badly: whole runs, or what of a run is so."""
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        run, start = m.group(), m.start()
+        if DIGEST.fullmatch(run) or UUID.fullmatch(run):
+            continue
+        if is_random(run, vocabulary):
+            out.append((start, 3, m.end()))
             continue
-        if len(run) <= MOST_CHARS_PER_TOKEN * len(vocabulary.encode_ordinary(run)):
-            out.append((m.start(), 3, m.end()))
+        found = [p.span() for p in PART.finditer(run) if is_random(p.group(), vocabulary)]
+        last = -1
+        for a, b in sorted(found + stretches(run, vocabulary)):
+            if a < last:
+                last = max(b, last)
+                out[-1] = (out[-1][0], 3, start + last)
+            else:
+                out.append((start + a, 3, start + b))
+                last = b
     return out
 
 

@@ -58,3 +58,24 @@ def test_random_strings(spark):
     got = {r.doc_id: r.spans for r in check(spark.createDataFrame(rows, "doc_id long, text string"))}
     assert all(f"random:8:{8 + len(k)}" in got[i] for i, k in enumerate(keys))
     assert not any("random" in got[len(keys) + i] for i in range(len(plain)))
+
+
+def test_keys_joined_to_words(spark):
+    """Words before a key do not hide it, keys start at 16 characters, and lower case alone does not excuse one."""
+    rng = random.Random(10)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    big = small + small.upper() + "0123456789"
+    cases = [(before, alphabet, n) for before in ("", "connection_string_production=", "/services/hooks/production/") for alphabet in (small, big) for n in (16, 20, 24)]
+    rows, keys = [], []
+    for before, alphabet, n in cases:
+        for _ in range(30):
+            keys.append((2 + len(before), 2 + len(before) + n))
+            rows.append((len(rows), f"x {before}{''.join(rng.choice(alphabet) for _ in range(n))} y"))
+    plain = ["connection_string_production", "/services/hooks/production/v2", "x86_64-linux-gnu", "/a/b/c/d/e/f/g/h/i", "HAVE_SYS_RANDOM_H", "Verantwortungsbewusstsein", "2024-01-02/03-04-05"]
+    rows += [(len(rows) + i, f"x {p} y") for i, p in enumerate(plain)]
+    got = {r.doc_id: r.spans for r in check(spark.createDataFrame(rows, "doc_id long, text string"))}
+    spans = {i: [tuple(map(int, s.split(":")[1:])) for s in x.split(",") if s.startswith("random")] for i, x in got.items()}
+    covered = [sum(max(0, min(b, e) - max(a, s)) for s, e in spans[i]) >= 0.75 * (b - a) for i, (a, b) in enumerate(keys)]
+    for c in range(len(cases)):
+        assert sum(covered[30 * c : 30 * c + 30]) >= 27, cases[c]
+    assert not any(spans[len(keys) + i] for i in range(len(plain)))
