@@ -108,3 +108,23 @@ def test_exact_quantiles_merge_no_value_map_in_one_task(spark):
         if name in reg:
             plan = _plan(reg[name].build(spark, SF_SMALL))
             assert "percentile(" not in plan, name
+
+
+def test_models_are_fitted_at_the_operators_defaults(spark, monkeypatch):
+    """Registered queries pass no sizes of their own, and the saved cut-off is the model's own."""
+    from types import SimpleNamespace
+
+    from creditlens.plans import modelling as md
+    from creditlens.plans import q_models
+
+    given = {}
+    writer = lambda: SimpleNamespace(save=lambda path: None)
+    fit = lambda name: lambda train, **sizes: given.update({name: sizes}) or SimpleNamespace(write=writer)
+    monkeypatch.setattr(md, "_MEMO", {})
+    monkeypatch.setattr(md, "train_test", lambda *a: (None, None, None))
+    monkeypatch.setattr(md.mo, "fit_forest", fit("forest"))
+    monkeypatch.setattr(md.mo, "fit_boosted", fit("boosted"))
+    md.model(spark, "sf", "forest")
+    md.model(spark, "sf", "boosted")
+    assert given == {"forest": {}, "boosted": {}}
+    assert "boosted_f2_threshold" in q_models.persistence_roundtrip.__code__.co_names
