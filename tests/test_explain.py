@@ -103,3 +103,25 @@ def test_shap_chunked_broadcast_equals_single_broadcast(spark):
     err = j.agg(F.max(F.greatest(*[F.abs(F.col(f"o_{c}") - F.col(c)) for c in cols]))).first()[0]
     assert err < 1e-12
     assert j.count() == 200
+
+
+def test_dependence_finds_the_partner_not_a_correlated_column(spark):
+    """b follows the main feature a and so its attribution; c changes the attribution at a given a."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=1500)
+    b, c, d = a + rng.normal(0, 0.05, 1500), rng.normal(size=1500), np.ones(1500)
+    rows = [(str(i), *map(float, x)) for i, x in enumerate(zip(a, b, c, d, a + 0.2 * c))]
+    shap = spark.createDataFrame(rows, "id string, a double, b double, c double, d double, shap_a double")
+    out = ex.dependence(shap, ["a", "b", "c", "d"], "a")
+    assert out.count() == 1500 and out.columns == ["id", "value", "shap", "interaction_feature"]
+    assert {r[0] for r in out.select("interaction_feature").distinct().collect()} == {"c"}
+
+
+def test_dependence_query_returns_both_top_features(spark, monkeypatch):
+    from creditlens.plans import q_explain
+
+    rows = [(str(i), float(i % 7), float(i % 5), float(i % 3), float(i % 7), 0.5 * (i % 5), 0.1 * (i % 3)) for i in range(200)]
+    shap = spark.createDataFrame(rows, "id string, a double, b double, c double, shap_a double, shap_b double, shap_c double")
+    monkeypatch.setattr(q_explain, "_shap", lambda *_: (shap, None, ["a", "b", "c"], None, None))
+    got = q_explain.shap_dependence(spark, "sf").groupBy("feature").count().collect()
+    assert {r["feature"]: r["count"] for r in got} == {"a": 200, "b": 200}
