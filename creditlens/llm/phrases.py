@@ -235,15 +235,15 @@ def proximity_matches(index: DataFrame, items: DataFrame, within: int, id_col: s
     """doc_id, item, n_spans: documents where all distinct words of an item stand, in any
     order, inside ``within`` neighbouring words; n_spans counts the ends of such spans.
 
-    Each of an item's lists gives, at every occurrence of any of its terms, the last
+    Items that share an id are one item. Each of an item's lists gives, at every occurrence of any of its terms, the last
     place of each term; the oldest of them tells the shortest span that ends there.
     """
+    # A row per item, so that no block has but a part of one.
+    chunks = query_words(items, 1, id_col, text_col).where("item IS NOT NULL")
+    whole = chunks.select("item", F.explode("words").alias("word")).groupBy("item").agg(F.collect_set("word").alias("words"))
     parts = []
-    for block in blocks(query_words(items, 1, id_col, text_col)):
-        whole: dict = {}
-        for item, h in block:
-            whole.setdefault(item, []).append(h)
-        sent = index.sparkSession.sparkContext.broadcast([(i, np.unique(np.concatenate(h))) for i, h in whole.items() if i is not None])
+    for block in blocks(whole):
+        sent = index.sparkSession.sparkContext.broadcast([(i, np.unique(h)) for i, h in block])
 
         def run(batches, sent=sent):
             for segment, first, term, at, position in _segment_rows(batches):

@@ -81,3 +81,12 @@ def test_proximity(spark):
     items = spark.createDataFrame([(9, "Mat, cat")], "item_id long, text string")
     got = lambda k: sorted((r.doc_id, r.n_spans) for r in proximity_matches(build_index(docs), items, k).collect())
     assert got(5) == [(1, 1), (5, 2)] and got(7) == [(1, 1), (2, 1), (5, 2)] and got(2) == [(5, 2)]
+
+
+def test_proximity_of_an_item_longer_than_a_block(spark, monkeypatch):
+    """An item of several chunks is searched as one: documents without some of its words are not returned."""
+    w = [f"x{i}" for i in range(5000)]
+    docs = spark.createDataFrame([(1, " ".join(w[:4096])), (2, " ".join(w)), (3, " ".join(w[4096:]))], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", 50)
+    items = spark.createDataFrame([(9, " ".join(w))], "item_id long, text string")
+    assert [(r.doc_id, r.item, r.n_spans) for r in proximity_matches(build_index(docs), items, 6000).collect()] == [(2, "9", 1)]
