@@ -1,9 +1,11 @@
 """Words of UTF-8 text as 64-bit hashes, without a Python step per word.
 
-A word is a run of bytes that a 256-entry table marks. Its hash is a polynomial
-over per-byte random values, taken from prefix sums modulo 2**64 and mixed; two
-different words agree with a probability of about 2**-64. Words over
-``LONG_WORD`` bytes are hashed by BLAKE2 instead, so memory stays bounded.
+A word is a run of bytes that a 256-entry table marks. Its hash is the sum modulo
+2**64 of one pseudo-random value for each pair of byte and place in the word
+(tabulation hashing), mixed with the length. The values of different places are not
+related, so regular words collide no more than others: two different words agree
+with a probability of about 2**-64. Words over ``LONG_WORD`` bytes are hashed by
+BLAKE2 instead, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -37,13 +39,14 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_EXACT = stream(11, 256)
-_FOLDED = _EXACT.copy()
-_FOLDED[0x41:0x5B] = _EXACT[0x61:0x7B]
-_P, _PINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Places in a word whose values are kept in a table; further ones are made when needed.
+_TABLED = 64
+_BYTE, _PLACE = stream(11, 256), stream(13, LONG_WORD)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
 with np.errstate(over="ignore"):
-    _POW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_CHUNK + LONG_WORD, _P, np.uint64)]), dtype=np.uint64)
-    _INV = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_CHUNK + LONG_WORD, _PINV, np.uint64)]), dtype=np.uint64)
+    _EXACT = mix(_PLACE[:_TABLED, None] + mix(_BYTE)[None, :])
+_FOLDED = _EXACT[:, _FOLD]
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,17 +73,21 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool)
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, "right")))
         long = np.flatnonzero(ends[i:j] - starts[i:j] > LONG_WORD)
         j = i + int(long[0]) if len(long) else j
-        base, size = int(starts[i]), int(ends[j - 1] - starts[i])
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(table[data[base : base + size]] * _POW[:size], out=sums[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * _INV[s] + (e - s).astype(np.uint64) * _GOLD)
+        base, s, e = int(starts[i]), starts[i:j] - starts[i], ends[i:j] - starts[i]
+        byte = data[base : int(ends[j - 1])]
+        place = np.arange(len(byte), dtype=np.int32) - np.repeat(s.astype(np.int32), np.diff(s, append=len(byte)))
+        value = table.take((np.minimum(place, _TABLED - 1) << 8) | byte)
+        if len(far := np.flatnonzero(place >= _TABLED)):  # with what stands between words, which no sum takes
+            value[far] = mix(_PLACE[np.minimum(place[far], LONG_WORD - 1)] + mix(_BYTE)[_FOLD[byte[far]] if folded else byte[far]])
+        sums = np.zeros(len(byte) + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        out[i:j] = mix(sums[e] - sums[s] + (e - s).astype(np.uint64) * _GOLD)
         i = j
     return out
 
 
 def _lower(word: bytes) -> bytes:
-    return word.translate(bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)))
+    return word.translate(_FOLD.tobytes())
 
 
 def chained(values: np.ndarray, width: int, seed: int) -> np.ndarray:
