@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import fertility, minhash, mixing, phrases, pulearn, secrets, sharding, tokenfile, urls, warc
+from . import collocations, fertility, minhash, mixing, phrases, pulearn, secrets, sharding, suffixes, tokenfile, urls, variants, warc
 from .common import documents
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -58,9 +58,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_url_filters, op3_secrets, op4_warc, op5_quality, op6_decontamination, op7_mixing, op8_quality_rules, op9_near_duplicates, op10_token_files)
+    for f in (op1_sharding, op2_url_filters, op3_secrets, op4_warc, op5_quality, op6_decontamination, op7_mixing, op8_quality_rules, op9_near_duplicates, op10_token_files, op11_collocations, op12_variants, op13_suffix_dedup)
 } | {"pipeline": corpus_pipeline.run}
 
 #: The other queries need tokenizers, a fitted model, file formats or CRC-32, which SQL lacks.
@@ -69,4 +81,5 @@ ORACLES = {
     "op6_decontamination": phrases.oracle("documents", "benchmark"),
     "op7_mixing": mixing.oracle("documents", MIX_PERCENT, MIX_EPOCHS, WEIGHTS, DOMAIN),
     "op9_near_duplicates": minhash.oracle("documents"),
+    "op11_collocations": collocations.oracle("documents"),
 }
