@@ -51,10 +51,10 @@ def with_rates(cm: DataFrame) -> DataFrame:
     )
 
 
-def _curve_base(scored: DataFrame, score: str, label: str, keys: Sequence[str], buckets: int) -> DataFrame:
+def _curve_base(scored: DataFrame, score: str, label: str, keys: Sequence[str], ranges: int) -> DataFrame:
     """Distinct scores with descending cumulative counts: tps/fps at ``score >= s``."""
     c = collapse(scored, score, label, keys)
-    cum = running_sums(c, score, ["n_pos", "n_neg"], keys, buckets)
+    cum = running_sums(c, score, ["n_pos", "n_neg"], keys, ranges)
     # inclusive-descending = total - ascending-inclusive + own
     return cum.select(
         *keys, score, "n_pos", "n_neg",
@@ -65,9 +65,9 @@ def _curve_base(scored: DataFrame, score: str, label: str, keys: Sequence[str],
     )
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def auc(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Exact ROC-AUC with ties: Σ pos·(neg_below + neg/2) / (P·N); null where a class is empty."""
-    base = _curve_base(scored, score, label, keys, buckets)
+    base = _curve_base(scored, score, label, keys, ranges)
     return base.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("n_pos").cast("double") * (F.col("neg_below") + F.col("n_neg") / F.lit(2.0))),
                      F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"),
@@ -75,10 +75,10 @@ def auc(scored: DataFrame, score: str = "score", label: str = "target", keys: Se
     )
 
 
-def roc_curve(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def roc_curve(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """ROC points (fpr, tpr, threshold) at every distinct score, plus the (0, 0)
     start with an infinite threshold (unthinned: no collinear-point removal)."""
-    base = _curve_base(scored, score, label, keys, buckets)
+    base = _curve_base(scored, score, label, keys, ranges)
     pts = base.select(*keys, F.col(score).alias("threshold"), F.try_divide("fps", "N").alias("fpr"),
                       F.try_divide("tps", "P").alias("tpr"))
     start = base.groupBy(*keys).agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
@@ -86,13 +86,13 @@ def roc_curve(scored: DataFrame, score: str = "score", label: str = "target", ke
 
 
 def roc_curve_thinned(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (),
-                      buckets: int | None = None) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """ROC points with collinear interior points removed (scikit-learn's
     default ``drop_intermediate``): an interior point is dropped when the next
     lower distinct score carries the same (positives, negatives) counts, i.e.
     the curve does not bend there.  The highest and lowest scores are kept."""
-    base = _curve_base(scored, score, label, keys, buckets)
-    prev = previous_values(base, score, ["n_pos", "n_neg"], keys, buckets)
+    base = _curve_base(scored, score, label, keys, ranges)
+    prev = previous_values(base, score, ["n_pos", "n_neg"], keys, ranges)
     top = base.groupBy(*keys).agg(F.max(score).alias("_max"))
     j = with_series_stats(prev, top, keys)
     collinear = (F.col(score) < F.col("_max")) & F.col(f"prev_{score}").isNotNull() & \
@@ -103,10 +103,10 @@ def roc_curve_thinned(scored: DataFrame, score: str = "score", label: str = "tar
     return kept.unionByName(start)
 
 
-def pr_curve(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def pr_curve(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Precision / recall at every distinct score, the final (1, 0) point with a
     null threshold, and F2 = 5pr/(4p+r) (0 when undefined)."""
-    base = _curve_base(scored, score, label, keys, buckets)
+    base = _curve_base(scored, score, label, keys, ranges)
     p = F.col("tps") / (F.col("tps") + F.col("fps"))
     r = F.try_divide("tps", "P")
     pts = base.select(*keys, F.col(score).alias("threshold"), p.alias("precision"), r.alias("recall"))
@@ -117,10 +117,10 @@ def pr_curve(scored: DataFrame, score: str = "score", label: str = "target", key
 
 
 def f2_threshold(scored: DataFrame, score: str = "score", label: str = "target", keys: Sequence[str] = (),
-                 digits: int = 2, buckets: int | None = None) -> DataFrame:
+                 digits: int = 2, ranges: int | None = None) -> DataFrame:
     """F2-optimal cut-off: arg-max of F2 over the PR points (lowest threshold on
     ties), rounded to ``digits``; one row per series."""
-    pr = pr_curve(scored, score, label, keys, buckets).filter(F.col("threshold").isNotNull())
+    pr = pr_curve(scored, score, label, keys, ranges).filter(F.col("threshold").isNotNull())
     if keys:
         # Arg-max as an aggregate (partial per task, then one row per series), not a window over a whole series.
         pick = F.max_by(F.struct("threshold", "f2", "precision", "recall"), F.struct("f2", (-F.col("threshold")).alias("_t")))

@@ -12,7 +12,13 @@ where D is the leaf's set of d path features, o_j tells whether the row
 satisfies all of the path's conditions on feature j (an interval test) and
 r_j is the product of the cover ratios of the path's splits on j.  The sum
 over subsets is the coefficient series of Π_{j≠f}(r_j + o_j z) weighted by
-k!(d-k-1)!/d!, computed for all leaves of a chunk at once in NumPy.
+k!(d-k-1)!/d!.
+
+A leaf's attributions depend on a row only through its d bits o_j, so for leaves of up to
+``TABLED`` path features all 2^d x d attributions are computed once, on the driver. A row
+then costs one interval test and one look-up per path feature: its values are replaced by
+their ranks among the model's thresholds, bits are compared on small integers, and the
+looked-up attributions are summed by feature. Deeper leaves are evaluated row by row.
 
 Boosted trees explain the class-1 log-odds 2F (Spark's GBT probability is
 1/(1+exp(-2F))); forests explain the class-1 probability.
@@ -30,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import scalar_values
 from ..session import scratch_path
-from .prefix import assign_buckets, exact_quantiles
+from .prefix import exact_quantiles, quantile_bins
 
 
 # ---------------------------------------------------------------------------
@@ -120,8 +126,81 @@ def leaf_tables(spark: SparkSession, model, kind: str | None = None) -> dict:
 # ---------------------------------------------------------------------------
 # Attributions for a batch of rows
 # ---------------------------------------------------------------------------
-def shap_batch(x: np.ndarray, t: dict, n_features: int, chunk: int = 256) -> np.ndarray:
-    """SHAP values (rows x features) of a NumPy batch against leaf tables ``t``."""
+#: Path features up to which a leaf's attributions are tabled, and leaves and rows looked up at once.
+TABLED = 8
+_LEAVES, _ROWS = 512, 1024
+
+
+def _attributions(r: np.ndarray, val: np.ndarray) -> np.ndarray:
+    """(leaves, 2^d, d) attributions for every pattern of path features that a row satisfies."""
+    n, d = r.shape
+    bits = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+    weights = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
+    out = np.empty((n, 1 << d, d))
+    for f in range(d):
+        p = np.zeros((n, 1 << d, d))
+        p[:, :, 0] = 1.0
+        for j in range(d):
+            if j != f:
+                more = np.zeros_like(p)
+                more[:, :, 1:] = p[:, :, :-1] * bits[None, :, j, None]
+                p = p * r[:, None, j, None] + more
+        out[:, :, f] = val[:, None] * (bits[None, :, f] - r[:, None, f]) * (p @ weights)
+    return out
+
+
+def pattern_tables(t: dict) -> dict:
+    """Leaf tables as look-up tables: per feature its sorted thresholds, per number of path
+    features the leaves' features, bounds as ranks of thresholds, and attributions by pattern."""
+    real = t["feat"] >= 0
+    cuts = {}
+    for f in np.unique(t["feat"][real]).tolist():
+        own = np.concatenate([t[k][t["feat"] == f] for k in ("lo", "hi")])
+        cuts[f] = np.unique(own[np.isfinite(own)])
+    groups = []
+    for d in np.unique(t["dlen"]).tolist():
+        rows = np.flatnonzero(t["dlen"] == d)
+        if not 0 < d <= TABLED:
+            continue
+        feat, lo, hi = (t[k][rows, :d] for k in ("feat", "lo", "hi"))
+        low, high = np.full(feat.shape, -1, np.int32), np.full(feat.shape, np.iinfo(np.int32).max, np.int32)
+        for f, own in cuts.items():
+            a, b = (feat == f) & np.isfinite(lo), (feat == f) & np.isfinite(hi)
+            low[a], high[b] = np.searchsorted(own, lo[a]), np.searchsorted(own, hi[b])
+        groups.append({"feat": feat, "low": low, "high": high, "table": _attributions(t["r"][rows, :d], t["val"][rows])})
+    deep = np.flatnonzero(t["dlen"] > TABLED)
+    dense = {**t, **{k: t[k][deep] for k in LEAF_ARRAYS}} if len(deep) else None
+    return {"cuts": cuts, "groups": groups, "dense": dense, "base": t["base"]}
+
+
+def shap_batch(x: np.ndarray, p: dict, n_features: int) -> np.ndarray:
+    """SHAP values (rows x features) of a NumPy batch against pattern tables ``p``."""
+    phi = np.zeros((n_features, len(x)))
+    rank = np.zeros((n_features, len(x)), np.int32)  # thresholds below the value; no interval holds a missing value
+    for f, own in p["cuts"].items():
+        rank[f] = np.where(np.isnan(x[:, f]), -1, np.searchsorted(own, x[:, f]))
+    for g in p["groups"]:
+        n, d = g["feat"].shape
+        for a in range(0, n, _LEAVES):
+            feat, low, high = (g[k][a:a + _LEAVES] for k in ("feat", "low", "high"))
+            flat = g["table"][a:a + _LEAVES].reshape(-1, d)
+            first = (np.arange(len(feat), dtype=np.int32) << d)[:, None]
+            orders = [np.argsort(feat[:, j], kind="stable") for j in range(d)]
+            for s in range(0, len(x), _ROWS):
+                at = np.repeat(first, min(_ROWS, len(x) - s), axis=1)
+                for j in range(d):
+                    own = rank[feat[:, j], s:s + _ROWS]
+                    at |= ((own > low[:, j, None]) & (own <= high[:, j, None])).astype(np.int32) << j
+                for j in range(d):
+                    order = orders[j]
+                    names, start = np.unique(feat[order, j], return_index=True)
+                    phi[names, s:s + _ROWS] += np.add.reduceat(flat[:, j].take(at[order]), start, axis=0)
+    phi = phi.T
+    return phi + dense_batch(x, p["dense"], n_features) if p["dense"] else phi
+
+
+def dense_batch(x: np.ndarray, t: dict, n_features: int, chunk: int = 256) -> np.ndarray:
+    """SHAP values (rows x features) of a NumPy batch, each leaf's sum taken for each row."""
     n = x.shape[0]
     phi = np.zeros((n, n_features))
     nl, depth = t["feat"].shape
@@ -165,13 +244,17 @@ LEAF_ARRAYS = ("feat", "lo", "hi", "r", "w", "val", "dlen")
 
 
 def split_tables(t: dict, max_bytes: int) -> list[dict]:
-    """Cut leaf tables into consecutive leaf ranges of at most ``max_bytes``
-    each (attributions are additive over leaves, so the ranges can be
+    """Cut leaf tables into consecutive leaf ranges whose tables, patterns included, have at
+    most ``max_bytes`` each (attributions are additive over leaves, so the ranges can be
     explained one after another and summed)."""
     n = len(t["val"])
-    per_leaf = max(1, sum(t[k][:1].nbytes for k in LEAF_ARRAYS))
-    step = max(1, int(max_bytes) // per_leaf)
-    return [{**t, **{k: t[k][s:s + step] for k in LEAF_ARRAYS}} for s in range(0, max(n, 1), step)]
+    d = np.where(t["dlen"] <= TABLED, t["dlen"], 0)
+    size = np.cumsum(sum(t[k][:1].nbytes for k in LEAF_ARRAYS) + 8 * d * (1 << d))
+    cuts = [0]
+    while cuts[-1] < n:
+        before = size[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(size, before + max_bytes, "right"))))
+    return [{**t, **{k: t[k][a:b] for k in LEAF_ARRAYS}} for a, b in zip(cuts, cuts[1:])] or [t]
 
 
 def shap_values(df: DataFrame, model, features: Sequence[str], id_col: str = "id", kind: str | None = None,
@@ -219,7 +302,7 @@ def shap_values(df: DataFrame, model, features: Sequence[str], id_col: str = "id
     for n, tab in enumerate(parts):
         first, last = n == 0, n == len(parts) - 1
         schema = f"{carried}, {running}" + (", base_value double, margin double" if last else "")
-        cur = cur.mapInPandas(stage(spark.sparkContext.broadcast(tab), first, last), schema)
+        cur = cur.mapInPandas(stage(spark.sparkContext.broadcast(pattern_tables(tab)), first, last), schema)
     return cur
 
 
@@ -272,22 +355,22 @@ def waterfall(shap: DataFrame, features: Sequence[str], row_id: str, id_col: str
     return steps.withColumn("cumulative", F.col("base_value") + F.sum("shap").over(run))
 
 
-def dependence(shap: DataFrame, features: Sequence[str], feature: str, id_col: str = "id") -> DataFrame:
+def dependence(shap: DataFrame, features: Sequence[str], feature: str, id_col: str = "id", bins: int = 100) -> DataFrame:
     """(value, shap) of one feature, plus its partner: the feature whose value correlates
     most (in absolute value) with that attribution inside bins of the main feature, summed
-    over the bins by their rows. Bins hold about 50 rows, 10 to 100 bins as in 500 to 5,000
-    rows of the reference's sample; attributions are compared to 12 digits."""
+    over the bins by their rows. ``bins`` is the number of bins for any number of rows (100:
+    50 rows each in a sample of 5,000); attributions are compared to 12 digits."""
     j = shap.select(id_col, F.col(f"`shap_{feature}`").alias("shap"), *[F.col(f"`{f}`") for f in features])
     others = [f for f in features if f != feature]
     known = j.where(F.col(f"`{feature}`").isNotNull()).select(F.col(f"`{feature}`").alias("_main"), F.round("shap", 12).alias("_shap"), *[F.col(f"`{f}`").alias(f"_o{i}") for i, f in enumerate(others)])
-    binned = assign_buckets(known, "_main", buckets=min(100, max(10, known.count() // 50)))
+    binned = quantile_bins(known, "_main", bins)
 
     def corr(o: str):
         # 0, not an error, where either side is constant in the bin.
         spread = F.stddev_pop(F.when(F.col(o).isNotNull(), F.col("_shap"))) * F.stddev_pop(o)
         return F.least(F.coalesce(F.abs(F.try_divide(F.covar_pop("_shap", o), spread)), F.lit(0.0)), F.lit(1.0))
 
-    per_bin = binned.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), *[corr(f"_o{i}").alias(f"c{i}") for i in range(len(others))])
+    per_bin = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"), *[corr(f"_o{i}").alias(f"c{i}") for i in range(len(others))])
     one = per_bin.agg(*[F.sum(F.col("_n") * F.col(f"c{i}")).alias(f"c{i}") for i in range(len(others))])
     best = one.select(F.explode(F.array(*[F.struct(F.coalesce(F.col(f"c{i}"), F.lit(0.0)).alias("c"), F.lit(f).alias("f"))
                                           for i, f in enumerate(others)])).alias("_s")).orderBy(F.col("_s.c").desc(), F.col("_s.f")).limit(1)

@@ -3,9 +3,8 @@
 Fitted state is a handful of numbers per column (medians, modes, levels,
 means and deviations) computed by ONE aggregate over the fit table; applying
 it is a pure projection with literals, so it fuses into the scan's codegen
-stage.  The estimators are Spark ML ``Estimator``/``Model`` subclasses and
-compose in a ``Pipeline``; fitted statistics persist as a one-row Parquet
-table.
+stage.  ``operators/preparation.py`` wraps the same steps as Spark ML stages
+that are saved and loaded as one ``PipelineModel``.
 
 Semantics follow the reference (pandas / scikit-learn):
 * median imputation is exact (linear interpolation), mode ties take the
@@ -17,12 +16,10 @@ Semantics follow the reference (pandas / scikit-learn):
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Model
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import scalar_values
@@ -41,9 +38,8 @@ HASH_A = 48271
 def fit_imputer(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], accuracy: int | None = None) -> dict:
     """Medians of numeric columns and modes of categoricals.
 
-    Exact medians run as one bucketed rank job over all numeric columns
-    (``accuracy=`` switches to ``percentile_approx``); modes are one aggregate
-    (their state is bounded by the categories' cardinality)."""
+    Exact medians run as one rank job over all numeric columns
+    (``accuracy=`` switches to ``percentile_approx``); modes are found by counts per value."""
     out = {"median": {}, "mode": {}}
     if numeric and accuracy:
         row = df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in numeric]).first()
@@ -51,12 +47,18 @@ def fit_imputer(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     elif numeric:
         row = medians(df, numeric).first()
         out["median"] = {c: row[c] for c in numeric}
-    if categorical:
-        row = df.agg(*[F.mode(c, True).alias(c) for c in categorical]).first()
-        out["mode"] = {c: row[c] for c in categorical}
+    for c in categorical:
+        out["mode"][c] = mode_of(df, c)
     return out
 
 
+def mode_of(df: DataFrame, col: str):
+    """The most frequent value (ties: the smallest) by counts per value and a one-row
+    arg-max, so a column of many values is never gathered in one task."""
+    counts = df.filter(F.col(f"`{col}`").isNotNull()).groupBy(F.col(f"`{col}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("m")).first()["m"]["v"] if not counts.isEmpty() else None
+
+
 def apply_imputer(df: DataFrame, stats: dict) -> DataFrame:
     cols = []
     for c in df.columns:
@@ -72,13 +74,32 @@ def apply_imputer(df: DataFrame, stats: dict) -> DataFrame:
 # ---------------------------------------------------------------------------
 # One-hot with the first level dropped
 # ---------------------------------------------------------------------------
-def fit_levels(df: DataFrame, categorical: Sequence[str]) -> dict:
-    """Sorted distinct levels per categorical column (one job; the result is
-    bounded by the columns' cardinality)."""
+#: Levels that a column may have to be encoded, one column each.
+MOST_LEVELS = 1000
+
+
+class TooManyLevels(ValueError):
+    """A column has more levels than an encoding may have columns."""
+
+
+def fit_levels(df: DataFrame, categorical: Sequence[str], most: int = MOST_LEVELS) -> dict:
+    """Sorted distinct levels per categorical column. A sketch of the numbers of levels is
+    checked first, and a column with more than ``most`` levels raises ``TooManyLevels``, so
+    that what is gathered is bounded; levels are never cut off."""
     if not categorical:
         return {}
-    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in categorical]).first()
-    return {c: list(row[c]) for c in categorical}
+    about = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(c) for c in categorical]).first()
+    # The sketch errs by a few percent; close calls are settled by the exact count below.
+    far = {c: about[c] for c in categorical if about[c] > 1.2 * most + 10}
+    if far:
+        raise TooManyLevels(f"about as many levels, where {most} may be: {far}")
+    out = {}
+    for c in categorical:
+        rows = df.select(F.col(f"`{c}`").alias("v")).filter("v IS NOT NULL").distinct().limit(most + 1).collect()
+        if len(rows) > most:
+            raise TooManyLevels(f"{c} has more than {most} levels")
+        out[c] = sorted(r["v"] for r in rows)
+    return out
 
 
 def apply_one_hot(df: DataFrame, levels: dict, drop_first: bool = True, keep_original: bool = False) -> DataFrame:
@@ -134,6 +155,38 @@ def stratified_split(
     return ranked.withColumn(out, F.col("_rank") <= F.col("_k")).drop("_h", "_idn", "_b", "_off", "_k", "_rank")
 
 
+def radix_split(df: DataFrame, target: str = "target", test_fraction: float = 0.2, id_col: str = "id",
+                out: str = "is_test", digits: int = 4, levels: int = 2) -> DataFrame:
+    """``stratified_split`` for ids of any type: per class, the ``floor(frac * n_class + 0.5)``
+    rows with the smallest (md5 of the id's text, id) go to the test side.
+
+    Radix selection: counts per class and first ``digits`` hexadecimal digits tell in which
+    group of hashes the class's cut falls; that group alone is counted by the next digits, and
+    after ``levels`` rounds only the rows of the last group, a 16 ** (digits * levels)-th of the
+    class, are ranked. All other rows are decided by comparing digits, without a window.
+    A null id has the hash of an empty text; rows of one id are ranked in no fixed order, but
+    their number on each side is exact.
+    """
+    base = df.filter(F.col(target).isNotNull()).withColumn("_h", F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
+    left = base.groupBy(target).agg(F.floor(F.lit(test_fraction) * F.count(F.lit(1)) + F.lit(0.5)).alias("_k"))
+    inside, decided = base.join(left, target), []
+    for level in range(levels):
+        group = inside.withColumn("_g", F.substring("_h", level * digits + 1, digits))
+        counts = group.groupBy(target, "_g").agg(F.count(F.lit(1)).alias("_n"), F.first("_k").alias("_k"))  # 16 ** digits a class
+        w = Window.partitionBy(target).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cuts = counts.withColumn("_up", F.sum("_n").over(w)).filter("_up - _n < _k AND _k <= _up")
+        cuts = cuts.select(target, F.col("_g").alias("_cut"), (F.col("_k") - F.col("_up") + F.col("_n")).alias("_rest"))
+        both = group.join(cuts, target, "left")  # no cut: none of the class is taken
+        sure = both.filter("_cut IS NULL OR _g <> _cut").withColumn(out, F.coalesce(F.col("_g") < F.col("_cut"), F.lit(False)))
+        decided.append(sure.select(*df.columns, out))
+        inside = both.filter("_g = _cut").withColumn("_k", F.col("_rest")).select(*df.columns, "_h", "_k")
+    rank = F.row_number().over(Window.partitionBy(target).orderBy("_h", F.col(f"`{id_col}`").cast("string")))
+    result = inside.withColumn(out, rank <= F.col("_k")).select(*df.columns, out)
+    for d in decided:
+        result = result.unionByName(d)
+    return result
+
+
 # ---------------------------------------------------------------------------
 # Population-deviation scaler
 # ---------------------------------------------------------------------------
@@ -163,77 +216,6 @@ def apply_scaler(df: DataFrame, stats: dict) -> DataFrame:
     return df.select(*cols)
 
 
-def save_stats(spark: SparkSession, stats: dict, path: str) -> None:
-    """Persist fitted statistics as a one-row Parquet table."""
-    spark.createDataFrame([(json.dumps(stats),)], "stats string").coalesce(1).write.mode("overwrite").parquet(path)
-
-
-def load_stats(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.parquet(path).first()["stats"])
-
-
-# ---------------------------------------------------------------------------
-# Spark ML wrappers (Pipeline stages)
-# ---------------------------------------------------------------------------
-class _StatsModel(Model):
-    def __init__(self, stats: dict | None = None):
-        super().__init__()
-        self.stats = stats or {}
-
-    def save_stats(self, path: str) -> None:
-        save_stats(SparkSession.active(), self.stats, path)
-
-
-class MedianModeImputerModel(_StatsModel):
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return apply_imputer(dataset, self.stats)
-
-
-class MedianModeImputer(Estimator):
-    """Median for numeric columns (except ``exclude``), mode for text columns."""
-
-    def __init__(self, exclude: Sequence[str] = ("target",), accuracy: int | None = None):
-        super().__init__()
-        self.exclude, self.accuracy = list(exclude), accuracy
-
-    def _fit(self, dataset: DataFrame) -> MedianModeImputerModel:
-        num = numeric_columns(dataset, self.exclude)
-        cat = string_columns(dataset, self.exclude)
-        return MedianModeImputerModel(fit_imputer(dataset, num, cat, self.accuracy))
-
-
-class FirstDroppedOneHotModel(_StatsModel):
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return apply_one_hot(dataset, self.stats)
-
-
-class FirstDroppedOneHot(Estimator):
-    """``get_dummies(drop_first=True)`` over the text columns (except ``exclude``)."""
-
-    def __init__(self, exclude: Sequence[str] = ("id",)):
-        super().__init__()
-        self.exclude = list(exclude)
-
-    def _fit(self, dataset: DataFrame) -> FirstDroppedOneHotModel:
-        return FirstDroppedOneHotModel(fit_levels(dataset, string_columns(dataset, self.exclude)))
-
-
-class PopulationScalerModel(_StatsModel):
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return apply_scaler(dataset, self.stats)
-
-
-class PopulationScaler(Estimator):
-    """Standard scaling with the population deviation on columns with >2 distinct values."""
-
-    def __init__(self, exclude: Sequence[str] = ("target", "id")):
-        super().__init__()
-        self.exclude = list(exclude)
-
-    def _fit(self, dataset: DataFrame) -> PopulationScalerModel:
-        return PopulationScalerModel(fit_scaler(dataset, numeric_columns(dataset, self.exclude)))
-
-
 # ---------------------------------------------------------------------------
 # The whole preparation (select -> engineer -> impute -> encode -> split -> scale)
 # ---------------------------------------------------------------------------

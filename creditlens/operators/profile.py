@@ -266,15 +266,16 @@ def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 # ---------------------------------------------------------------------------
 # Feature engineering shared by EDA, significance tests and preparation.
 # ---------------------------------------------------------------------------
-def engineer(df: DataFrame, end_date: str = HISTORY_END_DATE, income_q: float = 0.99, cap_scope: DataFrame | None = None) -> DataFrame:
+def engineer(df: DataFrame, end_date: str = HISTORY_END_DATE, income_q: float = 0.99, cap_scope: DataFrame | None = None, cap=None) -> DataFrame:
     """History years, derogatory flag, income capped at its 0.99 quantile
     (clip keeps missing), employment years and grade ordinal.
 
     The cap is fitted on ``cap_scope`` (default: the same rows, as the
-    reference does before its split) in a one-row aggregate, broadcast back.
+    reference does before its split) in a one-row aggregate, broadcast back;
+    a ``cap`` that is given (a column) is used as it is.
     """
     scope = cap_scope if cap_scope is not None else df
-    cap = scalar_values(exact_quantiles(scope, "annual_inc", [income_q]).select(F.col("q_0").alias("_income_cap")))["_income_cap"]
+    cap = cap if cap is not None else scalar_values(exact_quantiles(scope, "annual_inc", [income_q]).select(F.col("q_0").alias("_income_cap")))["_income_cap"]
     out = (
         df.withColumn("_income_cap", cap)
         .withColumn("credit_history_years", years_until(month_text_to_date("earliest_cr_line"), end_date))

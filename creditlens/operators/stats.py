@@ -53,11 +53,11 @@ def pearson(x: Column, y: Column) -> Column:
 def point_biserial(df: DataFrame, features: Sequence[str], target: str = "target", alpha: float = 0.05,
                    with_p: bool = True) -> DataFrame:
     """Pearson r of each feature with the 0/1 target (one aggregate), t statistic
-    and two-sided p; rows with a null target are skipped."""
+    and two-sided p. ``n`` counts the rows that have the feature and the target; others are skipped."""
     d = df.filter(F.col(target).isNotNull())
-    one = d.agg(F.count(F.lit(1)).alias("_n"), *[pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in features])
-    long = one.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in features])).alias("_s"))
-    long = long.select("_s.feature", F.col("_n").alias("n"), "_s.correlation")
+    one = d.agg(*[F.struct(F.count(c).alias("n"), pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias("r")).alias(c) for c in features])
+    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`.n").alias("n"), F.col(f"`{c}`.r").alias("correlation")) for c in features])).alias("_s"))
+    long = long.select("_s.feature", "_s.n", "_s.correlation")
     r = F.col("correlation")
     long = long.withColumn("t_stat", r * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), F.lit(1.0) - r * r)))
     if with_p:
@@ -67,7 +67,7 @@ def point_biserial(df: DataFrame, features: Sequence[str], target: str = "target
 
 
 def mann_whitney(df: DataFrame, features: Sequence[str], target: str = "target", alpha: float = 0.05,
-                 with_p: bool = True, buckets: int | None = None) -> DataFrame:
+                 with_p: bool = True, ranges: int | None = None) -> DataFrame:
     """Two-sided Mann-Whitney U of class 0 vs class 1 per feature, tie-corrected
     normal approximation with continuity correction, plus class medians.
 
@@ -78,7 +78,7 @@ def mann_whitney(df: DataFrame, features: Sequence[str], target: str = "target",
     counts = long.groupBy("feature", "value").agg(
         F.count_if(F.col(target) == 0).cast("double").alias("c0"), F.count_if(F.col(target) == 1).cast("double").alias("c1"))
     counts = counts.withColumn("t", F.col("c0") + F.col("c1"))
-    ranked = running_sums(counts, "value", ["t"], keys=["feature"], buckets=buckets)
+    ranked = running_sums(counts, "value", ["t"], keys=["feature"], ranges=ranges)
     midrank = F.col("t_cum") - F.col("t") + (F.col("t") + F.lit(1.0)) / F.lit(2.0)
     per = ranked.groupBy("feature").agg(
         F.sum("c0").alias("n0"), F.sum("c1").alias("n1"),
@@ -132,28 +132,18 @@ def chi_square(df: DataFrame, categorical: Sequence[str], target: str = "target"
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise Pearson correlations (i < j), long form.
+    """Pairwise Pearson correlations (i < j), long form, over the rows that have both values.
 
-    Without nulls: two passes of plain sums — means, then the k(k+1)/2 centred
-    cross-product sums — instead of k(k-1)/2 separate ``corr`` states.  With
-    nulls: ``corr`` per pair, which skips rows where either value is null
-    (pairwise-complete)."""
+    One pass, lazily: each row gives its k(k-1)/2 pairs, and mergeable co-moments (count, means
+    and centred products) are kept for each pair, so a task sends one row a pair. A pair in
+    which either side is constant, or that no row has, is null."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    x = {c: F.col(c).cast("double") for c in cols}
-    first = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(x[c].isNull()).alias(f"z__{c}") for c in cols],
-                   *[F.avg(x[c]).alias(f"mu__{c}") for c in cols]).first()
-    if all(first[f"z__{c}"] == 0 for c in cols):
-        mu = {c: F.lit(float(first[f"mu__{c}"])) for c in cols}
-        d = {c: x[c] - mu[c] for c in cols}
-        sums = df.agg(*[F.sum(d[c] * d[c]).alias(f"ss__{c}") for c in cols],
-                      *[F.sum(d[a] * d[b]).alias(f"sp__{i}") for i, (a, b) in enumerate(pairs)])
-        one = sums.select(*[(F.col(f"sp__{i}") / F.sqrt(F.col(f"ss__{a}") * F.col(f"ss__{b}"))).alias(f"{i}")
-                            for i, (a, b) in enumerate(pairs)])
-    else:
-        one = df.agg(*[F.corr(x[a], x[b]).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    structs = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"{i}").alias("correlation"))
-               for i, (a, b) in enumerate(pairs)]
-    return one.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*")
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    each = F.array(*[F.struct(F.lit(i).alias("i"), x[a].alias("x"), x[b].alias("y")) for i, (a, b) in enumerate(pairs)])
+    long = df.select(F.explode(each).alias("_s")).select("_s.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    found = long.groupBy("i").agg(pearson(F.col("x"), F.col("y")).alias("correlation"))
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, feature_1 string, feature_2 string")
+    return names.join(found, "i", "left").select("feature_1", "feature_2", "correlation")
 
 
 def high_correlation_pairs(pairs: DataFrame, threshold: float = 0.7, digits: int = 3) -> DataFrame:

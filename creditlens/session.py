@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "creditlens") -> SparkSession:
@@ -50,9 +53,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_FOLDERS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder (for saved models / tables)."""
-    import uuid
+    """A fresh sub-folder of the shared checkpoint folder (for saved models / tables).
+
+    All of them lie in one folder of the application, which ``release`` deletes; that
+    happens by itself when the driver's process ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/creditlens/{spark.sparkContext.applicationId}"
+    if not _FOLDERS:
+        atexit.register(release)
+    _FOLDERS.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release() -> None:
+    """Deletes all tables and models that this process has written to shared scratch folders."""
+    while _FOLDERS:
+        fs, place = pafs.FileSystem.from_uri(_FOLDERS.pop())
+        if fs.get_file_info(place).type == pafs.FileType.Directory:
+            fs.delete_dir(place)
+
 
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/creditlens/{name}-{uuid.uuid4().hex[:12]}"
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: computed once
+    whatever reads it, and a lost executor costs a reread of files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,10 +31,10 @@ def test_auc_matches_brute_force_and_is_rank_invariant(spark):
     y = rng.integers(0, 2, 400)
     s = np.round(rng.random(400) * 0.5 + y * 0.2, 2)  # many ties
     df = _frame(spark, y, s)
-    a = ev.auc(df, buckets=7).first()["auc"]
+    a = ev.auc(df, ranges=7).first()["auc"]
     assert math.isclose(a, _brute_auc(y, s), rel_tol=1e-12)
     mono = df.withColumn("score", F.exp(F.col("score") * 3.0))
-    assert math.isclose(ev.auc(mono, buckets=5).first()["auc"], a, rel_tol=1e-12)
+    assert math.isclose(ev.auc(mono, ranges=5).first()["auc"], a, rel_tol=1e-12)
 
 
 def test_confusion_counts_and_zero_division(spark):
@@ -75,7 +75,7 @@ def test_running_sums_match_cumsum_with_keys(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": rng.integers(0, 3, 500), "x": rng.permutation(500).astype(float), "v": rng.integers(0, 10, 500)})
     df = spark.createDataFrame(pdf)
-    got = running_sums(df, "x", ["v"], keys=["k"], buckets=6).toPandas().sort_values(["k", "x"])
+    got = running_sums(df, "x", ["v"], keys=["k"], ranges=6).toPandas().sort_values(["k", "x"])
     exp = pdf.sort_values(["k", "x"]).groupby("k")["v"].cumsum()
     assert (got["v_cum"].to_numpy() == exp.to_numpy()).all()
 
@@ -85,7 +85,7 @@ def test_roc_thinning_matches_reference_rule_across_buckets(spark):
     y = rng.integers(0, 2, 600)
     s = np.round(rng.random(600) * 0.3, 3)
     df = _frame(spark, y, s)
-    got = ev.roc_curve_thinned(df, buckets=9).toPandas().sort_values("threshold", ascending=False)
+    got = ev.roc_curve_thinned(df, ranges=9).toPandas().sort_values("threshold", ascending=False)
     # reference rule on distinct scores in decreasing order
     ds = np.unique(s)[::-1]
     tps = np.cumsum([int(((s == v) & (y == 1)).sum()) for v in ds])
@@ -101,7 +101,7 @@ def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"k": rng.integers(0, 2, 401), "x": np.round(rng.random(401), 3)})
     df = spark.createDataFrame(pdf)
-    got = {r["k"]: (r["q_0"], r["q_1"], r["q_2"]) for r in exact_quantiles(df, "x", [0.5, 0.95, 0.05], keys=["k"], buckets=5).collect()}
+    got = {r["k"]: (r["q_0"], r["q_1"], r["q_2"]) for r in exact_quantiles(df, "x", [0.5, 0.95, 0.05], keys=["k"], ranges=5).collect()}
     for k, g in pdf.groupby("k"):
         for a, p in zip(got[k], (0.5, 0.95, 0.05)):
             assert math.isclose(a, float(np.quantile(g["x"], p)), rel_tol=1e-12)
@@ -114,7 +114,7 @@ def test_auc_equals_spark_ml_exact_evaluator(spark):
     y = rng.integers(0, 2, 500)
     s = np.round(rng.random(500) * 0.6 + y * 0.2, 3)
     df = _frame(spark, y, s)
-    ours = ev.auc(df, buckets=6).first()["auc"]
+    ours = ev.auc(df, ranges=6).first()["auc"]
     ml = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="target", numBins=0).evaluate(df)
     assert math.isclose(ours, ml, rel_tol=1e-12)
 
@@ -147,7 +147,7 @@ def test_column_quantiles_and_medians_match_numpy(spark):
         rows.append((k, a, b))
     df = spark.createDataFrame(rows, "k int, a double, b double")
     pdf = df.toPandas()
-    got = {(r["k"], r["feature"]): (r["q_0"], r["q_1"]) for r in column_quantiles(df, ["a", "b"], [0.1, 0.99], keys=["k"], buckets=7).collect()}
+    got = {(r["k"], r["feature"]): (r["q_0"], r["q_1"]) for r in column_quantiles(df, ["a", "b"], [0.1, 0.99], keys=["k"], ranges=7).collect()}
     for (k, f), (q0, q1) in got.items():
         x = pdf.loc[pdf.k == k, f].dropna().to_numpy()
         assert math.isclose(q0, np.quantile(x, 0.1), rel_tol=1e-12, abs_tol=1e-12)
@@ -158,17 +158,37 @@ def test_column_quantiles_and_medians_match_numpy(spark):
     assert math.isclose(med["b"], float(np.median(pdf.b.dropna())), rel_tol=1e-12)
 
 
-def test_two_level_bucket_lookup_equals_linear_count(spark):
-    """_bucket = number of cut points below the value, for bucket counts that are and are not squares."""
+def test_quantile_bins_count_the_cuts_below(spark):
+    """_bin = number of quantiles below the value."""
     import numpy as np
     from pyspark.sql import functions as F
 
-    from creditlens.operators.prefix import assign_buckets
+    from creditlens.operators.prefix import quantile_bins
 
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(float(v),) for v in rng.integers(0, 200, 3000)], "x double")
-    for b in (3, 16, 50, 130):
-        got = assign_buckets(df, "x", buckets=b).toPandas()
-        cuts = df.agg(F.percentile_approx("x", [i / b for i in range(1, b)], max(10000, 64 * b))).first()[0]
-        exp = np.searchsorted(np.array(cuts), got.x.to_numpy(), side="left")
-        assert (exp == got._bucket.to_numpy()).all(), b
+    for b in (3, 16, 50):
+        got = quantile_bins(df, "x", b).toPandas()
+        cuts = df.agg(F.percentile_approx("x", [i / b for i in range(1, b)], 10000)).first()[0]
+        assert (np.searchsorted(np.array(cuts), got.x.to_numpy(), side="left") == got._bin.to_numpy()).all(), b
+
+
+def test_overfull_ranges_are_divided(spark, monkeypatch):
+    """Every range counts as too full, nulls come first, a series of one row stands among long ones."""
+    import numpy as np
+
+    from creditlens.operators import prefix
+
+    monkeypatch.setattr(prefix, "OVERFULL", 0)
+    rng = np.random.default_rng(6)
+    x = rng.permutation(4000)[:3000]
+    rows = [("a", float(v), 1 + int(v) % 3) for v in x] + [("b", 5.0, 7), ("c", None, 2), ("c", 1.0, 3)]
+    df = spark.createDataFrame(rows, "k string, x double, v long")
+    got = {(r.k, r.x): (r.v_cum, r.v_tot) for r in prefix.running_sums(df, "x", ["v"], ["k"], ranges=5).collect()}
+    prev = {(r.k, r.x): r.prev_x for r in prefix.previous_values(df, "x", ["v"], ["k"], ranges=5).collect()}
+    total, before = 0, None
+    for v in sorted(x):
+        total += 1 + int(v) % 3
+        assert got["a", float(v)][0] == total and prev["a", float(v)] == before
+        before = float(v)
+    assert got["a", before] == (total, total) and got["b", 5.0] == (7, 7) and got["c", None] == (2, 5) and got["c", 1.0] == (5, 5)

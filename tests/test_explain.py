@@ -50,7 +50,7 @@ def _trees(spark, model, kind):
 
 
 @pytest.mark.parametrize("kind", ["gbt", "rf"])
-def test_shap_equals_brute_force(spark, kind):
+def test_shap_equals_brute_force(spark, kind, monkeypatch):
     df, x = _data(spark)
     if kind == "gbt":
         m = GBTClassifier(labelCol="target", maxIter=4, maxDepth=3, seed=1).fit(df)
@@ -61,7 +61,10 @@ def test_shap_equals_brute_force(spark, kind):
     t = ex.leaf_tables(spark, m, kind)
     trees = _trees(spark, m, kind)
     rows = x[:6]
-    phi = ex.shap_batch(rows, t, 3)
+    phi = ex.shap_batch(rows, ex.pattern_tables(t), 3)
+    assert np.abs(phi - ex.dense_batch(rows, t, 3)).max() < 1e-9
+    monkeypatch.setattr(ex, "TABLED", 1)
+    assert np.abs(phi - ex.shap_batch(rows, ex.pattern_tables(t), 3)).max() < 1e-9  # deeper leaves row by row
     feats = [0, 1, 2]
     for i, xi in enumerate(rows):
         def v(s):
@@ -94,7 +97,7 @@ def test_shap_chunked_broadcast_equals_single_broadcast(spark):
     data = df.select("id", "a", "b", "c")
     one = ex.shap_values(data, m, ["a", "b", "c"])
     t = ex.leaf_tables(spark, m)
-    small = ex.split_tables(t, 3 * sum(t[k][:1].nbytes for k in ex.LEAF_ARRAYS))
+    small = ex.split_tables(t, 3 * (sum(t[k][:1].nbytes for k in ex.LEAF_ARRAYS) + 8 * t["dlen"].max() * 2 ** int(t["dlen"].max())))
     assert len(small) > 3
     many = ex.shap_values(data, m, ["a", "b", "c"], max_broadcast_bytes=3 * sum(t[k][:1].nbytes for k in ex.LEAF_ARRAYS))
     assert "base_value" in many.columns and many.columns == one.columns

@@ -40,14 +40,14 @@ def test_fixture_derivation_prunes_and_broadcasts_dimensions(spark):
 
 def test_auc_has_no_single_partition_window_over_rows(spark):
     df = ev.auc(inputs.scored(spark, SF_SMALL))
-    df.collect()  # AQE finalises the plan
     plan = _plan(df)
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     windows = [ln for ln in opt.splitlines() if "Window [" in ln]
-    # the running sum over distinct scores is partitioned by bucket; the one
-    # unpartitioned window runs over the bucket-totals table (<= buckets rows)
-    assert any("_bucket" in ln.split("]")[-1] or "_bucket" in ln for ln in windows)
-    assert "percentile_approx" in plan.lower() or "approx_percentile" in plan.lower()
+    # the running sum over distinct scores is partitioned by range; the one
+    # unpartitioned window runs over the table of range totals
+    assert any("_range" in ln for ln in windows)
+    assert "percentile_approx" not in plan.lower() and "approx_percentile" not in plan.lower()
+    assert "BroadcastHashJoin" in plan or "SortMergeJoin" in plan
 
 
 def test_mann_whitney_windows_are_partitioned(spark):

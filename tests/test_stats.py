@@ -35,7 +35,7 @@ def test_mann_whitney_brute_force(spark):
     y = rng.integers(0, 2, 120)
     x = rng.integers(0, 15, 120).astype(float)  # ties
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, x)], "target double, x double")
-    r = stats.mann_whitney(df, ["x"], buckets=4).first()
+    r = stats.mann_whitney(df, ["x"], ranges=4).first()
     g0, g1 = x[y == 0], x[y == 1]
     u0 = sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in g0 for b in g1)
     assert math.isclose(r["u_statistic"], u0, rel_tol=1e-12)
