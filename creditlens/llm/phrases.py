@@ -129,11 +129,6 @@ def _row_key(rows: np.ndarray) -> np.ndarray:
     return words.mix((rows * c).sum(axis=1, dtype=np.uint64))
 
 
-def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices first[0] ... first[0] + size[0] - 1, first[1] ... and so on."""
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 def occurrences(phrases: np.ndarray, term: np.ndarray, at: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, start) of each place in a segment where a phrase's terms stand in a row.
 
@@ -151,7 +146,7 @@ def occurrences(phrases: np.ndarray, term: np.ndarray, at: np.ndarray, position:
     rarest = pick(place, 0)
     n = at[rarest + 1] - at[rarest]
     which = np.repeat(np.arange(len(here)), n)
-    start = position[ragged(at[rarest], n)] - order[which, 0] if len(here) else np.zeros(0, np.int64)
+    start = position[words.ragged(at[rarest], n)] - order[which, 0] if len(here) else np.zeros(0, np.int64)
     entry = (np.repeat(np.arange(len(term)), at[1:] - at[:-1]) << 32) | position
     for k in range(1, phrases.shape[1]):
         want = (pick(place, k)[which] << 32) | np.maximum(start + order[which, k], 0)
@@ -185,7 +180,7 @@ def _search(index: DataFrame, block, width: int) -> DataFrame:
                 docs, starts, ends = [*docs, doc], [*starts, start], [*ends, start + k]
                 pairs = np.unique(np.stack([doc, which]), axis=1)
                 n = own_at[pairs[1] + 1] - own_at[pairs[1]]
-                owners.append(np.stack([np.repeat(pairs[0], n), owner[ragged(own_at[pairs[1]], n)]]))
+                owners.append(np.stack([np.repeat(pairs[0], n), owner[words.ragged(own_at[pairs[1]], n)]]))
             if not docs or not sum(map(len, docs)):
                 continue
             doc, start, end = map(np.concatenate, (docs, starts, ends))
@@ -252,7 +247,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, within: int, id_col: s
                     if not len(term) or (term[place] != wanted).any():
                         continue
                     size = at[place + 1] - at[place]
-                    where, kind = position[ragged(at[place], size)], np.repeat(np.arange(len(place)), size)
+                    where, kind = position[words.ragged(at[place], size)], np.repeat(np.arange(len(place)), size)
                     order = np.argsort(where)
                     where, kind = where[order], kind[order]
                     oldest = where.copy()

@@ -1,11 +1,13 @@
 """Token ids in binary files with Elias-Fano document boundaries.
 
 One file holds the documents of one range of ids: all token ids of the range one
-after the other as little-endian unsigned 32-bit integers, then two Elias-Fano
-sequences, the documents' ends and their ids (less the smallest), and a footer.
+after the other as little-endian unsigned integers of 16 bits where the vocabulary has
+no more than 65,536 ids, else of 32 (the footer tells), then two Elias-Fano sequences,
+the documents' ends and their ids (less the smallest), and a footer.
 An Elias-Fano sequence of n values up to u keeps floor(log2(u / n)) low bits of
-each value as they are and the rest in unary, about 2 + log2(u / n) bits each;
-select over sampled words of the unary part gives any value without decoding all.
+each value as they are and the rest in unary, about 2 + log2(u / n) bits each. In
+memory a rank is kept for every ``SAMPLE`` bytes of the unary part, and select gives
+any value, or values in a row, from there on without decoding the rest.
 """
 
 from __future__ import annotations
@@ -25,12 +27,10 @@ from .common import named, open_shared, staged, text_blocks, write_shared
 from ..session import scratch_path
 
 MAGIC = b"TOKEF001"
-#: Every so many set bits the place of one is kept, for select.
+#: Bytes of the unary part for which one rank is kept, for select.
 SAMPLE = 256
 #: Values packed at once; a multiple of 8, so that each piece starts on a whole byte.
 _STEP = 1 << 16
-#: Runs that a worker remembers (about 150 bytes each); beyond it, it starts afresh.
-_REMEMBERED = 1_000_000
 
 
 class EliasFano:
@@ -38,8 +38,8 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self.ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])  # set bits before each byte
-        self.samples = np.searchsorted(self.ranks, np.arange(0, n, SAMPLE), "right") - 1
+        bits = np.add.reduceat(np.bitwise_count(high), np.arange(0, len(high), SAMPLE), dtype=np.int64) if len(high) else np.zeros(0, np.int64)
+        self.ranks = np.concatenate([[0], np.cumsum(bits)])  # set bits before each sample
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -59,15 +59,26 @@ class EliasFano:
         return cls(n, low_bits, low, high)
 
     def select(self, i: int) -> int:
-        """Value number ``i``, from a sampled byte of the unary part onward."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        lo = int(self.samples[i // SAMPLE])
-        hi = int(self.samples[i // SAMPLE + 1]) + 1 if i // SAMPLE + 1 < len(self.samples) else len(self.high)
-        byte = lo + int(np.searchsorted(self.ranks[lo : hi + 1], i, "right")) - 1
-        left = i - int(self.ranks[byte])
-        bit = int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[left])
-        return ((byte * 8 + bit - i) << self.low_bits) | int(self._low(i, i + 1)[0])
+        """Value number ``i``."""
+        return int(self.between(i, i + 1)[0])
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        """Values number ``a`` to ``b`` - 1, from the sampled bytes of the unary part that hold them."""
+        if not 0 <= a < b <= self.n:
+            raise IndexError((a, b))
+        first = int(np.searchsorted(self.ranks, a, "right")) - 1
+        last = int(np.searchsorted(self.ranks, b - 1, "right"))
+        ones = np.flatnonzero(np.unpackbits(self.high[first * SAMPLE : last * SAMPLE], bitorder="little"))
+        ones = ones[a - int(self.ranks[first]) :][: b - a] + first * SAMPLE * 8
+        return ((ones - np.arange(a, b)) << self.low_bits) | self._low(a, b)
+
+    def first_above(self, value: int) -> int:
+        """How many values are at most ``value``, by bisection over select."""
+        lo, hi = 0, self.n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self.select(mid) <= value else (lo, mid)
+        return lo
 
     def _low(self, a: int, b: int) -> np.ndarray:
         if not self.low_bits:
@@ -77,14 +88,6 @@ class EliasFano:
         piece = piece[: (b - a) * self.low_bits].reshape(b - a, self.low_bits).astype(np.int64)
         return (piece << np.arange(self.low_bits)).sum(axis=1)
 
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = np.empty(self.n, np.int64)
-        for a in range(0, self.n, _STEP):
-            b = min(self.n, a + _STEP)
-            out[a:b] = ((ones[a:b] - np.arange(a, b)) << self.low_bits) | self._low(a, b)
-        return out
-
     def to_bytes(self) -> bytes:
         return np.array([self.n, self.low_bits, len(self.low), len(self.high)], "<i8").tobytes() + self.low.tobytes() + self.high.tobytes()
 
@@ -106,34 +109,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.memory = words.TokenMemory()
 
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}  # a run's hash to its number
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _encode(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
+        found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        return found.ids, np.bincount(np.array(found.word_ids, np.int64), minlength=len(texts))
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where each text's ids start (and the end)."""
         starts, ends, rows = words.spans(data, offsets, words.SPACED)
         h = words.hashes(data, starts, ends, folded=False)
-        unique, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > _REMEMBERED:
-            self.forget()
-        keys = unique.tolist()
-        number = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
-        if len(new := np.flatnonzero(number < 0)):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            encoded = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-            size = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(texts))
-            number[new] = np.arange(len(self.size), len(self.size) + len(new))
-            self.known.update(zip(unique[new].tolist(), number[new].tolist()))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.array(encoded.ids, np.uint32)])
-        number = number[which]
-        n = self.size[number]
-        return self.flat[np.repeat(self.start[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.concatenate([[0], np.cumsum(n)])[rows]
+        flat, size = self.memory.tokens(data, starts, ends, h, self._encode)
+        return flat, np.concatenate([[0], np.cumsum(size)])[rows]
 
 
 @lru_cache(maxsize=2)
@@ -164,7 +152,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
             for batch in batches:
                 for lo, hi, data, offsets in text_blocks(batch.column(1)):
                     flat, at = words_of.ids(data, offsets)
-                    own = np.insert(flat, at[1:], end_id).astype("<u4")
+                    own = np.insert(flat, at[1:], end_id).astype(f"<u{words_of.width}")
                     out.write(own.tobytes())
                     ends.append(total + at[1:] + np.arange(1, hi - lo + 1))
                     ids.extend(batch.column(0).slice(lo, hi - lo).to_pylist())
@@ -173,7 +161,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
             keys = np.array(ids[nulls:], np.int64)
             base = int(keys[0]) if len(keys) else 0
             blobs = [EliasFano.encode(np.concatenate(ends) if ends else []).to_bytes(), EliasFano.encode((keys - base).view(np.uint64)).to_bytes()]
-            footer = json.dumps({"tokens": total, "docs": len(ids), "null_ids": nulls, "base_id": base, "ends": len(blobs[0]), "ids": len(blobs[1])}).encode()
+            footer = json.dumps({"width": words_of.width, "tokens": total, "docs": len(ids), "null_ids": nulls, "base_id": base, "ends": len(blobs[0]), "ids": len(blobs[1])}).encode()
             out.write(b"".join(blobs) + footer + len(footer).to_bytes(4, "little") + MAGIC)
 
         path = write_shared(f"{folder}/part-{part:06d}.tok", write)
@@ -194,23 +182,32 @@ class TokenFile:
             raise ValueError(f"not a token file: {path}")
         n = int.from_bytes(tail[:4], "little")
         self.info = json.loads(self.file.read_at(n, size - 12 - n))
-        at = 4 * self.info["tokens"]
+        self.kind = f"<u{self.info['width']}"
+        at = self.info["width"] * self.info["tokens"]
         self.ends = EliasFano.from_bytes(self.file.read_at(self.info["ends"], at))
         self.ids = EliasFano.from_bytes(self.file.read_at(self.info["ids"], at + self.info["ends"]))
 
     def __len__(self) -> int:
         return self.info["docs"]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.info["null_ids"] + (self.ids.values() + self.info["base_id"]).tolist()
+    def doc_ids(self, a: int, b: int) -> list[int | None]:
+        """Ids of documents number ``a`` to ``b`` - 1."""
+        nulls = self.info["null_ids"]
+        lo, hi = max(a, nulls) - nulls, b - nulls
+        return [None] * (min(b, nulls) - min(a, nulls)) + ((self.ids.between(lo, hi) + self.info["base_id"]).tolist() if lo < hi else [])
+
+    def bounds(self, a: int, b: int) -> np.ndarray:
+        """Where the tokens of documents number ``a`` to ``b`` - 1 start, and the end."""
+        return np.concatenate([[0], self.ends.between(0, b)]) if a == 0 else self.ends.between(a - 1, b)
 
     def tokens(self, i: int) -> np.ndarray:
         """Ids of document number ``i``, through select."""
-        lo = self.ends.select(i - 1) if i else 0
-        return self.slice(lo, self.ends.select(i))
+        lo, hi = self.bounds(i, i + 1)
+        return self.slice(int(lo), int(hi))
 
     def slice(self, lo: int, hi: int) -> np.ndarray:
-        return np.frombuffer(self.file.read_at(4 * (hi - lo), 4 * lo), "<u4")
+        width = self.info["width"]
+        return np.frombuffer(self.file.read_at(width * (hi - lo), width * lo), self.kind).astype("<u4")
 
 
 def read_token_files(manifest: DataFrame, most: int = 1 << 22) -> DataFrame:
@@ -222,16 +219,16 @@ def read_token_files(manifest: DataFrame, most: int = 1 << 22) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                f = TokenFile(path)
-                ends = f.ends.values()
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                ids, lo = f.doc_ids(), 0
+                f, lo = TokenFile(path), 0
                 while lo < len(f):
-                    hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + most, "right")))
-                    piece = memoryview(f.slice(int(starts[lo]), int(ends[hi - 1]))).cast("B")
-                    crc = [zlib.crc32(piece[4 * (a - starts[lo]) : 4 * (b - starts[lo])]) for a, b in zip(starts[lo:hi], ends[lo:hi])]
+                    # As many documents as end within ``most`` ids and _STEP documents, one at least.
+                    begin = int(f.bounds(lo, lo + 1)[0])
+                    hi = min(max(lo + 1, f.ends.first_above(begin + most)), lo + _STEP)
+                    at = f.bounds(lo, hi)
+                    piece = memoryview(f.slice(begin, int(at[-1]))).cast("B")
+                    crc = [zlib.crc32(piece[4 * (a - begin) : 4 * (b - begin)]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[lo:hi], pa.int64()), pa.array(starts[lo:hi] + start), pa.array(ends[lo:hi] - starts[lo:hi]), pa.array(crc, pa.int64())],
+                        [pa.array(f.doc_ids(lo, hi), pa.int64()), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"])
                     lo = hi
 

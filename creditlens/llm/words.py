@@ -100,3 +100,66 @@ def chained(values: np.ndarray, width: int, seed: int) -> np.ndarray:
     for k in range(1, width):
         total += values[k : k + n] * c[k]
     return mix(total)
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices first[0] ... first[0] + size[0] - 1, first[1] ... and so on."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class TokenMemory:
+    """Token ids of words that a worker has met, by the words' hashes, in flat arrays.
+
+    The hashes stand in a table of ``2 ** slots`` places with linear probing, at most half
+    full; when that, or ``most`` ids, is exceeded it starts afresh, so its size is bounded:
+    12 bytes a place, 12 a word and 4 an id (48 MB with the defaults).
+    """
+
+    def __init__(self, slots: int = 20, most: int = 4 << 20):
+        self.mask, self.most = (1 << slots) - 1, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.number = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        number = self.number[slot]
+        left = np.flatnonzero((number >= 0) & (self.key[slot] != h))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            number[left] = self.number[slot[left]]
+            left = left[(number[left] >= 0) & (self.key[slot[left]] != h[left])]
+        return number
+
+    def _add(self, h: np.ndarray, number: np.ndarray) -> None:
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.number[slot[left]] < 0]
+            self.key[slot[free]], self.number[slot[free]] = h[free], number[free]
+            left = left[self.number[slot[left]] != number[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in turn, and how many each word has; ``encode`` gives ids and
+        sizes for a list of words that have not been met."""
+        number = self._find(h)
+        if len(miss := np.flatnonzero(number < 0)):
+            unique, first = np.unique(h[miss], return_index=True)
+            if 2 * (len(self.size) + len(unique)) > self.mask or len(self.flat) > self.most:
+                self.forget()
+                if 2 * len(unique) > self.mask:  # more new words than a table may hold: without memory
+                    half = len(h) // 2
+                    parts = [self.tokens(data, starts[a], ends[a], h[a], encode) for a in (slice(0, half), slice(half, None))]
+                    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                return self.tokens(data, starts, ends, h, encode)
+            at, raw = miss[first], data.tobytes()
+            ids, size = encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            self._add(unique, np.arange(len(self.size), len(self.size) + len(unique), dtype=np.int32))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.flat, np.asarray(ids, np.int32)])
+            number = self._find(h)
+        size = self.size[number].astype(np.int64)
+        return self.flat[ragged(self.start[number], size)], size

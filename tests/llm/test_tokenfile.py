@@ -22,7 +22,11 @@ ENCODER, WHOLE = WordEncoder(PATH), Tokenizer.from_file(PATH)
 def test_elias_fano_round_trip(values):
     values = sorted(values)
     ef = EliasFano.from_bytes(EliasFano.encode(np.array(values, np.uint64)).to_bytes())
-    assert ef.values().tolist() == values
+    assert not values or ef.between(0, len(values)).tolist() == values
+    for a in range(0, len(values), 3):
+        assert ef.between(a, min(a + 7, len(values))).tolist() == values[a : a + 7]
+    for v in {0, *values}:
+        assert ef.first_above(v) == sum(x <= v for x in values)
     assert [ef.select(i) for i in range(0, len(values), 7)] == values[::7]
     with pytest.raises(IndexError):
         ef.select(len(values))
@@ -31,7 +35,8 @@ def test_elias_fano_round_trip(values):
 def test_elias_fano_space():
     values = np.cumsum(np.random.default_rng(1).integers(1, 2000, 200_000)).astype(np.uint64)
     ef = EliasFano.encode(values)
-    assert ef.values().tolist() == values.tolist()
+    assert ef.between(0, len(values)).tolist() == values.tolist()
+    assert ef.ranks.nbytes <= ef.high.nbytes // 16 + 64
     assert 8 * len(ef.to_bytes()) / len(values) < 2.2 + np.log2(values[-1] / len(values))
 
 
@@ -73,7 +78,36 @@ def test_random_access_and_empty_table(spark, odd_docs, empty_docs):
     seen = 0
     for r in write_token_files(odd_docs.where("doc_id >= 100"), PATH, 2).collect():
         f = TokenFile(r.path)
-        for i, doc in enumerate(f.doc_ids()):
+        for i, doc in enumerate(f.doc_ids(0, len(f))):
             assert f.tokens(i).tolist() == [*t.encode(texts[doc], add_special_tokens=False).ids, 2]
             seen += 1
     assert seen == len(texts)
+
+
+def test_regular_words_and_wide_vocabularies(spark, monkeypatch):
+    """Words that a polynomial hash confuses, with a memory that starts afresh all the time; ids of 32 bits."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from creditlens.llm import tokenfile, words
+
+    from .test_words import thue_morse
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    texts = [" ".join(thue_morse(1024)), " ".join(reversed(thue_morse(256))), "a b c a b d " * 9]
+    encoder = tokenfile.WordEncoder(path)
+    encoder.memory = words.TokenMemory(slots=3, most=5)
+    for _ in range(2):
+        data = "".join(texts).encode()
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        flat, at = encoder.ids(np.frombuffer(data, np.uint8), offsets)
+        for i, t in enumerate(texts):
+            assert flat[at[i] : at[i + 1]].tolist() == own.encode(t, add_special_tokens=False).ids
+    assert encoder.width == 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    narrow = sorted(map(tuple, tokenfile.token_files(docs, path).collect()))
+    manifest = tokenfile.write_token_files(docs, path, 2)
+    widths = [tokenfile.TokenFile(r.path).info["width"] for r in manifest.collect()]
+    assert set(widths) == {2} and len(narrow) == 3
