@@ -41,39 +41,28 @@ _FIGURES = list(BANDS)
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _CODE_POINT = (np.arange(256) & 0xC0) != 0x80
 _LINE = np.arange(256) != 0x0A
-#: Words whose tokens a worker remembers; beyond it, it starts afresh.
-_REMEMBERED = 300_000
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens"]
 _STATS = ", ".join(f"{c} long" for c in _COUNTS) + ", chars_per_token double, byte_share double, token_entropy double"
 
 
 class Vocabulary:
-    """Tokens of single words under a SentencePiece model, kept by the words' hashes."""
+    """Tokens of single words under a SentencePiece model, remembered by the words' hashes."""
 
     def __init__(self, model: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known: dict[int, np.ndarray] = {}
+        self.memory = words.TokenMemory()
+
+    def _encode(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
+        lists = self.model.encode(texts, num_threads=1)
+        return [i for x in lists for i in x], np.array([len(x) for x in lists], np.int64)
 
     def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words in turn, and how many each word has."""
-        unique, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        keys = unique.tolist()
-        new = [(u, i) for u, i in zip(keys, first.tolist()) if u not in self.known]
-        raw = data.tobytes() if new else b""
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in ((int(starts[i]), int(ends[i])) for _, i in new)]
-        for (u, _), ids in zip(new, self.model.encode(texts, num_threads=1) if texts else []):
-            self.known[u] = np.array(ids, np.int32)
-        lists = [self.known[u] for u in keys]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        at, n = np.cumsum(size) - size, size[which]
-        return flat[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+        return self.memory.tokens(data, starts, ends, h, self._encode)
 
 
 @lru_cache(maxsize=2)
