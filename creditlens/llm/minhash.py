@@ -11,7 +11,8 @@ Work runs on classes of equal sets, so thousands of exact copies are one class.
 Half keys that no other class has are dropped before keys are combined. Pairs of
 classes that share a key are confirmed on their full sets, in rounds: first each
 class against one centre of its buckets. Then only buckets that hold several components
-stay open, and in them only classes that hold enough shingles in common with other
+stay open (by labels that are joined step by step and closed over all links at the end),
+and in them only classes that hold enough shingles in common with other
 components to be linked at all (an exact bound). These meet further centres one by one,
 and at last every member of a bucket, against centres whose number grows eightfold a
 round, until each pair of a bucket in different components is compared or ruled out
@@ -157,11 +158,20 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """``comp`` (cls, component) after the components that a link joins have become one."""
+    """``comp`` (cls, component) after components have taken the smallest label next to them, and
+    that label's own: two steps towards the components that all links make.
+
+    Classes with one label are linked, though not all linked classes have one label yet: what
+    is left between them costs further comparisons, no link. ``components`` closes all at the end.
+    """
     x, y = comp.select(F.col("cls").alias("x"), F.col("component").alias("cx")), comp.select(F.col("cls").alias("y"), F.col("component").alias("cy"))
-    edges = links.join(x, "x").join(y, "y").where("cx != cy").select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
-    up = components(edges).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    return staged(comp.join(up, "component", "left").select("cls", F.coalesce("top", "component").alias("component")), "components")
+    edges = links.join(x, "x").join(y, "y").where("cx != cy").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+    low = edges.select(F.greatest("x", "y").alias("component"), F.least("x", "y").alias("top")).groupBy("component").agg(F.min("top").alias("top"))
+    low = staged(low, "hooks")
+    up = low.join(low.select(F.col("component").alias("top"), F.col("top").alias("above")), "top", "left").select("component", F.coalesce("above", "top").alias("top"))
+    out = staged(comp.join(up, "component", "left").select("cls", F.coalesce("top", "component").alias("component")), "components")
+    discard(low)
+    return out
 
 
 def _buckets(classes: DataFrame, halves: int) -> DataFrame:
@@ -278,13 +288,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
         met = F.arrays_overlap(F.slice("ax", F.lit(1), F.col("i") - 1), F.slice("half_a", F.lit(1), F.col("i") - 1)) | F.arrays_overlap(F.slice("bx", F.lit(1), F.col("j") - 1), F.slice("half_b", F.lit(1), F.col("j") - 1))
         pairs = c.join(whole, "key").where(later & similar & ~met).select("x", F.col("cls").alias("y"))
         now = _compared(_ordered(pairs).join(_ordered(done), ["x", "y"], "left_anti"), sets, percent)
-        if not now.where("linked").isEmpty():
-            comp = _merged(comp, now.where("linked"))
+        done = done.union(now)
         low, many = many, many * 8
+    comp = components(done.where("linked"))
     for table in (members, rest, whole, sets, keys):
         discard(table)
 
-    named_ = ids.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named_ = ids.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named_.groupBy("component").agg(F.min("of_id").alias("component_id"))
     of = named_.join(least, "component").select("digest", "component", "component_id")
     out = sig.select("doc_id", "crc", "n_shingles", "digest").join(of, "digest", "left")
