@@ -153,10 +153,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % 3 == 1
 
 
-def _drawn(rows: DataFrame, most: int, seed: int) -> DataFrame:
-    n = rows.count()
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    return rows.where(place < min(1.0, most / max(1, n)))
+def _place(seed: int, key: Column) -> Column:
+    """A fixed place in [0, 1) for each key."""
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
+
+
+def _drawn(docs: DataFrame, most: int, seed: int) -> DataFrame:
+    """About ``most`` of the distinct rows (by id and text), by a hash of the id, or of the text where there is none."""
+    docs = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
+    n = docs.select("doc_id", "crc").distinct().count()
+    return docs.where(_place(seed, F.coalesce("doc_id", "crc")) < min(1.0, most / max(1, n))).dropDuplicates(["doc_id", "crc"])
 
 
 def _matrix(docs: DataFrame) -> np.ndarray:
@@ -176,17 +182,17 @@ def _matrix(docs: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
     """A model from ``docs`` (doc_id, text) and the positives among ``labels`` outside the held-out fold."""
     trusted = labels.where((F.col(label_col) == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    trusted = F.broadcast(_drawn(trusted, MOST_POSITIVE, 31))  # about MOST_POSITIVE ids
+    trusted = F.broadcast(trusted.where(_place(31, F.col("doc_id")) < min(1.0, MOST_POSITIVE / max(1, trusted.count()))))  # about MOST_POSITIVE ids
     open_ids = docs.where(~held_out(F.col("doc_id")))
-    positive = _matrix(docs.join(trusted, "doc_id", "left_semi"))
-    return fit(positive, _matrix(_drawn(open_ids, MOST_UNLABELLED, 32)))
+    positive = docs.join(trusted, "doc_id", "left_semi").withColumn("crc", F.crc32(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "crc"])
+    return fit(_matrix(positive), _matrix(_drawn(open_ids, MOST_UNLABELLED, 32)))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted, a row per input row.
 
-    A null text is scored like an empty one. Repeated rows each get a row and may enter the
-    sample as often. Without positives or without texts to learn from, all scores are 0.5.
+    A null text is scored like an empty one. Repeated rows each get a row and enter the
+    sample once; a row without an id may enter it by its text. Without positives or without texts to learn from, all scores are 0.5.
     Scores see the text only; other columns are not read.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), named(text_col, "text"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -144,6 +146,14 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def outside(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that lie inside none of ``base``: of the base spans that start no later, the
+    furthest end decides."""
+    base = sorted(base)
+    starts, reach = [a for a, _, _ in base], [0, *accumulate((b for _, _, b in base), max)]
+    return [s for s in spans if reach[bisect_right(starts, s[0])] < s[2]]
+
+
 def scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random, a row per input row.
 
@@ -160,8 +170,7 @@ def scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             for text in batch.column(1):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                inside = lambda s: any(a <= s[0] and s[2] <= b for a, _, b in base)  # noqa: B023, E731
-                more = [s for s in random_spans(text, known) if not inside(s)]
+                more = outside(random_spans(text, known), base)
                 n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 counts.append([*n, len(more)])
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())

@@ -13,6 +13,7 @@ import base64
 import hashlib
 import re
 import zlib
+from itertools import chain
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,17 +59,22 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The bytes of a gzip file, of one member or many."""
-    z = zlib.decompressobj(31)
-    for piece in pieces:
-        while piece:
-            yield z.decompress(piece)
-            piece = z.unused_data
+def inflated(pieces: Iterator[bytes], most: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a gzip file, of one member or many, at most ``most`` at once. A file
+    that ends before its last member does (checksum included) raises a ValueError."""
+    z, begun = zlib.decompressobj(31), False
+    for piece in chain(pieces, [b""]):
+        full = True
+        while piece or (begun and full):
+            out = z.decompress(piece, most)
+            begun, full = True, len(out) == most
+            if out:
+                yield out
+            piece = z.unconsumed_tail
             if z.eof:
-                z = zlib.decompressobj(31)
-            else:
-                break
+                piece, z, begun = z.unused_data, zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("archive ends inside a gzip member")
 
 
 def records(stream: Iterator[bytes]) -> Iterator[bytes]:

@@ -43,3 +43,14 @@ def test_features_do_not_depend_on_the_block():
     whole = features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
     for row, r in zip(whole, raw):
         assert np.allclose(row, features(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0])
+
+
+def test_sample_is_bounded_for_null_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    from creditlens.llm.pulearn import _drawn
+
+    none = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert all(7_400 < _drawn(none, 8_000, seed).count() < 8_600 for seed in (0, 32))
+    again = spark.range(40_000).select((F.col("id") % 4).alias("doc_id"), F.lit("same").alias("text"))
+    assert _drawn(again, 8_000, 32).count() == 4

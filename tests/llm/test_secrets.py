@@ -79,3 +79,20 @@ def test_keys_joined_to_words(spark):
     for c in range(len(cases)):
         assert sum(covered[30 * c : 30 * c + 30]) >= 27, cases[c]
     assert not any(spans[len(keys) + i] for i in range(len(plain)))
+
+
+def test_many_spans_and_brute_force_containment():
+    """Spans inside base spans by comparing each with each, and a text of 5 MB of spans in seconds."""
+    import random
+    import time
+
+    from creditlens.llm.secrets import outside
+
+    rng = random.Random(1)
+    for _ in range(200):
+        base = [(a, rng.randrange(3), a + rng.randint(1, 12)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 8)))]
+        more = [(a, 3, a + rng.randint(1, 12)) for a in (rng.randrange(60) for _ in range(8))]
+        assert outside(more, base) == [s for s in more if not any(a <= s[0] and s[2] <= b for a, _, b in base)]
+    began = time.time()
+    base, more = [(20 * i, 0, 20 * i + 15) for i in range(250_000)], [(20 * i + i % 20, 3, 20 * i + i % 20 + 3) for i in range(250_000)]
+    assert 0 < len(outside(more, base)) < len(more) and time.time() - began < 10

@@ -84,3 +84,26 @@ def test_records_across_pieces():
     two = gzip.compress(b"".join(raw[:2])) + gzip.compress(b"".join(raw[2:]))
     for step in (1, 7, 100_000):
         assert list(warc.records(warc.inflated(two[k : k + step] for k in range(0, len(two), step)))) == raw
+
+
+def test_cut_archives_raise_and_large_members_come_in_pieces():
+    import gzip
+
+    import pytest
+
+    from creditlens.llm.warc import inflated
+
+    parts = [b"a" * 1000, b"", bytes(range(256)) * 50, b"\0" * (3 << 20)]
+    whole = b"".join(gzip.compress(p) for p in parts)
+    for step in (1 << 16, 4097, 17 if len(whole) < 20_000 else 1009):
+        pieces = [whole[i : i + step] for i in range(0, len(whole), step)]
+        out = list(inflated(iter(pieces), most=1 << 16))
+        assert b"".join(out) == b"".join(parts) and max(map(len, out)) <= 1 << 16
+    assert list(inflated(iter([]))) == []
+    edge = len(gzip.compress(parts[0]))
+    assert b"".join(inflated(iter([whole[:edge]]))) == parts[0]
+    for cut in (edge - 1, edge - 8, edge + 5, len(whole) - 4):
+        with pytest.raises(ValueError):
+            list(inflated(iter([whole[:cut]])))
+    with pytest.raises(Exception):
+        list(inflated(iter([whole[: edge - 6] + b"\1" + whole[edge - 5 :]])))
