@@ -82,3 +82,32 @@ def test_streaming_scores_equal_batch_scores(spark):
     exp = {r["id"]: r["score"] for r in mo.score(model, mo.assemble(data, cols)).select("id", "score").collect()}
     assert got.keys() == exp.keys()
     assert all(abs(got[k] - exp[k]) < 1e-12 for k in exp)
+
+
+def test_stream_is_killed_and_resumed(spark, monkeypatch):
+    """A micro-batch that dies after writing is run again when the stream goes on; every row counts once."""
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    rej = spark.range(3000).select(F.concat((F.col("id") % 5 + 2010).cast("string"), F.lit("-03-01")).alias("application_date"))
+    src, folder = tempfile.mkdtemp(prefix="cl-src-"), tempfile.mkdtemp(prefix="cl-sink-")
+    rej.repartition(6).write.mode("overwrite").parquet(src)
+    save, died = counts.save_version, []
+
+    def dies(batch, batch_id, table):
+        save(batch, batch_id, table)
+        if batch_id == 2:
+            died.append(batch_id)
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(counts, "save_version", dies)
+    make = lambda: counts.yearly_counts_stream(spark, src, rej.schema)
+    with pytest.raises(StreamingQueryException):
+        counts.run_to_table(make(), "killed", folder=folder)
+    monkeypatch.setattr(counts, "save_version", save)
+    got = {r["year"]: r["n"] for r in counts.run_to_table(make(), "resumed", folder=folder).collect()}
+    assert died and got == {y: 600 for y in range(2010, 2015)}
+    more = spark.range(10).select(F.lit("2012-01-01").alias("application_date"))
+    more.coalesce(1).write.mode("append").parquet(src)
+    got = {r["year"]: r["n"] for r in counts.run_to_table(make(), "again", folder=folder).collect()}
+    assert got[2012] == 610 and sum(got.values()) == 3010
