@@ -296,7 +296,7 @@ def oracle(table: str, top: int = 2000, least: int = 30, scale: int = 2_000_000,
  c AS (SELECT * FROM f WHERE k > 1 AND a >= {least}),
  u AS (SELECT lang, g, k, a, UNNEST(range(1, k)) AS cut FROM c),
  s AS (SELECT u.lang, u.g, u.k, u.a, cut, x.a AS l, y.a AS r, {scale}::HUGEINT * u.a // (x.a + y.a) AS score FROM u
-  JOIN f x ON x.lang = u.lang AND x.g = u.g[1:cut] JOIN f y ON y.lang = u.lang AND y.g = u.g[cut + 1:k]),
+  JOIN f x ON x.lang = u.lang AND x.g = u.g[1:cut] JOIN f y ON y.lang = u.lang AND y.g = u.g[cut + 1:u.k]),
  b AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
  e AS (SELECT lang, g[2:k] AS g, a FROM c WHERE k > 2 UNION ALL SELECT lang, g[1:k - 1], a FROM c WHERE k > 2
   UNION ALL SELECT lang, g[2:3], a FROM c WHERE k = 4 UNION ALL SELECT lang, g[1:2], a FROM c WHERE k = 4 UNION ALL SELECT lang, g[3:4], a FROM c WHERE k = 4),
