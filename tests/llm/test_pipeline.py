@@ -44,5 +44,5 @@ def test_empty_and_odd_tables(spark, odd_docs, empty_docs):
 
 
 def test_one_query_for_each_operator():
-    assert [n for n in range(1, 11)] == sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES if q.startswith("op"))
+    assert [n for n in range(1, 14)] == sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES if q.startswith("op"))
     assert "pipeline" in queries.QUERIES and set(queries.ORACLES) <= set(queries.QUERIES)
