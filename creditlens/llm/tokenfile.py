@@ -110,7 +110,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memory = words.TokenMemory()
+        self.memory = words.TokenMemory(slots=22, most=16 << 20)  # two million words, 140 MB at most
 
     def _encode(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
         found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
