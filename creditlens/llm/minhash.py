@@ -36,6 +36,8 @@ from .common import discard, named, staged, text_blocks
 STARS = 4
 #: Parity bits of a set; a multiple of 64.
 BITS = 1024
+#: Members of a bucket that one task compares with the bucket's centres; larger buckets are dealt out in pieces.
+PIECE = 2048
 
 _SIG = "doc_id long, crc long, n_shingles long, digest binary, half_a array<long>, half_b array<long>"
 
@@ -277,16 +279,18 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     # is a centre, and in the first table only in which the two meet.
     done = staged(done, "done")
     half_keys = classes.join(rest.select("cls").distinct(), "cls", "left_semi").join(sets.select("cls", "bits"), "cls")
-    whole = staged(rest.join(half_keys, "cls").withColumn("place", F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) / float(1 << 30)), "whole")
+    whole = staged(rest.join(half_keys, "cls").withColumn("place", F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) / float(1 << 30)).withColumn("pieces", F.ceil(F.col("n") / PIECE)), "whole")
+    met_by = whole.withColumn("piece", F.pmod(F.xxhash64("cls"), "pieces"))
     apart = sum((F.bit_count(F.col("qx")[k].bitwiseXOR(F.col("bits")[k])) for k in range(BITS // 64)), F.lit(0))
     similar = similar & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("nx")))
     low, many, most = 0.0, 8.0, whole.agg(F.max("n")).first()[0] or 0
     while low < most:
         c = whole.where((F.col("place") * F.col("n") >= low) & (F.col("place") * F.col("n") < many))
-        c = c.select("key", F.col("cls").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"), F.col("place").alias("px"), F.col("half_a").alias("ax"), F.col("half_b").alias("bx"), F.col("bits").alias("qx"))
+        c = c.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.col("cls").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"), F.col("place").alias("px"), F.col("half_a").alias("ax"), F.col("half_b").alias("bx"), F.col("bits").alias("qx"))
         later = (F.col("px") < F.col("place")) | ((F.col("px") == F.col("place")) & (F.col("x") < F.col("cls")))
         met = F.arrays_overlap(F.slice("ax", F.lit(1), F.col("i") - 1), F.slice("half_a", F.lit(1), F.col("i") - 1)) | F.arrays_overlap(F.slice("bx", F.lit(1), F.col("j") - 1), F.slice("half_b", F.lit(1), F.col("j") - 1))
-        pairs = c.join(whole, "key").where(later & similar & ~met).select("x", F.col("cls").alias("y"))
+        # Merged on shuffled pieces: a broadcast of the centres would leave the work to as many tasks as ``whole`` has files.
+        pairs = c.hint("merge").join(met_by, ["key", "piece"]).where(later & similar & ~met).select("x", F.col("cls").alias("y"))
         now = _compared(_ordered(pairs).join(_ordered(done), ["x", "y"], "left_anti"), sets, percent)
         done = done.union(now)
         low, many = many, many * 8
