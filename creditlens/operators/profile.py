@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, IntegerType, NumericType, StructField, StructType
 
 from ..functions.recode import EMP_LENGTH_YEARS, GRADE_ORDINAL, HISTORY_END_DATE, clip_keep_null, month_text_to_date, positive_flag, recode, years_until
 from ..functions.scalars import scalar_values, with_series_stats
@@ -170,14 +172,17 @@ def histogram(
     return out.drop("_n", "_width")
 
 
+#: Distinct values whose kernels a task holds at once.
+KDE_ROWS = 1024
+
+
 def kde(df: DataFrame, col: str, by: str | None = None, points: int = 1000, digits: int = 10) -> DataFrame:
     """Gaussian KDE on a grid per series (Scott bandwidth = n^(-1/5) * sample std;
     grid from min - range/2 to max + range/2).
 
-    Rows are first collapsed to distinct (value, weight); each distinct value
-    then emits its contribution to the ``points`` grid positions through an
-    array generator (no join), and a partial-aggregated groupBy sums them —
-    the shuffle carries at most ``points`` rows per series per task.
+    Rows are first collapsed to distinct (value, weight); each task then keeps one
+    grid of ``points`` sums per series over its Arrow batches, and a groupBy adds
+    the grids — the shuffle carries at most ``points`` rows per series per task.
     """
     keys = [by] if by else []
     data = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_x"))
@@ -193,26 +198,27 @@ def kde(df: DataFrame, col: str, by: str | None = None, points: int = 1000, digi
     )
     distinct = data.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_w"))
     joined = with_series_stats(distinct, stats, keys)
-    grid_x = lambda i: F.col("_g0") + i.cast("double") * F.col("_step")
-    # A value only reaches grid points within 40 bandwidths: beyond that exp(-z^2/2)
-    # underflows to exactly 0.0, so skipping those points leaves every sum unchanged.
-    span = F.lit(40.0) * F.col("_h")
-    narrow = (F.col("_h") > 0) & (F.col("_step") > 0)
-    lo_i = F.greatest(F.lit(0.0), F.floor((F.col("_x") - span - F.col("_g0")) / F.col("_step")) - 1)
-    hi_i = F.least(F.lit(float(points - 1)), F.ceil((F.col("_x") + span - F.col("_g0")) / F.col("_step")) + 1)
-    first = F.when(narrow, lo_i).otherwise(F.lit(0.0)).cast("int")
-    last = F.when(narrow, hi_i).otherwise(F.lit(float(points - 1))).cast("int")
-    idx = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    contrib = joined.select(
-        *keys,
-        F.explode(
-            F.transform(
-                idx,
-                lambda i: F.struct(i.alias("point"), (F.col("_w") * F.exp(
-                    F.lit(-0.5) * F.pow((grid_x(i) - F.col("_x")) / F.col("_h"), F.lit(2.0)))).alias("_k")),
-            )
-        ).alias("_c"),
-    ).select(*keys, "_c.point", "_c._k")
+    name = keys[0] if keys else None
+    series = joined.select(F.col(name) if by else F.lit(0).alias("_series"), "_x", F.col("_w").cast("double").alias("_w"), "_g0", "_step", "_h")
+    label = series.schema[0]
+
+    def partial(batches):
+        sums, places, kind = {}, np.arange(points, dtype=np.float64), None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            rows = batch.to_pandas()
+            for key, part in rows.groupby(label.name, sort=False):
+                at = part["_g0"].iloc[0] + places * part["_step"].iloc[0]
+                total = sums.setdefault(key, np.zeros(points))
+                for lo in range(0, len(part), KDE_ROWS):
+                    x, w = part["_x"].to_numpy()[lo : lo + KDE_ROWS], part["_w"].to_numpy()[lo : lo + KDE_ROWS]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        total += w @ np.exp(-0.5 * ((at[None, :] - x[:, None]) / part["_h"].iloc[0]) ** 2)
+        for key, total in sums.items():
+            own = pa.array([key] * points, kind)
+            yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(points, dtype=np.int32)), pa.array(total)], [label.name, "point", "_k"])
+
+    contrib = series.mapInArrow(partial, StructType([label, StructField("point", IntegerType()), StructField("_k", DoubleType())]))
     summed = contrib.groupBy(*keys, "point").agg(F.sum("_k").alias("_s"))
     # Every grid point of a series is reported (0 where no value reaches it).
     grid = stats.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))

@@ -100,6 +100,18 @@ def yearly_rejection_rate(spark, sf_dir):
     return pop.yearly_rejection(pop.yearly_counts(_rej(spark, sf_dir), name="rejected"), _acc_years(spark, sf_dir))
 
 
+@query("yearly_rejection_overlap", oracle=BOTH_CLEAN.rstrip() + """,
+r AS (SELECT year, COUNT(*) AS rejected FROM rej WHERE year BETWEEN 2007 AND 2018 GROUP BY year),
+a AS (SELECT YEAR(issue_date) + 16 AS year, COUNT(*) AS accepted FROM loans WHERE YEAR(issue_date) + 16 BETWEEN 2007 AND 2018 GROUP BY 1)
+SELECT r.year, rejected, accepted, rejected / (rejected + accepted) AS rejection_rate,
+       (rejected - LAG(rejected) OVER (ORDER BY r.year)) / LAG(rejected) OVER (ORDER BY r.year) * 100.0E0 AS rejected_change_pct
+FROM r JOIN a ON r.year = a.year""")
+def yearly_rejection_overlap(spark, sf_dir):
+    """J3/W2 over common years: the fixture's accepted loans are taken as issued 16 years later."""
+    later = with_issue_year(inputs.loans(spark, sf_dir), out="year").withColumn("year", F.col("year") + 16)
+    return pop.yearly_rejection(pop.yearly_counts(_rej(spark, sf_dir), name="rejected"), pop.yearly_counts(later, name="accepted"))
+
+
 @query("yearly_counts_both", oracle=BOTH_CLEAN.rstrip() + """,
 r AS (SELECT year, COUNT(*) AS rejected FROM rej WHERE year IS NOT NULL GROUP BY year),
 a AS (SELECT YEAR(issue_date) AS year, COUNT(*) AS accepted FROM loans WHERE issue_date IS NOT NULL GROUP BY 1)

@@ -163,6 +163,13 @@ def q8_dti_buckets(spark, sf_dir):
     return seg.dti_buckets(inputs.loans_sql(spark, sf_dir), inputs.FLOORS["dti"])
 
 
+@query("q8_dti_tiers", oracle="SELECT *, CASE WHEN default_rate_pct < 18 THEN 'low' WHEN default_rate_pct < 22 THEN 'medium' ELSE 'high' END AS tier FROM ("
+       + DTI.oracle() + ")")
+def q8_dti_tiers(spark, sf_dir):
+    """The buckets' default rates in tiers below 18, below 22 and above."""
+    return seg.dti_buckets(inputs.loans_sql(spark, sf_dir), inputs.FLOORS["dti"]).withColumn("tier", recode.three_tier("default_rate_pct", 18, 22))
+
+
 @query("q9_grade_purpose_top", oracle=CELLS.oracle())
 def q9_grade_purpose_top(spark, sf_dir):
     return seg.grade_purpose_top(inputs.loans_sql(spark, sf_dir), inputs.FLOORS["grade_purpose"])

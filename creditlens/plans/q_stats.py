@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.recode import VIF_ELSE, VIF_VERDICTS
 from ..operators import features as fe
 from ..operators import profile as prof
 from ..operators import stats as st
@@ -38,10 +39,29 @@ def point_biserial_r(spark, sf_dir):
     return pb.select("feature", "n", F.round("correlation", 9).alias("correlation"), F.round("t_stat", 6).alias("t_stat"))
 
 
-@query("point_biserial")
+def _tail(rows: str, density: str, start: str) -> str:
+    """Oracle text: Simpson's rule over ``density`` from ``start`` to 40 beyond, for each feature of ``rows``."""
+    return (f"SELECT feature, SUM(CASE WHEN i = 0 OR i = 16000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density}) * 0.0025E0 / 3 AS area "
+            f"FROM (SELECT {rows}.*, i, {start} + i * 0.0025E0 AS u FROM {rows}, (SELECT range AS i FROM range(16001))) GROUP BY feature")
+
+
+_P_DIGITS = 6
+_T_DENSITY = "EXP(LGAMMA((n - 1) / 2.0E0) - LGAMMA((n - 2) / 2.0E0) - 0.5E0 * LN((n - 2) * PI()) - (n - 1) / 2.0E0 * LN(1 + u * u / (n - 2)))"
+_PB_P = f""",
+pb AS (SELECT feature, n, r, r * SQRT((n - 2) / (1.0E0 - r * r)) AS t FROM ({_PB})),
+pbp AS (SELECT pb.feature, n, r, t, LEAST(1.0E0, 2 * area) AS p FROM pb JOIN ({_tail("pb", _T_DENSITY, "ABS(t)")}) a ON a.feature = pb.feature)"""
+
+
+def _rounded(df, digits):
+    return df.select([F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+@query("point_biserial", oracle=SIG.rstrip() + _PB_P + f"""
+SELECT feature, n, ROUND(r, 9) AS correlation, ROUND(t, 6) AS t_stat, ROUND(p, {_P_DIGITS}) AS p_value,
+       CASE WHEN p < 0.05E0 THEN 'YES' ELSE 'NO' END AS significant FROM pbp""")
 def point_biserial(spark, sf_dir):
-    """T1 with two-sided p-values (incomplete beta; p checked in unit tests)."""
-    return st.point_biserial(significance_table(spark, sf_dir), NUM)
+    """T1 with two-sided p-values (incomplete beta); the oracle integrates the t density."""
+    return _rounded(st.point_biserial(significance_table(spark, sf_dir), NUM), {"correlation": 9, "t_stat": 6, "p_value": _P_DIGITS})
 
 
 _MW_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, target FROM imp" for c in NUM)
@@ -70,10 +90,18 @@ def mann_whitney_u(spark, sf_dir):
                      F.round("median_paid", 9).alias("median_paid"), F.round("median_default", 9).alias("median_default"))
 
 
-@query("mann_whitney")
+_MW_CTES, _MW_ROWS = _MW.rsplit("\nSELECT u.feature", 1)
+_MW_P = _MW_CTES + f""",
+mw AS (SELECT u.feature{_MW_ROWS}),
+mwp AS (SELECT mw.*, LEAST(1.0E0, 2 * area) AS p FROM mw JOIN ({_tail("mw", "EXP(-u * u / 2) / SQRT(2 * PI())", "z")}) a ON a.feature = mw.feature)"""
+
+
+@query("mann_whitney", oracle=_MW_P + f"""
+SELECT feature, n_paid, n_default, u_statistic, tie_term, z, median_paid, median_default, ROUND(p, {_P_DIGITS}) AS p_value,
+       CASE WHEN p < 0.05E0 THEN 'YES' ELSE 'NO' END AS significant FROM mwp""")
 def mann_whitney(spark, sf_dir):
-    """T2 with two-sided p (erfc; checked in unit tests)."""
-    return st.mann_whitney(significance_table(spark, sf_dir), NUM)
+    """T2 with two-sided p (erfc); the oracle integrates the normal density."""
+    return _rounded(st.mann_whitney(significance_table(spark, sf_dir), NUM), {"z": 9, "median_paid": 9, "median_default": 9, "p_value": _P_DIGITS})
 
 
 _CHI_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, target FROM imp" for c in CAT)
@@ -97,10 +125,19 @@ def chi_square_stat(spark, sf_dir):
     return c.select("feature", "dof", F.round("chi2_stat", 6).alias("chi2_stat"))
 
 
-@query("chi_square")
+_CHI_CTES, _CHI_ROWS = _CHI.rsplit("\nSELECT feature", 1)
+# The density of the statistic's root, smooth for every number of degrees of freedom.
+_CHI_DENSITY = "2 * EXP((dof - 1) * LN(GREATEST(u, 1e-300)) - u * u / 2 - dof / 2.0E0 * LN(2.0E0) - LGAMMA(dof / 2.0E0))"
+_CHI_P = _CHI_CTES + f""",
+ch AS (SELECT feature{_CHI_ROWS.replace("ROUND(SUM(", "SUM(").replace("/ e), 6)", "/ e)")}),
+chp AS (SELECT ch.*, LEAST(1.0E0, area) AS p FROM ch JOIN ({_tail("ch", _CHI_DENSITY, "SQRT(chi2_stat)")}) a ON a.feature = ch.feature)"""
+
+
+@query("chi_square", oracle=_CHI_P + f"""
+SELECT feature, dof, ROUND(chi2_stat, 6) AS chi2_stat, ROUND(p, {_P_DIGITS}) AS p_value, CASE WHEN p < 0.05E0 THEN 'YES' ELSE 'NO' END AS significant FROM chp""")
 def chi_square(spark, sf_dir):
-    """T3 with p-values (regularized incomplete gamma; checked in unit tests)."""
-    return st.chi_square(significance_table(spark, sf_dir), CAT)
+    """T3 with p-values (regularized incomplete gamma); the oracle integrates the chi density."""
+    return _rounded(st.chi_square(significance_table(spark, sf_dir), CAT), {"chi2_stat": 6, "p_value": _P_DIGITS})
 
 
 _PAIRS = [(a, b) for i, a in enumerate(NUM) for b in NUM[i + 1:]]
@@ -134,14 +171,35 @@ def vif_pair(spark, sf_dir):
     return st.vif(significance_table(spark, sf_dir), ["loan_amnt", "installment"]).select("feature", "VIF")
 
 
-@query("vif")
+_K = len(NUM)
+_SCALE = ", ".join(f"SQRT(SUM({c} * {c})) AS {c}" for c in NUM)
+_GRAM = ", ".join(f"SUM(imp.{a} * imp.{b}) / ANY_VALUE(sc.{a} * sc.{b})" for a in NUM for b in NUM)
+_NAMES = ", ".join(f"'{c}'" for c in NUM)
+# Sweeps every pivot of the scaled cross-product matrix, which leaves its inverse with the sign turned.
+_VIF = SIG.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+sc AS (SELECT {_SCALE} FROM imp),
+g AS (SELECT [{_GRAM}] AS m FROM imp, sc),
+sweep(k, m) AS (SELECT 0, m FROM g UNION ALL
+ SELECT k + 1, list_transform(range({_K * _K}), lambda x: CASE
+   WHEN x // {_K} = k AND x % {_K} = k THEN -1.0E0 / m[k * {_K} + k + 1]
+   WHEN x // {_K} = k OR x % {_K} = k THEN m[x + 1] / m[k * {_K} + k + 1]
+   ELSE m[x + 1] - m[x // {_K} * {_K} + k + 1] * m[k * {_K} + x % {_K} + 1] / m[k * {_K} + k + 1] END)
+ FROM sweep WHERE k < {_K}),
+v AS (SELECT [{_NAMES}][i + 1] AS feature, ROUND(-m[i * {_K} + i + 1], 2) AS VIF FROM sweep, (SELECT range AS i FROM range({_K})) WHERE k = {_K})
+SELECT feature, VIF, CASE {" ".join(f"WHEN VIF > {float(c)}E0 THEN '{name}'" for c, name in VIF_VERDICTS)} ELSE '{VIF_ELSE}' END AS verdict FROM v"""
+
+
+@query("vif", oracle=_VIF)
 def vif(spark, sf_dir):
     """Uncentred VIF of the 16 numeric features with verdicts (Gram matrix by one aggregate)."""
     return st.vif(significance_table(spark, sf_dir), NUM)
 
 
-@query("feature_ranking")
+@query("feature_ranking", oracle=_MW_P + _PB_P + f"""
+SELECT pbp.feature, ROUND(r, 4) AS pb_correlation, CASE WHEN pbp.p < 0.05E0 THEN 'YES' ELSE 'NO' END AS pb_significant,
+       ROUND(mwp.p, {_P_DIGITS}) AS mw_pvalue, CASE WHEN mwp.p < 0.05E0 THEN 'YES' ELSE 'NO' END AS mw_significant
+FROM pbp JOIN mwp ON mwp.feature = pbp.feature""")
 def feature_ranking(spark, sf_dir):
     """Point-biserial and Mann-Whitney results joined, ordered by |r|."""
     t = significance_table(spark, sf_dir)
-    return st.feature_ranking(st.point_biserial(t, NUM), st.mann_whitney(t, NUM))
+    return _rounded(st.feature_ranking(st.point_biserial(t, NUM), st.mann_whitney(t, NUM)), {"mw_pvalue": _P_DIGITS})
