@@ -183,6 +183,7 @@ def kde(df: DataFrame, col: str, by: str | None = None, points: int = 1000, digi
     Rows are first collapsed to distinct (value, weight); each task then keeps one
     grid of ``points`` sums per series over its Arrow batches, and a groupBy adds
     the grids — the shuffle carries at most ``points`` rows per series per task.
+    The density of a constant series is null.
     """
     keys = [by] if by else []
     data = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_x"))
@@ -227,7 +228,7 @@ def kde(df: DataFrame, col: str, by: str | None = None, points: int = 1000, digi
         *keys,
         "point",
         (F.col("_g0") + F.col("point").cast("double") * F.col("_step")).alias("x"),
-        F.round(F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))), digits).alias("density"),
+        F.round(F.try_divide(F.col("_s"), F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))), digits).alias("density"),
     )
 
 
