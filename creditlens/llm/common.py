@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -22,21 +23,53 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: Staged tables that are still there.
+_STAGED: set[str] = set()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: the lineage
     is cut, and a lost executor costs a reread of files instead of a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _STAGED.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
+def _delete(path: str) -> None:
+    _STAGED.discard(path)
+    fs, place = open_shared(path)
+    fs.delete_dir(place)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a staged table that nothing will read again."""
-    fs, place = open_shared(df.staged_at)
-    fs.delete_dir(place)
+    _delete(df.staged_at)
+
+
+def in_turn(before, stage):
+    """``stage`` (spark, docs, sf_dir), called with what the stage ``before`` (made by this function,
+    or None) gave, once that is written. The tables that ``before`` has staged for its result are
+    deleted then, but for those that ``docs`` itself still reads."""
+
+    @functools.wraps(stage)
+    def call(spark, docs, sf_dir):
+        if before is not None and before.tables:
+            read = docs.inputFiles()
+            done = {t for t in before.tables if not any(t.rsplit("/", 1)[1] in f for f in read)}
+            before.tables -= done
+            for path in done & _STAGED:
+                _delete(path)
+        there = set(_STAGED)
+        out = stage(spark, docs, sf_dir)
+        call.tables |= _STAGED - there
+        return out
+
+    call.tables = set()
+    return call
 
 
 def open_shared(path: str) -> tuple[pafs.FileSystem, str]:

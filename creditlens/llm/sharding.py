@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import named, staged
+from .common import discard, named, staged
 
 _KEY = ["text_crc32", "id_key", "row_number"]
 _LEAST = -(1 << 63)
@@ -107,7 +107,8 @@ def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col
     placed = placed.withColumn("bytes_in", F.sum("size").over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     placed = placed.join(F.broadcast(offsets), "range")  # a row per range
     placed = placed.withColumn("shard", F.floor((F.col("bytes_before") + F.col("bytes_in")).cast("decimal(38,0)") * n_shards / F.lit(all_bytes)).cast("int"))
-    placed = staged(placed.drop("bytes_before", "bytes_in", "id_key"), "placed")
+    records, placed = lean, staged(placed.drop("bytes_before", "bytes_in", "id_key"), "placed")
+    discard(records)
     counts = sorted((r["shard"], r["range"], r["count"]) for r in placed.groupBy("shard", "range").count().collect())  # fewer than ranges + shards rows
     firsts, at = [], {}
     for s, k, n in counts:
