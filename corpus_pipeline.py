@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from creditlens.llm import fertility, minhash, mixing, phrases, sharding
-from creditlens.llm.common import documents, staged
+from creditlens.llm.common import discard, documents, in_turn, staged
 
 #: The mix takes at most one epoch, so no document that passed deduplication is repeated,
 #: and nearly all tokens: only sources that outweigh their targets give some up.
@@ -50,6 +50,12 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[c for c in out.columns if c != "row"], "row.*")
 
 
+# What a stage has staged for its result is deleted when the next one is given that result, written.
+quality = in_turn(None, quality)
+near_duplicates = in_turn(quality, near_duplicates)
+decontaminate = in_turn(near_duplicates, decontaminate)
+mix = in_turn(decontaminate, mix)
+shard = in_turn(mix, shard)
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
 #: Tokenizers are beyond SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
@@ -59,5 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        written = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if hasattr(docs, "staged_at"):
+            discard(docs)
+        docs = written
     return docs
