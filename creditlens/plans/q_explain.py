@@ -97,3 +97,102 @@ def explain_sample(spark, sf_dir):
 
     s = fe.stratified_split(inputs.loans(spark, sf_dir).select("id", "target"), "target", 0.2, "id").filter("is_test")
     return s.withColumn("_h", fe.id_hash("id")).orderBy("_h", F.col("id").cast("bigint")).limit(5000).select("id")
+
+
+# A fixed attribution table over the loans, the same text for Spark and DuckDB, on which
+# the views of the attribution table are held against SQL.
+_FIXED = {
+    "loan_amnt": "(loan_amnt - 12000) / 40000E0",
+    "int_rate": "(int_rate - 12.5E0) * 0.15E0",
+    "dti": "(dti - 20E0) * 0.01E0 * (1 + 0.2E0 * (int_rate - 12.5E0))",
+    "open_acc": "(open_acc - 12) * 0.003E0",
+    "total_acc": "(20 - total_acc) * 0.002E0",
+}
+_FIXED_BASE = "-1.4E0"
+_FIXED_TEXT = (", ".join([f"CAST({f} AS DOUBLE) AS {f}, {e} AS shap_{f}" for f, e in _FIXED.items()])
+               + f", {_FIXED_BASE} AS base_value, {_FIXED_BASE} + " + " + ".join(_FIXED.values()) + " AS margin")
+_FIXED_ROWS = "target IS NOT NULL AND " + " AND ".join(f"{f} IS NOT NULL" for f in _FIXED)
+_AT = oracle_views(("loans",)).rstrip() + f""",
+fixed AS (SELECT CAST(id AS VARCHAR) AS id, target, {_FIXED_TEXT} FROM loans WHERE {_FIXED_ROWS}),
+scored AS (SELECT id, target, 1 / (1 + EXP(-margin)) AS score FROM fixed),
+lf AS ({" UNION ALL ".join(f"SELECT id, '{f}' AS feature, {f} AS value, shap_{f} AS shap FROM fixed" for f in _FIXED)}),
+ranked AS (SELECT feature, mean_abs_shap, ROW_NUMBER() OVER (ORDER BY mean_abs_shap DESC, feature) AS rank
+           FROM (SELECT feature, AVG(ABS(shap)) AS mean_abs_shap FROM lf GROUP BY feature)),
+picks AS (SELECT * FROM (SELECT 'high_risk' AS kind, id, score, target FROM scored WHERE target = 1 AND score >= 0.7 ORDER BY id LIMIT 1)
+          UNION ALL SELECT * FROM (SELECT 'low_risk', id, score, target FROM scored WHERE target = 0 AND score <= 0.15 ORDER BY id LIMIT 1))"""
+
+
+def _fixed(spark, sf_dir):
+    from . import inputs
+
+    def build():
+        rows = inputs.loans(spark, sf_dir).where(_FIXED_ROWS)
+        return rows.selectExpr("id", "target", *[f"CAST({f} AS DOUBLE) AS {f}" for f in _FIXED], *[f"{e} AS shap_{f}" for f, e in _FIXED.items()],
+                               f"{_FIXED_BASE} AS base_value", f"{_FIXED_BASE} + {' + '.join(_FIXED.values())} AS margin")
+
+    return inputs.materialise(spark, sf_dir, "fixed_attributions", build)
+
+
+def _fixed_scored(spark, sf_dir):
+    return _fixed(spark, sf_dir).selectExpr("id", "target", "1 / (1 + EXP(-margin)) AS score")
+
+
+@query("attribution_mean_abs", oracle=_AT + " SELECT feature, ROUND(mean_abs_shap, 9) AS mean_abs_shap, rank FROM ranked WHERE rank <= 3")
+def attribution_mean_abs(spark, sf_dir):
+    """X3 over the fixed attributions: the three features of largest mean |attribution|."""
+    return ex.mean_abs(_fixed(spark, sf_dir), list(_FIXED), top=3).withColumn("mean_abs_shap", F.round("mean_abs_shap", 9))
+
+
+@query("attribution_long", oracle=_AT + " SELECT id, feature, value, ROUND(shap, 9) + 0E0 AS shap FROM lf")
+def attribution_long(spark, sf_dir):
+    """X4 over the fixed attributions, every row and feature."""
+    return ex.long_form(_fixed(spark, sf_dir), list(_FIXED)).withColumn("shap", F.round("shap", 9) + F.lit(0.0))
+
+
+@query("attribution_picks", oracle=_AT + " SELECT kind, id, ROUND(score, 9) AS score, target FROM picks")
+def attribution_picks(spark, sf_dir):
+    """W6 over the fixed attributions: first defaulted row of high and first paid row of low score."""
+    return ex.pick_rows(_fixed_scored(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query("attribution_picks_by_rank", oracle=_AT + """,
+q AS (SELECT QUANTILE_CONT(score, 0.95) AS hi, QUANTILE_CONT(score, 0.05) AS lo FROM scored)
+SELECT * FROM (SELECT 'high_risk' AS kind, id, ROUND(score, 9) AS score, target FROM scored, q WHERE score >= hi ORDER BY id LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'low_risk', id, ROUND(score, 9), target FROM scored, q WHERE score <= lo ORDER BY id LIMIT 1)""")
+def attribution_picks_by_rank(spark, sf_dir):
+    """W6 where no score reaches the limits: rows beyond the 95th and below the 5th percentile."""
+    return ex.pick_rows(_fixed_scored(spark, sf_dir), high=2.0, low=-1.0).withColumn("score", F.round("score", 9))
+
+
+@query("attribution_waterfall", oracle=_AT + """,
+one AS (SELECT lf.*, ROW_NUMBER() OVER (ORDER BY ABS(shap) DESC, feature) AS rank FROM lf JOIN picks ON picks.id = lf.id AND kind = 'high_risk'),
+steps AS (SELECT rank, feature, value, shap FROM one WHERE rank < 4
+          UNION ALL SELECT 4, CONCAT(CAST(COUNT(*) AS VARCHAR), ' other features'), NULL, SUM(shap) FROM one WHERE rank >= 4 HAVING COUNT(*) > 0)
+SELECT rank, feature, value, ROUND(shap, 9) AS shap, -1.4E0 AS base_value,
+       ROUND(-1.4E0 + SUM(shap) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING), 9) AS cumulative FROM steps""")
+def attribution_waterfall(spark, sf_dir):
+    """X5 over the fixed attributions: the high-risk row's breakdown, folded after three features."""
+    row = ex.pick_rows(_fixed_scored(spark, sf_dir)).filter(F.col("kind") == "high_risk").first()
+    steps = ex.waterfall(_fixed(spark, sf_dir), list(_FIXED), row["id"], max_display=4)
+    return steps.withColumn("shap", F.round("shap", 9)).withColumn("cumulative", F.round("cumulative", 9))
+
+
+@query("attribution_dependence", oracle=_AT + """,
+b AS (SELECT *, NTILE(100) OVER (ORDER BY dti) AS bin FROM fixed),
+c AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS f, bin, COUNT(*) * COALESCE(ABS(CORR(shap_dti, {f})), 0) AS c FROM b GROUP BY bin"
+                              for f in _FIXED if f != "dti") + """),
+best AS (SELECT f FROM (SELECT f, SUM(CASE WHEN ISNAN(c) THEN 0 ELSE c END) AS c FROM c GROUP BY f) ORDER BY c DESC, f LIMIT 1)
+SELECT id, dti AS value, ROUND(shap_dti, 9) + 0E0 AS shap, f AS interaction_feature FROM fixed, best""")
+def attribution_dependence(spark, sf_dir):
+    """X6 over the fixed attributions, where the attribution of ``dti`` turns with ``int_rate``."""
+    return ex.dependence(_fixed(spark, sf_dir), list(_FIXED), "dti").withColumn("shap", F.round("shap", 9) + F.lit(0.0))
+
+
+@query("attribution_compare_rows", oracle=_AT + """
+SELECT ranked.rank, lf.feature, """ + ", ".join(
+    f"MAX(ROUND({c}, {d})) FILTER (WHERE kind = '{k}') AS {k}_{c}" for k in ("high_risk", "low_risk") for c, d in (("value", 3), ("shap", 4))) + """
+FROM lf JOIN picks ON picks.id = lf.id JOIN ranked ON ranked.feature = lf.feature AND ranked.rank <= 4 GROUP BY ranked.rank, lf.feature""")
+def attribution_compare_rows(spark, sf_dir):
+    """X7 over the fixed attributions: both picked rows on the four top features."""
+    shap = _fixed(spark, sf_dir)
+    return ex.compare_rows(shap, list(_FIXED), ex.pick_rows(_fixed_scored(spark, sf_dir)), ex.mean_abs(shap, list(_FIXED), top=4))
