@@ -32,5 +32,5 @@ def query(name: str, oracle: str | None = None, check: str | None = None):
 def load_all() -> dict[str, Entry]:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
-        q_evaluate, q_explain, q_features, q_models, q_population, q_profile, q_segments, q_stats, q_streaming)
+        q_evaluate, q_explain, q_features, q_models, q_population, q_profile, q_segments, q_sources, q_stats, q_streaming)
     return REGISTRY

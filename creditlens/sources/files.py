@@ -13,9 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.recode import null_words_to_null
+from ..session import written
 
 # Raw column names of the rejected-applications file and our names for them.
 REJECTED_COLUMNS = {
@@ -55,6 +56,18 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return df
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows of a CSV that have the fields of ``schema``, typed and with missing words as nulls, and a
+    quarantine of the other lines (``line``): every data line is in one of the two. The parsed
+    lines are written once to the shared folder, so both are plain scans and files are split."""
+    st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    text = StructType([StructField(f.name, StringType()) for f in st.fields] + [StructField("_line", StringType())])
+    reader = spark.read.option("header", header).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+    rows = written(reader.schema(text).csv(path), "csv_rows")
+    typed = [null_words_to_null(F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) for f in st.fields]
+    return rows.where("_line IS NULL").select(*typed), rows.where("_line IS NOT NULL").select(F.col("_line").alias("line"))
+
+
 def read_rejected_csv(spark: SparkSession, path: str) -> DataFrame:
     """The rejected file's six used columns, renamed to snake case."""
     schema = ("`Amount Requested` double, `Application Date` string, Risk_Score double, "
