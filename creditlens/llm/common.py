@@ -27,12 +27,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 _STAGED: set[str] = set()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: the lineage
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` written once (with the writer's ``options``) as Parquet in the shared folder and read back: the lineage
     is cut, and a lost executor costs a reread of files instead of a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _STAGED.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path

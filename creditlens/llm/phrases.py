@@ -8,27 +8,33 @@ its rarest term, shifting it by the term's place in the phrase and intersecting
 it with the shifted lists of the other terms, rarest first; only positions that
 all lists share are occurrences. Terms are 64-bit hashes of words (words.py).
 
-A document lies in one segment, so a search needs no shuffle. Query phrases go
-to the tasks in blocks of at most ``BLOCK_WORDS`` words (plus one chunk), one
-pass over the index for each block, so nothing that grows is broadcast.
+A document lies in one segment, so a search needs no shuffle. The query phrases are
+made in tasks too and written to the shared folder, each once, in files of at most
+``BLOCK_WORDS`` words; a worker reads them block by block for its segments and keeps
+the last ``_HELD`` of them, so nothing that grows is broadcast or goes through the
+driver, which lists the files' names. Which items own the phrases found in a
+document is a join of keys. A document's hits leave its task as runs of words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import named, staged, text_blocks
+from .common import discard, named, open_shared, staged, text_blocks
 
 SEGMENT_WORDS = 1 << 20
 BLOCK_WORDS = 1 << 20
 _CHUNK = 4096
+_HELD = 4
 _INDEX = "segment long, doc_id array<long>, crc array<long>, first array<int>, term array<long>, at array<int>, position array<int>"
 
 
@@ -74,8 +80,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return staged(docs.mapInArrow(run, _INDEX), "index")
 
 
-def query_words(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item (text form of the id) and its words' hashes, long items in chunks that overlap by ``width - 1``."""
+def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item (text form of the id) and its words' hashes, long items in chunks of ``_CHUNK`` words."""
 
     def run(batches):
         for batch in batches:
@@ -83,45 +89,30 @@ def query_words(items: DataFrame, width: int, id_col: str = "item_id", text_col:
                 starts, ends, rows = words.spans(data, offsets, words.ALNUM)
                 h = words.hashes(data, starts, ends, folded=True).view(np.int64)
                 for item, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), rows[:-1], rows[1:]):
-                    parts = [h[k : min(b, k + _CHUNK + width - 1)] for k in range(a, b, _CHUNK) if k == a or k + width <= b]
+                    parts = [h[k : min(b, k + _CHUNK)] for k in range(a, b, _CHUNK)]
                     if parts:
                         yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.list_(pa.int64()))], ["item", "words"])
 
     return items.select(named(id_col, "item").cast("string").alias("item"), named(text_col, "text")).mapInArrow(run, "item string, words array<long>")
 
 
-def blocks(queries: DataFrame) -> Iterator[list[tuple[str | None, np.ndarray]]]:
-    """The query phrases in lists of bounded size."""
-    block, n = [], 0
-    for r in staged(queries, "queries").toLocalIterator():
-        block.append((r.item, np.array(r.words, np.int64).view(np.uint64)))
-        n += len(block[-1][1])
-        if n >= BLOCK_WORDS:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
-
-
-class Phrases:
-    """The distinct windows of a block by length, and the items that each belongs to."""
-
-    def __init__(self, block, width: int):
-        grouped: dict[int, tuple[list, list]] = {}
-        names: dict[str | None, int] = {}
-        for item, h in block:
-            k = min(width, len(h))
-            rows, owner = grouped.setdefault(k, ([], []))
-            rows.append(np.lib.stride_tricks.sliding_window_view(h, k))
-            owner.append(np.full(len(h) - k + 1, names.setdefault(item, len(names))))
-        self.items = list(names)
-        self.groups = []
-        for k, (rows, owner) in grouped.items():
-            rows, owner = np.concatenate(rows), np.concatenate(owner)
-            key = np.array([words.chained(r, k, 9)[0] for r in rows]) if k == 1 else _row_key(rows)
-            _, first, which = np.unique(key, return_index=True, return_inverse=True)
-            order = np.argsort(which, kind="stable")
-            self.groups.append((rows[first], np.searchsorted(which[order], np.arange(len(first) + 1)), owner[order]))
+def item_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item, key (a hash of the words' hashes) and words of each window of ``width`` words of
+    an item, or of all its words if it has fewer."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+                starts, ends, rows = words.spans(data, offsets, words.ALNUM)
+                h = words.hashes(data, starts, ends, folded=True)
+                for item, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), rows[:-1], rows[1:]):
+                    k = min(width, b - a)
+                    for at in range(a, b - k + 1 if k else a, _CHUNK):
+                        own = np.lib.stride_tricks.sliding_window_view(h[at : min(b, at + _CHUNK + k - 1)], k)
+                        each = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * np.int32(k), pa.array(own.ravel().view(np.int64)))
+                        yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.string()), pa.array(_row_key(own).view(np.int64)), each], ["item", "key", "words"])
+
+    return items.select(named(id_col, "item").cast("string").alias("item"), named(text_col, "text")).mapInArrow(run, "item string, key long, words array<long>")
 
 
 def _row_key(rows: np.ndarray) -> np.ndarray:
@@ -129,155 +120,247 @@ def _row_key(rows: np.ndarray) -> np.ndarray:
     return words.mix((rows * c).sum(axis=1, dtype=np.uint64))
 
 
-def occurrences(phrases: np.ndarray, term: np.ndarray, at: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _files(table: DataFrame) -> list[str]:
+    """The files of a staged table, each a block that one task can hold."""
+    fs, place = open_shared(table.staged_at)
+    found = fs.get_file_info(pafs.FileSelector(place))
+    return sorted(f"{table.staged_at}/{f.base_name}" for f in found if f.base_name.endswith(".parquet") and f.size)
+
+
+def _read(path: str) -> pa.Table:
+    fs, place = open_shared(path)
+    return pq.read_table(place, filesystem=fs).combine_chunks()
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of an array column in a row, and where each list starts."""
+    size = lists.combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    values = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return values.view(np.uint64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
+@lru_cache(maxsize=_HELD)
+def _windows_of(path: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(windows, keys) by length of the windows."""
+    table = _read(path)
+    values, at = _flat(table["words"])
+    key, size = table["key"].to_numpy(), np.diff(at)
+    return [(values[at[:-1][size == k][:, None] + np.arange(k)], key[size == k]) for k in np.unique(size)]
+
+
+@lru_cache(maxsize=_HELD)
+def _items_of(path: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Names, all distinct words, where each item's words start, and the span each may take."""
+    table = _read(path)
+    return table["item"].to_pylist(), *_flat(table["words"]), table["within"].to_numpy()
+
+
+class _Segment:
+    """A row of the index: word positions by term, documents by their first word."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        get = lambda name, kind: batch.column(name)[row].values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+        self.number = batch.column("segment")[row].as_py()
+        self.first, self.at, self.position = get("first", np.int64), get("at", np.int64), get("position", np.int64)
+        self.term = get("term", np.int64).view(np.uint64)
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands among the terms, and whether it does."""
+        if not len(self.term):
+            return np.zeros(h.shape, np.int64), np.zeros(h.shape, bool)
+        place = np.minimum(np.searchsorted(self.term, h), len(self.term) - 1)
+        return place, self.term[place] == h
+
+    @cached_property
+    def entry(self) -> np.ndarray:
+        """Term and position in one ascending number."""
+        return (np.repeat(np.arange(len(self.term)), np.diff(self.at)) << 32) | self.position
+
+    def doc(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, position, "right") - 1
+
+    @cached_property
+    def doc_lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """The documents of each term in a row, and where each term's start."""
+        doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[self.position]
+        term = np.repeat(np.arange(len(self.term)), np.diff(self.at))
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
+        return doc[new], np.searchsorted(term[new], np.arange(len(self.term) + 1))
+
+
+def _segments(batches):
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield batch, row, _Segment(batch, row)
+
+
+def occurrences(phrases: np.ndarray, s: _Segment) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, start) of each place in a segment where a phrase's terms stand in a row.
 
     Candidates come from the rarest term's list; each further term keeps those whose
     shifted position is in its own list, found by bisection in (term, position) order.
     """
-    if not len(term) or not len(phrases):
+    place, there = s.places(phrases)
+    here = np.flatnonzero(there.all(axis=1))
+    if not len(here):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.minimum(np.searchsorted(term, phrases), len(term) - 1)
-    here = np.flatnonzero((term[place] == phrases).all(axis=1))
     place = place[here]
-    size = (at[1:] - at[:-1])[place]
-    order = np.argsort(size, axis=1, kind="stable")
+    order = np.argsort(np.diff(s.at)[place], axis=1, kind="stable")
     pick = lambda table, k: np.take_along_axis(table, order[:, k : k + 1], axis=1)[:, 0]
     rarest = pick(place, 0)
-    n = at[rarest + 1] - at[rarest]
+    n = s.at[rarest + 1] - s.at[rarest]
     which = np.repeat(np.arange(len(here)), n)
-    start = position[words.ragged(at[rarest], n)] - order[which, 0] if len(here) else np.zeros(0, np.int64)
-    entry = (np.repeat(np.arange(len(term)), at[1:] - at[:-1]) << 32) | position
+    start = s.position[words.ragged(s.at[rarest], n)] - order[which, 0]
     for k in range(1, phrases.shape[1]):
         want = (pick(place, k)[which] << 32) | np.maximum(start + order[which, k], 0)
-        found = np.minimum(np.searchsorted(entry, want), len(entry) - 1)
-        ok = (entry[found] == want) & (start >= 0)
+        found = np.minimum(np.searchsorted(s.entry, want), len(s.entry) - 1)
+        ok = (s.entry[found] == want) & (start >= 0)
         which, start = which[ok], start[ok]
     return here[which], start
 
 
-def _segment_rows(batches):
-    for batch in batches:
-        for r in range(batch.num_rows):
-            get = lambda name, kind: batch.column(name)[r].values.to_numpy(zero_copy_only=False).astype(kind, copy=False)  # noqa: E731, B023
-            yield (batch.column("segment")[r].as_py(), get("first", np.int64), get("term", np.int64).view(np.uint64), get("at", np.int64), get("position", np.int64))
+def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """``values``, in ascending order of ``owner``, as a list for each of ``n`` owners."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
+
+
+_FOUND = "segment long, ordinal int, doc_id long, crc long, n_words long, runs array<struct<lo:int,hi:int>>, keys array<long>"
 
 
-def _search(index: DataFrame, block, width: int) -> DataFrame:
-    """segment, ordinal, runs of hit words and items of each document with an occurrence."""
-    sent = index.sparkSession.sparkContext.broadcast(Phrases(block, width))
+def _search(index: DataFrame, files: list[str]) -> DataFrame:
+    """A row for each document: its hit words as runs, and the keys of the windows that it has."""
 
     def run(batches):
-        phrases = sent.value
-        for segment, first, term, at, position in _segment_rows(batches):
-            docs, starts, ends, owners = [], [], [], []
-            for rows, own_at, owner in phrases.groups:
-                k = rows.shape[1]
-                which, start = occurrences(rows, term, at, position)
-                doc = np.searchsorted(first, start, "right") - 1
-                inside = start + k <= first[np.minimum(doc + 1, len(first) - 1)]
-                which, start, doc = which[inside], start[inside], doc[inside]
-                docs, starts, ends = [*docs, doc], [*starts, start], [*ends, start + k]
-                pairs = np.unique(np.stack([doc, which]), axis=1)
-                n = own_at[pairs[1] + 1] - own_at[pairs[1]]
-                owners.append(np.stack([np.repeat(pairs[0], n), owner[words.ragged(own_at[pairs[1]], n)]]))
-            if not docs or not sum(map(len, docs)):
-                continue
-            doc, start, end = map(np.concatenate, (docs, starts, ends))
-            owners = np.unique(np.concatenate(owners, axis=1), axis=1)
-            edge = np.zeros(first[-1] + 1, np.int64)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, end, -1)
-            hit = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
-            hit = np.diff(hit.astype(np.int8))
-            run_start, run_end = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
-            for d in np.unique(doc):
-                # A run may go on into the next document; each document takes its part.
-                lo, hi = np.searchsorted(run_end, first[d], "right"), np.searchsorted(run_start, first[d + 1], "left")
-                own = np.stack([np.maximum(run_start[lo:hi], first[d]), np.minimum(run_end[lo:hi], first[d + 1])], axis=1) - first[d]
-                names = [phrases.items[i] for i in owners[1, owners[0] == d]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment], pa.int64()), pa.array([int(d)], pa.int32()), pa.array([own.tolist()], pa.list_(pa.list_(pa.int32()))),
-                     pa.array([[x for x in names if x is not None]], pa.list_(pa.string()))],
-                    ["segment", "ordinal", "runs", "items"])
-
-    return index.select("segment", "first", "term", "at", "position").mapInArrow(run, "segment long, ordinal int, runs array<array<int>>, items array<string>")
+        for batch, row, s in _segments(batches):
+            n, total = len(s.first) - 1, int(s.first[-1])
+            edge, docs, keys = np.zeros(total + 1, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for path in files:
+                for rows, key in _windows_of(path):
+                    k = rows.shape[1]
+                    which, start = occurrences(rows, s)
+                    doc = s.doc(start)
+                    inside = start + k <= s.first[doc + 1]
+                    which, start, doc = which[inside], start[inside], doc[inside]
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + k, -1)
+                    own = np.unique(doc * len(rows) + which)
+                    docs.append(own // len(rows))
+                    keys.append(key[own % len(rows)])
+            docs, keys = np.concatenate(docs), np.concatenate(keys)
+            order = np.argsort(docs, kind="stable")
+            # A run ends with its document, also where the next one goes on.
+            hit = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
+            cut = np.zeros(total + 1, bool)
+            cut[s.first] = True
+            lo = np.flatnonzero(hit[1:] & (~hit[:-1] | cut))
+            hi = np.flatnonzero(hit[:-1] & (~hit[1:] | cut))
+            in_doc = s.doc(lo)
+            spans = pa.StructArray.from_arrays([pa.array(x - s.first[in_doc], pa.int32()) for x in (lo, hi)], ["lo", "hi"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, s.number)), pa.array(np.arange(n), pa.int32()), batch.column("doc_id")[row].values, batch.column("crc")[row].values,
+                 pa.array(np.diff(s.first)), _lists(in_doc, n, spans), _lists(docs[order], n, pa.array(keys[order]))],
+                ["segment", "ordinal", "doc_id", "crc", "n_words", "runs", "keys"])
+
+    return index.mapInArrow(run, _FOUND)
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, width: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """doc_id, crc, n_words, n_hit, items (sorted as strings) for every indexed document.
+    """segment, ordinal, doc_id, crc, n_words, runs, n_hit and items (sorted as strings) for every indexed document.
 
     A phrase is a window of ``width`` neighbouring words of an item, or all words of an
-    item that has fewer. n_hit counts the document's words inside any occurrence. A null
-    document or item text has no words; an item with a null id is matched but not listed.
+    item that has fewer. ``runs`` are the document's words inside any occurrence (from 0, end
+    exclusive), n_hit counts them. A null document or item text has no words; an item with a
+    null id is matched but not listed. The result is written: ``index`` is not read again.
     """
-    docs = index.select("segment", F.posexplode(F.arrays_zip("doc_id", "crc", F.slice("first", 1, F.size("doc_id")).alias("lo"), F.slice("first", 2, F.size("doc_id")).alias("hi"))).alias("ordinal", "d"))
-    docs = docs.select("segment", "ordinal", "d.doc_id", "d.crc", (F.col("d.hi") - F.col("d.lo")).cast("long").alias("n_words"))
-    found = None
-    for block in blocks(query_words(items, width, id_col, text_col)):
-        one = staged(_search(index, block, width), "hits")
-        found = one if found is None else found.union(one)
-    if found is None:
-        return docs.select("doc_id", "crc", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    each = found.groupBy("segment", "ordinal").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
-    hit = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r[0], r[1] - 1)))))
-    each = each.select("segment", "ordinal", hit.cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
-    both = docs.join(each, ["segment", "ordinal"], "left")
-    return both.select("doc_id", "crc", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-
-
-def proximity_matches(index: DataFrame, items: DataFrame, within: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item, n_spans: documents where all distinct words of an item stand, in any
-    order, inside ``within`` neighbouring words; n_spans counts the ends of such spans.
-
-    Items that share an id are one item. Each of an item's lists gives, at every occurrence of any of its terms, the last
-    place of each term; the oldest of them tells the shortest span that ends there.
+    windows = staged(item_windows(items, width, id_col, text_col), "windows")
+    each = staged(windows.groupBy("key").agg(F.first("words").alias("words")), "phrases", maxRecordsPerFile=max(1, BLOCK_WORDS // width))
+    found = staged(_search(index, _files(each)), "found")
+    discard(each)
+    owners = windows.where("item IS NOT NULL").select("key", "item").distinct()
+    listed = found.select("segment", "ordinal", F.explode("keys").alias("key")).join(owners, "key")
+    listed = listed.groupBy("segment", "ordinal").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r.hi - r.lo)
+    both = found.drop("keys").join(listed, ["segment", "ordinal"], "left")
+    return both.withColumns({"n_hit": n_hit, "items": F.coalesce("items", F.array().cast("array<string>"))})
+
+
+def _near(s: _Segment, place: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents in which the terms at ``place`` all stand inside ``within`` words, and the number of ends of such spans.
+
+    The documents of the rarest term are kept while the further terms, rarest first, have them too.
     """
+    docs, doc_at = s.doc_lists
+    place = place[np.argsort(doc_at[place + 1] - doc_at[place], kind="stable")]
+    left = docs[doc_at[place[0]] : doc_at[place[0] + 1]]
+    for p in place[1:]:
+        own = docs[doc_at[p] : doc_at[p + 1]]
+        left = left[own[np.minimum(np.searchsorted(own, left), len(own) - 1)] == left]
+        if not len(left):
+            return left, left
+    where, kind = [], []
+    for k, p in enumerate(place):
+        own = s.position[s.at[p] : s.at[p + 1]]
+        lo, hi = np.searchsorted(own, s.first[left]), np.searchsorted(own, s.first[left + 1])
+        where.append(own[words.ragged(lo, hi - lo)])
+        kind.append(np.full(len(where[-1]), k))
+    where, kind = np.concatenate(where), np.concatenate(kind)
+    order = np.argsort(where)
+    where, kind = where[order], kind[order]
+    oldest = where.copy()
+    for k in range(len(place)):
+        oldest = np.minimum(oldest, np.maximum.accumulate(np.where(kind == k, where, -1)))
+    doc = s.doc(where)
+    ok = (oldest >= s.first[doc]) & (where - oldest < within)
+    return np.unique(doc[ok], return_counts=True)
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, within: int | None = None, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """segment, ordinal, doc_id, item, n_spans: documents where all distinct words of an item stand, in any
+    order, inside ``within`` neighbouring words (None: twice the item's number of words); n_spans
+    counts the ends of such spans.
+
+    Items that share an id are one item; those without an id or words are not searched. Each of an item's
+    lists gives, at every occurrence of any of its terms, the last place of each term; the oldest of
+    them tells the shortest span that ends there. The result is written: ``index`` is not read again.
+    """
+    chunks = item_words(items, id_col, text_col).where("item IS NOT NULL")
+    longest = F.lit(within).cast("long") if within is not None else 2 * F.count("*")
+    whole = chunks.select("item", F.explode("words").alias("word")).groupBy("item").agg(F.collect_set("word").alias("words"), longest.alias("within"))
     # A row per item, so that no block has but a part of one.
-    chunks = query_words(items, 1, id_col, text_col).where("item IS NOT NULL")
-    whole = chunks.select("item", F.explode("words").alias("word")).groupBy("item").agg(F.collect_set("word").alias("words"))
-    parts = []
-    for block in blocks(whole):
-        sent = index.sparkSession.sparkContext.broadcast([(i, np.unique(h)) for i, h in block])
-
-        def run(batches, sent=sent):
-            for segment, first, term, at, position in _segment_rows(batches):
-                for item, wanted in sent.value:
-                    place = np.minimum(np.searchsorted(term, wanted), max(0, len(term) - 1))
-                    if not len(term) or (term[place] != wanted).any():
-                        continue
-                    size = at[place + 1] - at[place]
-                    where, kind = position[words.ragged(at[place], size)], np.repeat(np.arange(len(place)), size)
-                    order = np.argsort(where)
-                    where, kind = where[order], kind[order]
-                    oldest = where.copy()
-                    for k in range(len(place)):
-                        oldest = np.minimum(oldest, np.maximum.accumulate(np.where(kind == k, where, -1)))
-                    doc = np.searchsorted(first, where, "right") - 1
-                    ok = (oldest >= first[doc]) & (where - oldest < within)
-                    for d, n in zip(*np.unique(doc[ok], return_counts=True)):
-                        yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([int(d)], pa.int32()), pa.array([item]), pa.array([int(n)])], ["segment", "ordinal", "item", "n_spans"])
-
-        rows = index.select("segment", "first", "term", "at", "position").mapInArrow(run, "segment long, ordinal int, item string, n_spans long")
-        parts.append(staged(rows, "near"))
-    if not parts:
-        return index.sparkSession.createDataFrame([], "doc_id long, item string, n_spans long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    docs = index.select("segment", F.posexplode("doc_id").alias("ordinal", "doc_id"))
-    return docs.join(found, ["segment", "ordinal"]).select("doc_id", "item", "n_spans")
+    whole = staged(whole, "items", maxRecordsPerFile=max(1, BLOCK_WORDS // _CHUNK))
+    files = _files(whole)
+
+    def run(batches):
+        for batch, row, s in _segments(batches):
+            for path in files:
+                names, flat, item_at, spans = _items_of(path)
+                place, there = s.places(flat)
+                for i in np.flatnonzero(np.logical_and.reduceat(there, item_at[:-1])):
+                    docs, n = _near(s, place[item_at[i] : item_at[i + 1]], spans[i])
+                    if len(docs):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(docs), s.number)), pa.array(docs, pa.int32()), batch.column("doc_id")[row].values.take(pa.array(docs)),
+                             pa.array([names[i]] * len(docs)), pa.array(n, pa.int64())],
+                            ["segment", "ordinal", "doc_id", "item", "n_spans"])
+
+    return staged(index.mapInArrow(run, "segment long, ordinal int, doc_id long, item string, n_spans long"), "near")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, a row per input row.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near, a row per input row.
 
-    A null or empty text has no words and is clean. Repeated rows and null ids each get
+    n_near counts the items all of whose words stand, in any order, inside a span of twice their
+    number; it does not make a document contaminated. A null or empty text has no words and is clean. Repeated rows and null ids each get
     their own result row; further columns of either table are not read.
     """
-    m = phrase_matches(build_index(docs, id_col, text_col), items, width)
-    return m.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    index = build_index(docs, id_col, text_col)
+    m = phrase_matches(index, items, width)
+    near = proximity_matches(index, items).groupBy("segment", "ordinal").agg(F.count("*").alias("n_near"))
+    discard(index)
+    return m.join(near, ["segment", "ordinal"], "left").select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,15 +369,17 @@ def without_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_
     A row is found again by its id and its text's checksum, so rows that share an id, or
     have none, keep verdicts of their own.
     """
-    m = phrase_matches(build_index(docs, id_col, text_col), items, width).where("n_hit > 0")
+    index = build_index(docs, id_col, text_col)
+    m = phrase_matches(index, items, width).where("n_hit > 0")
     bad = staged(m.select(F.col("doc_id").alias("bad_id"), F.col("crc").alias("bad_crc")).distinct(), "contaminated")
+    discard(index)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("bad_id")) & F.crc32(F.col(f"row.`{text_col}`")).eqNullSafe(F.col("bad_crc"))
     return own.join(bad, same, "left_anti").select("row.*")
 
 
 def oracle(docs: str, items: str, width: int = 10) -> str:
-    """The result of ``contamination`` in DuckDB's SQL by a join on whole windows."""
+    """The result of ``contamination`` in DuckDB's SQL by a join on whole windows, and on words for n_near."""
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words_of = f"COALESCE(regexp_extract_all(translate(text, '{up}', '{low}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
     return f"""WITH d AS (SELECT doc_id, {words_of} AS w FROM {docs}),
@@ -304,6 +389,14 @@ def oracle(docs: str, items: str, width: int = 10) -> str:
  v AS (SELECT doc_id, k, UNNEST(range(1, len(w) - k + 2)) AS p, w FROM d, n WHERE len(w) >= k),
  o AS (SELECT doc_id, p, k, item_id FROM (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS win FROM v) JOIN q USING (k, win)),
  h AS (SELECT doc_id, COUNT(DISTINCT pos) AS n_hit FROM (SELECT doc_id, UNNEST(range(p, p + k)) AS pos FROM o) GROUP BY 1),
+ x AS (SELECT item_id::VARCHAR AS item, UNNEST(w) AS word FROM i WHERE item_id IS NOT NULL),
+ t AS (SELECT item, COUNT(DISTINCT word) AS kinds, 2 * COUNT(*) AS within FROM x GROUP BY 1),
+ y AS (SELECT DISTINCT item, word FROM x),
+ e AS (SELECT doc_id, UNNEST(w) AS word, UNNEST(range(len(w))) AS p FROM d),
+ c AS (SELECT doc_id, item FROM (SELECT DISTINCT doc_id, word FROM e) JOIN y USING (word) JOIN t USING (item) GROUP BY doc_id, item, kinds HAVING COUNT(*) = kinds),
+ g AS (SELECT doc_id, item, word, p FROM c JOIN y USING (item) JOIN e USING (doc_id, word)),
+ s AS (SELECT DISTINCT z.doc_id, item FROM g z JOIN t USING (item) JOIN g b USING (doc_id, item) WHERE b.p BETWEEN z.p - within + 1 AND z.p GROUP BY z.doc_id, item, z.p, kinds HAVING COUNT(DISTINCT b.word) = kinds),
+ r AS (SELECT doc_id, COUNT(*) AS n_near FROM s GROUP BY 1),
  m AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(x, ',' ORDER BY x) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM o) GROUP BY 1)
-SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items, sha256(COALESCE(list, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)"""
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items, sha256(COALESCE(list, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated, COALESCE(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN r USING (doc_id)"""

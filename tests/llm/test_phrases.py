@@ -34,11 +34,29 @@ def brute(docs, items, width=10):
     return sorted(out, key=repr)
 
 
+def near(docs, items):
+    """(doc, number of items all of whose words stand within twice their number), span by span."""
+    wanted = {}
+    for item, text in items:
+        if item is not None:
+            wanted.setdefault(item, []).extend(WORD.findall(fold(text)))
+    out = []
+    for doc, text in docs:
+        w = WORD.findall(fold(text))
+        n, there = 0, set(w)
+        for own in wanted.values():
+            kinds = set(own)
+            n += bool(kinds) and kinds <= there and any(kinds <= set(w[max(0, e - 2 * len(own)) : e]) for e in range(1, len(w) + 1))
+        out.append((doc, n))
+    return sorted(out, key=repr)
+
+
 def check(docs, items):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     wanted = brute(rows, [(r.item_id, r.text) for r in items.collect()])
-    got = sorted((tuple(r) for r in contamination(docs, items).collect()), key=repr)
-    assert got == wanted
+    result = contamination(docs, items).collect()
+    assert sorted((tuple(r)[:6] for r in result), key=repr) == wanted
+    assert sorted(((r.doc_id, r.n_near) for r in result), key=repr) == near(rows, [(r.item_id, r.text) for r in items.collect()])
     clean = without_contaminated(docs, items)
     assert clean.columns == docs.columns
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((x[0] for x in wanted if not x[-1]), key=repr)
@@ -67,6 +85,17 @@ def test_segments_and_neighbours(spark):
     check(docs, spark.createDataFrame([("a", " ".join(w[5:15])), ("b", " ".join(w)), ("c", "x2 x3")], "item_id string, text string"))
 
 
+def test_runs_and_shared_windows(spark):
+    """Runs are the hit words of a document, and a window that many items share is found for all."""
+    w = [f"x{i}" for i in range(30)]
+    docs = spark.createDataFrame([(0, " ".join(w[:12])), (1, " ".join(w[12:] + w[:10])), (2, None)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(k, " ".join(w[:10])) for k in range(300)] + [(300, "x13 x14"), (301, "x15")], "item_id long, text string")
+    check(docs, items)
+    got = {r.doc_id: r for r in phrases.phrase_matches(build_index(docs), items).collect()}
+    assert [tuple(x) for x in got[0].runs] == [(0, 10)] and len(got[0].items) == 300
+    assert [tuple(x) for x in got[1].runs] == [(1, 4), (18, 28)] and got[2].runs == [] and got[2].items == []
+
+
 def test_empty_tables(spark, empty_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
