@@ -43,10 +43,18 @@ def near(docs, items):
     out = []
     for doc, text in docs:
         w = WORD.findall(fold(text))
-        n, there = 0, set(w)
+        n = 0
         for own in wanted.values():
-            kinds = set(own)
-            n += bool(kinds) and kinds <= there and any(kinds <= set(w[max(0, e - 2 * len(own)) : e]) for e in range(1, len(w) + 1))
+            kinds, span, count, found = set(own), 2 * len(own), {}, False
+            for e, x in enumerate(w):
+                if x in kinds:
+                    count[x] = count.get(x, 0) + 1
+                if e >= span and (old := w[e - span]) in kinds:
+                    count[old] -= 1
+                    if not count[old]:
+                        del count[old]
+                found |= len(count) == len(kinds) > 0
+            n += found
         out.append((doc, n))
     return sorted(out, key=repr)
 
