@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -134,15 +135,57 @@ def chi_square(df: DataFrame, categorical: Sequence[str], target: str = "target"
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise Pearson correlations (i < j), long form, over the rows that have both values.
 
-    One pass, lazily: each row gives its k(k-1)/2 pairs, and mergeable co-moments (count, means
-    and centred products) are kept for each pair, so a task sends one row a pair. A pair in
-    which either side is constant, or that no row has, is null."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    each = F.array(*[F.struct(F.lit(i).alias("i"), x[a].alias("x"), x[b].alias("y")) for i, (a, b) in enumerate(pairs)])
-    long = df.select(F.explode(each).alias("_s")).select("_s.*").filter("x IS NOT NULL AND y IS NOT NULL")
-    found = long.groupBy("i").agg(pearson(F.col("x"), F.col("y")).alias("correlation"))
-    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, feature_1 string, feature_2 string")
+    One pass, lazily: a task takes each batch of rows column by column and keeps mergeable
+    co-moments (count, means, centred products and extremes) for each of the k(k-1)/2 pairs,
+    so rows are never multiplied by pairs and a task sends one row a pair. A pair in which
+    either side is constant, or that no row has, is null."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    parts = ["n", "mx", "my", "cxx", "cyy", "cxy", "lx", "hx", "ly", "hy"]
+
+    def merged(p):
+        """Moments (parts, pairs) of moments (pieces, parts, pairs); pieces of no rows count nothing."""
+        n, mx, my, cxx, cyy, cxy, lx, hx, ly, hy = np.moveaxis(p, 1, 0)
+        some = n > 0
+        total = np.maximum(n.sum(0), 1)
+        ax, ay = np.where(some, n * mx, 0).sum(0) / total, np.where(some, n * my, 0).sum(0) / total
+        dx, dy = np.where(some, mx - ax, 0), np.where(some, my - ay, 0)
+        least, most = lambda v: np.where(some, v, np.inf).min(0), lambda v: np.where(some, v, -np.inf).max(0)
+        return np.array([n.sum(0), ax, ay, (cxx + n * dx * dx).sum(0), (cyy + n * dy * dy).sum(0), (cxy + n * dx * dy).sum(0),
+                         least(lx), most(hx), least(ly), most(hy)])
+
+    def of_batch(values, there):
+        out = np.zeros((len(parts), len(pairs)))
+        for at, (i, j) in enumerate(pairs):
+            both = there[i] & there[j]
+            n = np.count_nonzero(both)
+            if n:
+                x, y = values[i][both], values[j][both]
+                mx, my = x.mean(), y.mean()
+                dx, dy = x - mx, y - my
+                out[:, at] = n, mx, my, dx @ dx, dy @ dy, dx @ dy, x.min(), x.max(), y.min(), y.max()
+        return out
+
+    def moments(batches):
+        kept = None
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                there = [c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]
+                now = of_batch([c.fill_null(0.0).to_numpy() for c in batch.columns], there)
+                kept = now if kept is None else merged(np.array([kept, now]))
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs)), pa.int32()), *map(pa.array, kept)], ["i", *parts])
+
+    def correlation(table):
+        with np.errstate(all="ignore"):
+            n, _, _, cxx, cyy, cxy, lx, hx, ly, hy = merged(np.array([table[c].to_numpy() for c in parts]).T[:, :, None])[:, 0]
+            below = np.sqrt(cxx) * np.sqrt(cyy)
+            flat = n == 0 or hx - lx == 0 or hy - ly == 0 or below == 0
+            return pa.table({"i": table["i"][:1], "correlation": pa.array([None if flat else cxy / below], pa.float64())})
+
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    one = wide.mapInArrow(moments, "i int, " + ", ".join(f"{c} double" for c in parts))
+    found = one.groupBy("i").applyInArrow(correlation, "i int, correlation double")
+    names = df.sparkSession.createDataFrame([(at, cols[i], cols[j]) for at, (i, j) in enumerate(pairs)], "i int, feature_1 string, feature_2 string")
     return names.join(found, "i", "left").select("feature_1", "feature_2", "correlation")
 
 

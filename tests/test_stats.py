@@ -83,3 +83,20 @@ def test_chi_square_matches_spark_ml_without_correction(spark):
     assert ours["dof"] == ml["degreesOfFreedom"][0]
     assert math.isclose(ours["chi2_stat"], float(ml["statistics"][0]), rel_tol=1e-9)
     assert math.isclose(ours["p_value"], float(ml["pValues"][0]), rel_tol=1e-6, abs_tol=1e-12)
+
+
+def test_correlations_do_not_multiply_rows_and_merge_over_tasks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3)) + 1e6
+    x[:, 1] += x[:, 0]
+    rows = [(float(a), float(b), None if i % 3 else float(c), 0.1, float("nan") if i == 7 else float(a)) for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double, odd double").repartition(7)
+    found = stats.correlation_pairs(df, df.columns)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.feature_1, r.feature_2): r.correlation for r in found.collect()}
+    assert len(got) == 10
+    assert math.isclose(got["a", "b"], np.corrcoef(x[:, 0], x[:, 1])[0, 1], rel_tol=1e-9)
+    assert math.isclose(got["a", "c"], np.corrcoef(x[::3, 0], x[::3, 2])[0, 1], rel_tol=1e-9)
+    assert got["a", "same"] is None and got["c", "same"] is None
+    assert math.isnan(got["a", "odd"]) and not math.isnan(got["c", "odd"])  # row 7 has no c
+    assert all(r.correlation is None for r in stats.correlation_pairs(df.limit(0), df.columns).collect())
