@@ -100,3 +100,15 @@ def test_correlations_do_not_multiply_rows_and_merge_over_tasks(spark):
     assert got["a", "same"] is None and got["c", "same"] is None
     assert math.isnan(got["a", "odd"]) and not math.isnan(got["c", "odd"])  # row 7 has no c
     assert all(r.correlation is None for r in stats.correlation_pairs(df.limit(0), df.columns).collect())
+
+
+def test_mann_whitney_ranks_the_values_once(spark, monkeypatch):
+    from creditlens.operators import prefix
+
+    names, written = [], prefix.written
+    monkeypatch.setattr(prefix, "written", lambda df, name: names.append(name) or written(df, name))
+    rows = [(0.0, 1.0, None), (0.0, 2.0, 5.0), (0.0, 4.0, None), (0.0, 4.0, 1.0), (1.0, 3.0, None), (1.0, 9.0, None), (1.0, 1.0, None), (None, 7.0, 7.0)]
+    df = spark.createDataFrame(rows, "target double, x double, y double")
+    got = {r.feature: (r.n_paid, r.n_default, r.median_paid, r.median_default) for r in stats.mann_whitney(df, ["x", "y"]).collect()}
+    assert got == {"x": (4, 3, 3.0, 3.0), "y": (2, 0, 3.0, None)}
+    assert names.count("values") == 1
