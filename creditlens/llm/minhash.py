@@ -247,6 +247,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     keys = _buckets(classes, halves)
     centres = keys.groupBy("key").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1")
     members = centred = staged(keys.join(centres, "key"), "members")
+    discard(keys)
     wanted = members.select("cls").distinct().join(ids, "cls")
     sets = staged(_full_sets(docs, wanted, width), "sets")
     comp = staged(members.select("cls").distinct().withColumn("component", F.col("cls")), "components")
@@ -295,7 +296,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
         done = done.union(now)
         low, many = many, many * 8
     comp = components(done.where("linked"))
-    for table in (members, rest, whole, sets, keys):
+    for table in (members, rest, whole, sets):
         discard(table)
 
     named_ = ids.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -4,6 +4,7 @@ import re
 
 import pyarrow.parquet as pq
 
+from creditlens.llm import minhash
 from creditlens.llm.minhash import near_duplicates
 
 from .conftest import SF
@@ -85,3 +86,14 @@ def test_chain_and_families(spark):
             rows.append((1000 + 100 * f + k, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(df) == brute(rows)
+
+
+def test_keys_are_deleted_before_sets_are_made(spark, monkeypatch):
+    from creditlens.llm import common
+
+    there, seen, full = set(common._STAGED), [], minhash._full_sets
+    monkeypatch.setattr(minhash, "_full_sets", lambda *a: seen.append([t for t in common._STAGED - there if "/keys-" in t]) or full(*a))
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text), (2, text + " eleven"), (3, "other words")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert seen == [[]]
