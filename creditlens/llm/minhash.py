@@ -13,10 +13,10 @@ classes that share a key are confirmed on their full sets, in rounds: first each
 class against one centre of its buckets. Then only buckets that hold several components
 stay open (by labels that are joined step by step and closed over all links at the end),
 and in them only classes that hold enough shingles in common with other
-components to be linked at all (an exact bound). These meet further centres one by one,
-and at last every member of a bucket, against centres whose number grows eightfold a
-round, until each pair of a bucket in different components is compared or ruled out
-by its sizes or by parity bits of the sets (exact bounds, too).
+components to be linked at all (an exact bound). These meet further centres one by one, while
+that halves what is open. At last all members of a bucket meet, in one pass: each pair in
+different components is compared or ruled out by its sizes or by parity bits of the sets
+(exact bounds, too).
 No bucket is capped, and a bucket that is one component costs no more pairs.
 """
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from . import words
 from .common import discard, named, staged, text_blocks
 
-#: Most rounds in which each open class meets one centre, before all pairs are taken up.
+#: Most rounds in which each open class meets one centre, before all pairs are taken up; a round that
+#: leaves more than half of the open members is the last one.
 STARS = 4
 #: Parity bits of a set; a multiple of 64.
 BITS = 1024
@@ -274,29 +275,26 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
             break
         comp = _merged(comp, now.where("linked"))
         old, rest = rest, _open(rest.drop("component", "shared", "n"), comp, sets, percent)
+        few = 2 * rest.count() <= old.count()
         discard(old)
+        if not few:
+            break
 
-    # Centres have their place in [low / n, many / n); a pair is taken where its first member
-    # is a centre, and in the first table only in which the two meet.
-    done = staged(done, "done")
-    half_keys = classes.join(rest.select("cls").distinct(), "cls", "left_semi").join(sets.select("cls", "bits"), "cls")
-    whole = staged(rest.join(half_keys, "cls").withColumn("place", F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) / float(1 << 30)).withColumn("pieces", F.ceil(F.col("n") / PIECE)), "whole")
-    met_by = whole.withColumn("piece", F.pmod(F.xxhash64("cls"), "pieces"))
-    apart = sum((F.bit_count(F.col("qx")[k].bitwiseXOR(F.col("bits")[k])) for k in range(BITS // 64)), F.lit(0))
-    similar = similar & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("nx")))
-    low, many, most = 0.0, 8.0, whole.agg(F.max("n")).first()[0] or 0
-    while low < most:
-        c = whole.where((F.col("place") * F.col("n") >= low) & (F.col("place") * F.col("n") < many))
-        c = c.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.col("cls").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"), F.col("place").alias("px"), F.col("half_a").alias("ax"), F.col("half_b").alias("bx"), F.col("bits").alias("qx"))
-        later = (F.col("px") < F.col("place")) | ((F.col("px") == F.col("place")) & (F.col("x") < F.col("cls")))
+    # All pairs that are left, each in the first table only in which the two meet.
+    if not rest.isEmpty():
+        half_keys = classes.join(rest.select("cls").distinct(), "cls", "left_semi").join(sets.select("cls", "bits"), "cls")
+        whole = staged(rest.join(half_keys, "cls").withColumn("pieces", F.ceil(F.col("n") / PIECE)), "whole")
+        met_by = whole.withColumn("piece", F.pmod(F.xxhash64("cls"), "pieces"))
+        apart = sum((F.bit_count(F.col("qx")[k].bitwiseXOR(F.col("bits")[k])) for k in range(BITS // 64)), F.lit(0))
+        similar = similar & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("nx")))
+        c = whole.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.col("cls").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"), F.col("shared").alias("sx"), F.col("half_a").alias("ax"), F.col("half_b").alias("bx"), F.col("bits").alias("qx"))
         met = F.arrays_overlap(F.slice("ax", F.lit(1), F.col("i") - 1), F.slice("half_a", F.lit(1), F.col("i") - 1)) | F.arrays_overlap(F.slice("bx", F.lit(1), F.col("j") - 1), F.slice("half_b", F.lit(1), F.col("j") - 1))
-        # Merged on shuffled pieces: a broadcast of the centres would leave the work to as many tasks as ``whole`` has files.
-        pairs = c.hint("merge").join(met_by, ["key", "piece"]).where(later & similar & ~met).select("x", F.col("cls").alias("y"))
-        now = _compared(_ordered(pairs).join(_ordered(done), ["x", "y"], "left_anti"), sets, percent)
-        done = done.union(now)
-        low, many = many, many * 8
+        # Merged on shuffled pieces: a broadcast of the members would leave the work to as many tasks as ``whole`` has files.
+        pairs = c.hint("merge").join(met_by, ["key", "piece"]).where((F.col("x") < F.col("cls")) & similar & ~met).select("x", F.col("cls").alias("y"))
+        done = done.union(_compared(pairs.join(_ordered(done), ["x", "y"], "left_anti"), sets, percent))
+        discard(whole)
     comp = components(done.where("linked"))
-    for table in (members, rest, whole, sets):
+    for table in (members, rest, sets):
         discard(table)
 
     named_ = ids.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -97,3 +97,17 @@ def test_keys_are_deleted_before_sets_are_made(spark, monkeypatch):
     df = spark.createDataFrame([(1, text), (2, text + " eleven"), (3, "other words")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
     assert seen == [[]]
+
+
+def test_open_buckets_are_compared_in_one_pass(spark, monkeypatch):
+    """32 texts that are alike but differ in two blocks or more, and one that differs from some in a single block."""
+    codes = [k for k in range(64) if bin(k).count("1") % 2 == 0] + [1]
+    rows = [(i, " ".join(f"{'b' if b < 6 and k >> b & 1 else 'a'}{b}_{j}" for b in range(20) for j in range(5))) for i, k in enumerate(codes)]
+    compared, n = minhash._compared, []
+    monkeypatch.setattr(minhash, "_compared", lambda *a: n.append(1) or compared(*a))
+    monkeypatch.setattr(minhash, "STARS", 0)
+    for piece in (minhash.PIECE, 8):
+        monkeypatch.setattr(minhash, "PIECE", piece)
+        n.clear()
+        assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+        assert len(n) == 2
