@@ -14,8 +14,6 @@ rows costs no more than others.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,12 +63,6 @@ class Vocabulary:
         return self.memory.tokens(data, starts, ends, h, self._encode)
 
 
-@lru_cache(maxsize=2)
-def vocabulary_of(model: str) -> Vocabulary:
-    """The worker's vocabulary; what it remembers serves all tasks that the worker runs."""
-    return Vocabulary(model)
-
-
 def _per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
@@ -120,7 +112,8 @@ def measured(docs: DataFrame, model: str, text_col: str = "text", lang_col: str
     out = StructType([*taken.select("row", "lang").schema.fields, *StructType.fromDDL(_STATS).fields])
 
     def run(batches):
-        vocabulary = vocabulary_of(model)
+        # The task's own: a worker lives on for later steps, which would have its memory on top of theirs.
+        vocabulary = Vocabulary(model)
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column(2)):
                 m = measure_block(data, offsets, vocabulary)

@@ -93,3 +93,18 @@ def test_few_short_texts_among_long_ones(spark):
 
 def test_empty_table(empty_docs):
     assert quality_rules(empty_docs, MODEL).count() == 0 and keep_good(empty_docs, MODEL).columns == empty_docs.columns
+
+
+def test_workers_keep_no_vocabulary_for_later_steps(spark, odd_docs):
+    def kept(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Vocabulary" for x in gc.get_objects())])], ["n"])
+
+    docs = odd_docs.repartition(8)
+    assert quality_rules(docs, MODEL).count() == docs.count()
+    later = spark.range(0, 64, 1, 16).mapInArrow(kept, "n long").collect()
+    assert len(later) >= 16 and sum(r["n"] for r in later) == 0
