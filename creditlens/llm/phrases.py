@@ -1,9 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 Each task turns its documents into segments: the sorted term hashes of about
-``SEGMENT_WORDS`` words, and for each term the list of its word positions. The
-segments are written to the shared folder, so the index is built once and lost
-executors reread files. A phrase is looked up in a segment by taking the list of
+``SEGMENT_WORDS`` words, and for each term the list of its word positions. Each
+segment is a file in the shared folder, so the index is built once and lost
+executors reread files; Spark's rows hold the files' names only, and a worker has
+one segment at a time, however many its task writes or reads. A phrase is looked up in a segment by taking the list of
 its rarest term, shifting it by the term's place in the phrase and intersecting
 it with the shifted lists of the other terms, rarest first; only positions that
 all lists share are occurrences. Terms are 64-bit hashes of words (words.py).
@@ -18,6 +19,8 @@ document is a join of keys. A document's hits leave its task as runs of words.
 
 from __future__ import annotations
 
+import math
+import uuid
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -29,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import discard, named, open_shared, staged, text_blocks
+from .common import discard, named, open_shared, shared_folder, staged, text_blocks, write_shared
 
 SEGMENT_WORDS = 1 << 20
 BLOCK_WORDS = 1 << 20
+#: Segments that a task searches, and places that are looked at together.
+TASK_SEGMENTS = 4
+_CANDIDATES = 1 << 20
 _CHUNK = 4096
 _HELD = 4
-_INDEX = "segment long, doc_id array<long>, crc array<long>, first array<int>, term array<long>, at array<int>, position array<int>"
 
 
 def _invert(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,18 +52,18 @@ def _invert(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index of ``docs``, a row per segment, written to the shared folder."""
+    """The positional index of ``docs``: segment and place (its file in the shared folder), a row per segment."""
     docs = docs.select(named(id_col, "doc_id").cast("long").alias("doc_id"), F.crc32(named(text_col, "text")).alias("crc"), named(text_col, "text"))
+    folder = shared_folder(docs.sparkSession, "segments")
 
     def segment(number, ids, crcs, sizes, h):
         term, at, position = _invert(np.concatenate(h) if h else np.zeros(0, np.uint64))
-        one = lambda values, kind: pa.array([values], pa.list_(kind))
         whole = lambda values, kind: pa.ListArray.from_arrays(np.array([0, len(values)], np.int32), pa.array(values, kind))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), one(ids, pa.int64()), one(crcs, pa.int64()),
-             whole(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.int32()), whole(term.view(np.int64), pa.int64()),
-             whole(at.astype(np.int32), pa.int32()), whole(position.astype(np.int32), pa.int32())],
-            ["segment", "doc_id", "crc", "first", "term", "at", "position"])
+        table = pa.table({
+            "doc_id": whole(ids, pa.int64()), "crc": whole(crcs, pa.int64()), "first": whole(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.int32()),
+            "term": whole(term.view(np.int64), pa.int64()), "at": whole(at.astype(np.int32), pa.int32()), "position": whole(position.astype(np.int32), pa.int32())})
+        path = write_shared(f"{folder}/{number}-{uuid.uuid4().hex}", lambda out: pq.write_table(table, out, compression="zstd", use_dictionary=False))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([path], pa.string())], ["segment", "place"])
 
     def run(batches):
         number = TaskContext.get().partitionId() << 24
@@ -77,7 +82,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if ids:
             yield segment(number, ids, crcs, sizes, h)
 
-    return staged(docs.mapInArrow(run, _INDEX), "index")
+    index = staged(docs.mapInArrow(run, "segment long, place string"), "index")
+    index.files_at = folder
+    return index
+
+
+def _dealt(index: DataFrame) -> DataFrame:
+    """The segments dealt out over the cores, in tasks of about ``TASK_SEGMENTS`` where they are many."""
+    n = index.count()
+    return index.repartition(max(1, min(n, max(index.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_SEGMENTS)))))
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -156,11 +169,12 @@ def _items_of(path: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]
 
 
 class _Segment:
-    """A row of the index: word positions by term, documents by their first word."""
+    """A segment of the index: word positions by term, documents by their first word."""
 
-    def __init__(self, batch: pa.RecordBatch, row: int):
-        get = lambda name, kind: batch.column(name)[row].values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
-        self.number = batch.column("segment")[row].as_py()
+    def __init__(self, number: int, path: str):
+        table = _read(path)
+        get = lambda name, kind: table.column(name)[0].values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+        self.number, self.doc_id, self.crc = number, table.column("doc_id")[0].values, table.column("crc")[0].values
         self.first, self.at, self.position = get("first", np.int64), get("at", np.int64), get("position", np.int64)
         self.term = get("term", np.int64).view(np.uint64)
 
@@ -191,8 +205,8 @@ class _Segment:
 
 def _segments(batches):
     for batch in batches:
-        for row in range(batch.num_rows):
-            yield batch, row, _Segment(batch, row)
+        for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield _Segment(number, path)
 
 
 def occurrences(phrases: np.ndarray, s: _Segment) -> tuple[np.ndarray, np.ndarray]:
@@ -207,17 +221,28 @@ def occurrences(phrases: np.ndarray, s: _Segment) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = place[here]
     order = np.argsort(np.diff(s.at)[place], axis=1, kind="stable")
-    pick = lambda table, k: np.take_along_axis(table, order[:, k : k + 1], axis=1)[:, 0]
-    rarest = pick(place, 0)
+    rarest = np.take_along_axis(place, order[:, :1], axis=1)[:, 0]
     n = s.at[rarest + 1] - s.at[rarest]
-    which = np.repeat(np.arange(len(here)), n)
-    start = s.position[words.ragged(s.at[rarest], n)] - order[which, 0]
-    for k in range(1, phrases.shape[1]):
-        want = (pick(place, k)[which] << 32) | np.maximum(start + order[which, k], 0)
+    ends, lo, found = np.cumsum(n), 0, []
+    while lo < len(here):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + _CANDIDATES, "right")))
+        which, start = _in_a_row(place[lo:hi], order[lo:hi], n[lo:hi], s)
+        found.append((here[lo + which], start))
+        lo = hi
+    return np.concatenate([which for which, _ in found]), np.concatenate([start for _, start in found])
+
+
+def _in_a_row(place: np.ndarray, order: np.ndarray, n: np.ndarray, s: _Segment) -> tuple[np.ndarray, np.ndarray]:
+    """``occurrences`` of phrases whose terms stand at ``place``, the rarest with ``n`` positions first in ``order``."""
+    pick = lambda k: np.take_along_axis(place, order[:, k : k + 1], axis=1)[:, 0]
+    which = np.repeat(np.arange(len(place)), n)
+    start = s.position[words.ragged(s.at[pick(0)], n)] - order[which, 0]
+    for k in range(1, place.shape[1]):
+        want = (pick(k)[which] << 32) | np.maximum(start + order[which, k], 0)
         found = np.minimum(np.searchsorted(s.entry, want), len(s.entry) - 1)
         ok = (s.entry[found] == want) & (start >= 0)
         which, start = which[ok], start[ok]
-    return here[which], start
+    return which, start
 
 
 def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
@@ -232,7 +257,7 @@ def _search(index: DataFrame, files: list[str]) -> DataFrame:
     """A row for each document: its hit words as runs, and the keys of the windows that it has."""
 
     def run(batches):
-        for batch, row, s in _segments(batches):
+        for s in _segments(batches):
             n, total = len(s.first) - 1, int(s.first[-1])
             edge, docs, keys = np.zeros(total + 1, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for path in files:
@@ -258,11 +283,11 @@ def _search(index: DataFrame, files: list[str]) -> DataFrame:
             in_doc = s.doc(lo)
             spans = pa.StructArray.from_arrays([pa.array(x - s.first[in_doc], pa.int32()) for x in (lo, hi)], ["lo", "hi"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, s.number)), pa.array(np.arange(n), pa.int32()), batch.column("doc_id")[row].values, batch.column("crc")[row].values,
+                [pa.array(np.full(n, s.number)), pa.array(np.arange(n), pa.int32()), s.doc_id, s.crc,
                  pa.array(np.diff(s.first)), _lists(in_doc, n, spans), _lists(docs[order], n, pa.array(keys[order]))],
                 ["segment", "ordinal", "doc_id", "crc", "n_words", "runs", "keys"])
 
-    return index.mapInArrow(run, _FOUND)
+    return _dealt(index).mapInArrow(run, _FOUND)
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, width: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -332,7 +357,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, within: int | None = N
     files = _files(whole)
 
     def run(batches):
-        for batch, row, s in _segments(batches):
+        for s in _segments(batches):
             for path in files:
                 names, flat, item_at, spans = _items_of(path)
                 place, there = s.places(flat)
@@ -340,11 +365,11 @@ def proximity_matches(index: DataFrame, items: DataFrame, within: int | None = N
                     docs, n = _near(s, place[item_at[i] : item_at[i + 1]], spans[i])
                     if len(docs):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(docs), s.number)), pa.array(docs, pa.int32()), batch.column("doc_id")[row].values.take(pa.array(docs)),
+                            [pa.array(np.full(len(docs), s.number)), pa.array(docs, pa.int32()), s.doc_id.take(pa.array(docs)),
                              pa.array([names[i]] * len(docs)), pa.array(n, pa.int64())],
                             ["segment", "ordinal", "doc_id", "item", "n_spans"])
 
-    return staged(index.mapInArrow(run, "segment long, ordinal int, doc_id long, item string, n_spans long"), "near")
+    return staged(_dealt(index).mapInArrow(run, "segment long, ordinal int, doc_id long, item string, n_spans long"), "near")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

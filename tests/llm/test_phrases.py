@@ -1,10 +1,14 @@
 """Phrase and proximity matches against plain string work."""
 
 import hashlib
+import os
 import random
 import re
 
-from creditlens.llm import phrases
+import numpy as np
+
+from creditlens.llm import phrases, words
+from creditlens.llm.common import discard
 from creditlens.llm.phrases import build_index, contamination, proximity_matches, without_contaminated
 
 from .conftest import SF, prose
@@ -127,3 +131,42 @@ def test_proximity_of_an_item_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK_WORDS", 50)
     items = spark.createDataFrame([(9, " ".join(w))], "item_id long, text string")
     assert [(r.doc_id, r.item, r.n_spans) for r in proximity_matches(build_index(docs), items, 6000).collect()] == [(2, "9", 1)]
+
+
+def test_index_rows_only_name_their_segments(spark, monkeypatch):
+    """What a task's rows hold does not grow with its segments' words; the files go with the index."""
+    rng = random.Random(5)
+    monkeypatch.setattr(phrases, "SEGMENT_WORDS", 1000)
+    texts = [prose(rng, 300) + " word" * 60_000 for _ in range(5)]  # a block of text each
+    docs = spark.createDataFrame([*enumerate(texts), (5, None), (None, "")], "doc_id long, text string").coalesce(1)
+    found = contamination(docs, spark.createDataFrame([(1, texts[0][:300]), (2, "w1 w2")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words) for r in found if r.n_words) == [(k, 60_300) for k in range(5)]
+    assert all(r.n_hit >= 40 for r in found if r.doc_id == 0) and sum(r.n_words == 0 for r in found) == 2
+    index = build_index(docs)
+    rows = index.collect()
+    assert len(rows) == 5 and max(len(str(r)) for r in rows) < 1000
+    assert all(os.path.isfile(r.place.removeprefix("file:")) for r in rows)
+    discard(index)
+    assert not any(os.path.exists(r.place.removeprefix("file:")) for r in rows) and not os.path.exists(index.files_at.removeprefix("file:"))
+
+
+def test_segments_are_dealt_out_over_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for n, parts in ((0, 1), (3, 3), (4 * cores, cores), (400, max(cores, 100))):
+        dealt = phrases._dealt(spark.range(0, n, 1, 2))
+        assert dealt.rdd.getNumPartitions() == parts and sorted(r.id for r in dealt.collect()) == list(range(n))
+
+
+def test_places_are_looked_at_in_bounded_numbers(spark, monkeypatch):
+    """Phrases of frequent words have many candidates together; a step takes a bounded number, or one phrase."""
+    text = "a b " * 200 + "a c b"
+    s = phrases._Segment(0, build_index(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)).first().place)
+    h = words.hashes(data := np.frombuffer(text.encode(), np.uint8), *words.spans(data, np.array([0, len(data)]), words.ALNUM)[:2], folded=True)
+    asked = np.lib.stride_tricks.sliding_window_view(h, 2)
+    whole, taken, step = phrases.occurrences(asked, s), [], phrases._in_a_row
+    monkeypatch.setattr(phrases, "_in_a_row", lambda place, order, n, s: taken.append(n) or step(place, order, n, s))
+    monkeypatch.setattr(phrases, "_CANDIDATES", 500)
+    assert [x.tolist() for x in phrases.occurrences(asked, s)] == [x.tolist() for x in whole]
+    assert len(taken) > 100 and all(n.sum() <= 500 or len(n) == 1 for n in taken)
+    flat = h.tolist()
+    assert sorted(zip(*(x.tolist() for x in whole))) == [(i, j) for i in range(len(asked)) for j in range(len(asked)) if flat[i : i + 2] == flat[j : j + 2]]
